@@ -18,7 +18,7 @@ and one task holds ``block_shots + 2 * context`` shots of ``sites_per_task`` sit
 combined by an aggregate, and the candidates (a small share of all rows) are checked against the combined range.
 
 Defined results: null, NaN and repeated deliveries of a key are dropped (of copies that differ, the one of the least
-load_id stays); rows with a null key or shot order are no readings; a site missing from ``sites`` has no upper limit;
+load_id stays); rows with a null key or shot order are no readings, and shot orders count from zero; a site missing from ``sites`` has no upper limit;
 a series too short for a range (fewer than two ordinary readings) has no spikes; an empty table gives an empty result;
 other columns are ignored.  A stuck run is seen across a border between blocks as long as fewer than ``context - 3``
 shots in a row are missing there.
@@ -180,6 +180,8 @@ def judge_block(fields: list[str], m: ReadingModel):
         keys, j = np.unique(key, return_inverse=True)
         own = np.zeros(len(shots), bool)
         own[t] = col["home"].astype(bool)
+        if not own.any():
+            return schema.empty_table()
         site = keys >> 32
         limits = dict(zip(pixels.column("site_id").to_pylist(), pixels.column("roi_n_pixels").to_pylist()))
         limit = np.array([m.full_scale * limits[s] if limits.get(s) else np.inf for s in site.tolist()])
@@ -234,13 +236,13 @@ def implausible_readings(rows: DataFrame, sites: DataFrame, fields: list[str], m
     part = F.floor(F.col("site_id") / m.sites_per_task).cast("int")
     inside = F.pmod("shot_order", F.lit(m.block_shots))
     # a shot near a border also goes to the block beyond it, as context
-    blocks = F.when(inside < m.context, F.array(mine, mine - 1)).when(inside >= m.block_shots - m.context, F.array(mine, mine + 1)).otherwise(F.array(mine))
+    blocks = F.when((inside < m.context) & (mine > 0), F.array(mine, mine - 1)).when(inside >= m.block_shots - m.context, F.array(mine, mine + 1)).otherwise(F.array(mine))
     x = x.withColumns({"part": part, "mine": mine}).withColumn("block", F.explode(blocks)).withColumn("home", (F.col("block") == F.col("mine")).cast("int")).drop("mine")
     spans = rows.groupBy("run_id").agg(F.min("shot_order").alias("first"), F.max("shot_order").alias("last")).dropna()
     px = sites.select("run_id", F.col("site_id").cast("int").alias("site_id"), F.col("roi_n_pixels").cast("int").alias("roi_n_pixels")).dropna().dropDuplicates(["run_id", "site_id"])
     px = px.join(spans, "run_id").select(
         "run_id", "site_id", "roi_n_pixels", part.alias("part"),
-        F.explode(F.sequence(F.floor(F.col("first") / m.block_shots).cast("int") - 1, F.floor(F.col("last") / m.block_shots).cast("int") + 1)).alias("block"),
+        F.explode(F.sequence(F.floor(F.col("first") / m.block_shots).cast("int"), F.floor(F.col("last") / m.block_shots).cast("int") + 1)).alias("block"),
     )
     keys = ["run_id", "part", "block"]
     judged = cut(x.groupBy(*keys).cogroup(px.groupBy(*keys)).applyInArrow(judge_block(list(fields), m), OUT))
