@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shotlens.operators import drift, profile
 from shotlens.operators.readings import implausible_readings, reading_rates
 from shotlens.sources.tables import table
 
 READING_FIELDS = ["roi_sum_raw", "background_global"]
 
+NUMERIC = (
+    "shot_id shot_order frame_id site_id exposure_ms frame_elapsed_s site_x site_y roi_sum_raw background_global count_corrected_global "
+    "background_template_offset count_corrected_template roi_max_pixel cycle_index"
+).split()
+TEXT = "dataset_id run_id timestamp raw_image_path quality_flag condition_id split grid_id".split()
+
+TARGET = {
+    "run_id": "string", "shot_id": "int", "frame_id": "int", "site_id": "int", "timestamp": "string", "exposure_ms": "double", "site_x": "double", "site_y": "double",
+    "roi_sum_raw": "double", "background_annulus_contaminated": "double", "background_global": "double", "count_corrected_annulus_contaminated": "double", "count_corrected_global": "double", "quality_flag": "string",
+}
+APPROVED = {"grid": "string", "camera_temp_c": "double", "operator_note": "string", "shutter_ok": "boolean", "site_row": "int", "gain_setting": "double", "background_spatial": "double", "site_detected": "boolean", "frame_elapsed_s": "double", "roi_max_pixel": "double"}
+
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = implausible_readings(table(spark, d, "frame_sites"), table(spark, d, "sites"), READING_FIELDS)
@@ -19,5 +33,101 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return reading_rates(implausible_readings(table(spark, d, "frame_sites"), table(spark, d, "sites"), READING_FIELDS))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates}
-SQL: dict[str, str] = {}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return profile.load_findings(table(spark, d, "frame_sites"), table(spark, d, "runs"), table(spark, d, "loads"))
+
+
+def p4_profile(spark: SparkSession, d: str) -> DataFrame:
+    counts = profile.value_counts(table(spark, d, "frame_sites"), ["load_id"], [*NUMERIC, *TEXT])
+    v = F.col("value")
+    broken = {"quality_flag": v.isNotNull() & ~profile.flag_is_declared(v), "timestamp": v.isNotNull() & ~profile.stamp_is_declared(v)}
+    return profile.column_profile(counts, ["load_id"], NUMERIC, broken)
+
+
+def p4_shifts(spark: SparkSession, d: str) -> DataFrame:
+    counts = profile.value_counts(table(spark, d, "frame_sites"), ["load_id"], [*NUMERIC, *TEXT])
+    return profile.load_shifts(profile.binned(counts, ["load_id"], NUMERIC), "load_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.field_changes(table(spark, d, "raw_exports"), table(spark, d, "field_aliases"))
+
+
+def _ingested(spark: SparkSession, d: str) -> DataFrame:
+    aliases = table(spark, d, "field_aliases")
+    return drift.replay(drift.promote(drift.ingest(table(spark, d, "raw_exports"), aliases, TARGET), aliases, APPROVED), aliases, TARGET | APPROVED)
+
+
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    return _ingested(spark, d)
+
+
+def p5_rescued(spark: SparkSession, d: str) -> DataFrame:
+    return drift.rescue_report(_ingested(spark, d))
+
+
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_profile": p4_profile, "p4_shifts": p4_shifts, "p5_found": p5_found, "p5_table": p5_table, "p5_rescued": p5_rescued}
+
+_FLAG = "(roi_saturated|roi_touches_edge|local_bg_underdetermined|nonfinite_count|site_not_detected)"
+_FORMED = rf"""(case column_name
+  when 'quality_flag' then value = 'ok' or (regexp_full_match(value, '{_FLAG}(\|{_FLAG})*') and len(list_distinct(string_split(value, '|'))) = len(string_split(value, '|')))
+  when 'timestamp' then regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]{{1,6}})?') and try_cast(substr(value, 1, 10) as date) is not null
+  else not (x <= 0 or isnan(x) or x > 10000) end)"""
+
+_P4_FOUND = f"""
+with cells as (
+  select load_id, run_id, 'quality_flag' as column_name, quality_flag as value, null::double as x from frame_sites
+  union all select load_id, run_id, 'exposure_ms', exposure_ms::varchar, exposure_ms from frame_sites
+  union all select load_id, run_id, 'timestamp', "timestamp", null from frame_sites),
+c as (select c.*, {_FORMED} as formed, r.exposure_ms as commanded, l.loaded_at from cells c left join runs r using (run_id) left join loads l using (load_id)),
+per as (select *, case column_name
+    when 'quality_flag' then value <> 'ok'
+    when 'exposure_ms' then isnan(x) or abs(x - commanded) > 0.1 * commanded
+    else formed and (try_cast(value as timestamp) > loaded_at + interval 365 days or try_cast(value as timestamp) < loaded_at - interval 365 days) end as moved from c),
+w as (select load_id, column_name, count(*) n, count(*) - count(value) nulls,
+    count(*) filter (value is not null and (column_name <> 'timestamp' or formed)) judged, count(*) filter (moved) moved,
+    count(*) filter (value is not null and not formed) broken from per group by all)
+select load_id, column_name, 'nulls' as finding, '' as item from w where nulls > 0.1 * n
+union all select load_id, column_name, 'values', '' from w where column_name = 'exposure_ms' and broken > 0
+union all select load_id, column_name, 'shift', '' from w where judged > 0 and moved > (case when column_name = 'quality_flag' then 0.3 else 0.5 end) * judged + 1e-9 * judged
+union all select distinct load_id, column_name, 'values', value from per where column_name <> 'exposure_ms' and value is not null and not formed
+"""
+
+
+def _profile_sql() -> str:
+    cells = []
+    for c in NUMERIC + TEXT:
+        num = f'case when isfinite("{c}"::double) then "{c}"::double end' if c in NUMERIC else "null::double"
+        txt = f'"{c}"' if c in TEXT else "null::varchar"
+        cells.append(f"select load_id, '{c}' as column_name, \"{c}\"::varchar as value, {num} as x, {txt} as t from frame_sites")
+    formed = _FORMED.replace("else not (x <= 0 or isnan(x) or x > 10000)", "else true")
+    return f"""
+with cells as ({' union all '.join(cells)}),
+v as (select load_id, column_name, value, x, t, count(*) as n, any_value({formed}) as formed from cells group by 1, 2, 3, 4, 5)
+select load_id, column_name, sum(n)::bigint as n_rows, coalesce(sum(n) filter (value is null), 0)::bigint as n_null,
+  round(coalesce(sum(n) filter (value is null), 0) / sum(n), 9) as null_share, count(value) as n_distinct,
+  min(x) as least_number, max(x) as most_number, min(t) as first_text, max(t) as last_text,
+  (max(n) filter (value is not null))::bigint as n_of_top_value, coalesce(sum(n) filter (value is not null and not formed), 0)::bigint as n_broken
+from v group by 1, 2
+"""
+
+
+_P5_FOUND = """
+with alias as (select lower(regexp_replace(alias_name, '[^a-zA-Z0-9]', '', 'g')) a, lower(regexp_replace(current_name, '[^a-zA-Z0-9]', '', 'g')) b from field_aliases),
+recs as (select feed_id, file_id, file_no, payload::json as j from raw_exports where json_valid(payload) and json_type(case when json_valid(payload) then payload else 'null' end) = 'OBJECT'),
+cells as (select feed_id, file_id, file_no, k as name, json_type(j, '$."' || k || '"') as s from (select *, unnest(json_keys(j)) as k from recs)),
+typed as (select feed_id, file_id, file_no, name, coalesce(b, lower(regexp_replace(name, '[^a-zA-Z0-9]', '', 'g'))) as class,
+    case s when 'NULL' then null when 'VARCHAR' then 'text' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end as kind
+  from cells left join alias on a = lower(regexp_replace(name, '[^a-zA-Z0-9]', '', 'g'))),
+per as (select feed_id, file_id, file_no, class, mode(name) as name, mode(kind) as kind from typed group by 1, 2, 3, 4),
+files as (select *, lead(file_id) over (partition by feed_id order by file_no, file_id) as nxt, row_number() over (partition by feed_id order by file_no, file_id) as rn from (select distinct feed_id, file_id, file_no from per)),
+bef as (select nxt as file_id, class, name as old, kind as old_kind from per join files using (feed_id, file_id, file_no) where nxt is not null),
+aft as (select file_id, class, name, kind from per join files using (feed_id, file_id, file_no) where rn > 1),
+b as (select * from aft full join bef using (file_id, class))
+select file_id, name as field_name, 'added' as change_kind, '' as old_name from b where old is null
+union all select file_id, old, 'removed', '' from b where name is null
+union all select file_id, name, 'renamed', old from b where name <> old
+union all select file_id, name, 'type', '' from b where name is not null and kind <> old_kind
+"""
+
+SQL = {"p4_found": _P4_FOUND, "p4_profile": _profile_sql(), "p5_found": _P5_FOUND}
