@@ -113,6 +113,12 @@ def _first(cls: str) -> Column:
     return F.get(F.filter("_e", lambda e: e["class"] == F.lit(cls)), F.lit(0))
 
 
+def _cast(value: Column, kind: str) -> Column:
+    """The value as kind, or null; objects and arrays are no text."""
+    got = F.try_variant_get(value, "$", kind)
+    return F.when(~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), got) if kind == "string" else got
+
+
 def _as_json(entries: Column) -> Column:
     pairs = F.transform(entries, lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), F.to_json(e["value"])))
     return F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
@@ -123,7 +129,7 @@ def ingest(raw: DataFrame, aliases: DataFrame, target: dict[str, str]) -> DataFr
     classes = alias_classes(aliases)
     of = {name: classes.get(k, k) for name in target for k in ["".join(c for c in name.lower() if c.isalnum())]}
     x = _entries(records(raw), classes)
-    typed = {name: F.try_variant_get(_first(of[name])["value"], "$", kind) for name, kind in target.items()}
+    typed = {name: _cast(_first(of[name])["value"], kind) for name, kind in target.items()}
     x = x.withColumns(typed)
     kept = F.create_map(*[y for name in target for y in (F.lit(of[name]), F.col(name).isNotNull())])
     # rescued: fields of no target column, those that can't be cast, and second spellings of a field within one record
@@ -133,7 +139,7 @@ def ingest(raw: DataFrame, aliases: DataFrame, target: dict[str, str]) -> DataFr
 
 def promote(table: DataFrame, aliases: DataFrame, approved: dict[str, str]) -> DataFrame:
     """Approved fields move from rescued into typed columns; values that can't be cast stay rescued."""
-    return _move(table, aliases, approved, lambda value, kind: F.try_variant_get(value, "$", kind))
+    return _move(table, aliases, approved, _cast)
 
 
 def replay(table: DataFrame, aliases: DataFrame, target: dict[str, str]) -> DataFrame:
@@ -141,7 +147,7 @@ def replay(table: DataFrame, aliases: DataFrame, target: dict[str, str]) -> Data
 
     def loose(value: Column, kind: str) -> Column:
         one = F.when(F.size(F.try_variant_get(value, "$", "array<variant>")) == 1, F.try_variant_get(value, "$[0]", kind))
-        return F.coalesce(F.try_variant_get(value, "$", kind), F.try_variant_get(value, "$.value", kind), one)
+        return F.coalesce(_cast(value, kind), F.try_variant_get(value, "$.value", kind), one)
 
     return _move(table, aliases, target, loose)
 

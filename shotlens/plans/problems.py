@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shotlens.operators import drift, profile
 from shotlens.operators.readings import implausible_readings, reading_rates
+from shotlens.session import cut
 from shotlens.sources.tables import table
 
 READING_FIELDS = ["roi_sum_raw", "background_global"]
@@ -54,8 +55,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Three loads of the same table: as enforced, with the approved fields, with the rescued values; each reads what the one before wrote."""
     aliases = table(spark, d, "field_aliases")
-    return drift.replay(drift.promote(drift.ingest(table(spark, d, "raw_exports"), aliases, TARGET), aliases, APPROVED), aliases, TARGET | APPROVED)
+    strict = cut(drift.ingest(table(spark, d, "raw_exports"), aliases, TARGET))
+    return drift.replay(cut(drift.promote(strict, aliases, APPROVED)), aliases, TARGET | APPROVED)
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +66,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_rescued(spark: SparkSession, d: str) -> DataFrame:
-    return drift.rescue_report(_ingested(spark, d))
+    return drift.rescue_report(cut(drift.ingest(table(spark, d, "raw_exports"), table(spark, d, "field_aliases"), TARGET)))
 
 
 QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_profile": p4_profile, "p4_shifts": p4_shifts, "p5_found": p5_found, "p5_table": p5_table, "p5_rescued": p5_rescued}
