@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlens.llm import splits
+from shotlens.llm import quantiles, splits
 from shotlens.session import cut
 from shotlens.sources.tables import table
 
@@ -33,5 +33,27 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return got.join(F.broadcast(whole)).select("split", "n_groups", "n_rows", F.round(F.col("n_rows") / F.col("rows"), 6).alias("share"))  # one row on the right
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares}
-SQL: dict[str, str] = {}
+POINTS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+RANK_ERROR = 0.005
+
+
+def p2_load_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["load_id", "site_id", "frame_id"]
+    return quantiles.percentiles(table(spark, d, "frame_sites"), keys, "count_corrected_template", POINTS).select(*keys, "p", "value", "n")
+
+
+def p2_combined_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Over all loads, from the summaries of the single loads alone."""
+    parts = quantiles.summaries(table(spark, d, "frame_sites"), ["load_id", "site_id", "frame_id"], "count_corrected_template", RANK_ERROR)
+    return quantiles.combined_percentiles(parts, ["site_id", "frame_id"], POINTS).select("site_id", "frame_id", "p", "value", "n")
+
+
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_load_percentiles": p2_load_percentiles, "p2_combined_percentiles": p2_combined_percentiles}
+
+_RANKED = """
+with v as (select load_id, site_id, frame_id, count_corrected_template as v from frame_sites where count_corrected_template is not null and not isnan(count_corrected_template)),
+r as (select *, row_number() over (partition by load_id, site_id, frame_id order by v) as k, count(*) over (partition by load_id, site_id, frame_id) as n from v)
+select load_id::bigint as load_id, site_id::bigint as site_id, frame_id::bigint as frame_id, p, v as value, n
+from r join (select unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::double[]) as p) on k = greatest(1, ceil(p * n - 1e-9))
+"""
+SQL = {"p2_load_percentiles": _RANKED}
