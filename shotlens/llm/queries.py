@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlens.llm import quantiles, splits
+from shotlens.llm import encode, quantiles, splits
 from shotlens.session import cut
 from shotlens.sources.tables import table
 
@@ -48,7 +48,18 @@ def p2_combined_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.combined_percentiles(parts, ["site_id", "frame_id"], POINTS).select("site_id", "frame_id", "p", "value", "n")
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_load_percentiles": p2_load_percentiles, "p2_combined_percentiles": p2_combined_percentiles}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by source, and how many come back unchanged from their ids; a null text comes back empty."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("was"))
+    back = encode.decode_corpus(p6_ids(spark, d), "doc_id").select("doc_id", F.xxhash64("text").alias("now"))
+    return docs.join(back, "doc_id").groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("was") == F.col("now")).alias("n_same"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_load_percentiles": p2_load_percentiles, "p2_combined_percentiles": p2_combined_percentiles, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
 
 _RANKED = """
 with v as (select load_id, site_id, frame_id, count_corrected_template as v from frame_sites where count_corrected_template is not null and not isnan(count_corrected_template)),
@@ -56,4 +67,5 @@ r as (select *, row_number() over (partition by load_id, site_id, frame_id order
 select load_id::bigint as load_id, site_id::bigint as site_id, frame_id::bigint as frame_id, p, v as value, n
 from r join (select unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::double[]) as p) on k = greatest(1, ceil(p * n - 1e-9))
 """
-SQL = {"p2_load_percentiles": _RANKED}
+_SAME = "select source, count(*) as n_docs, count(*) as n_same from documents group by source"
+SQL = {"p2_load_percentiles": _RANKED, "p6_round_trip": _SAME}
