@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlens.llm import encode, quantiles, splits
+from shotlens.llm import encode, mixing, quantiles, splits
 from shotlens.session import cut
 from shotlens.sources.tables import table
 
@@ -59,7 +59,15 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(back, "doc_id").groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("was") == F.col("now")).alias("n_same"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_load_percentiles": p2_load_percentiles, "p2_combined_percentiles": p2_combined_percentiles, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "source_targets")).used.select("doc_id", "source", "repeats")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "source_targets")).shares()
+
+
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_load_percentiles": p2_load_percentiles, "p2_combined_percentiles": p2_combined_percentiles, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 
 _RANKED = """
 with v as (select load_id, site_id, frame_id, count_corrected_template as v from frame_sites where count_corrected_template is not null and not isnan(count_corrected_template)),
