@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlens.llm import encode, mixing, quantiles, splits
+from shotlens.llm import encode, mixing, quantiles, splits, truncation
 from shotlens.session import cut
 from shotlens.sources.tables import table
 
@@ -67,7 +67,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "source_targets")).shares()
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_load_percentiles": p2_load_percentiles, "p2_combined_percentiles": p2_combined_percentiles, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated_texts(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return truncation.truncation_rates(docs, truncation.truncated_texts(docs), "doc_id", "source")
+
+
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_load_percentiles": p2_load_percentiles, "p2_combined_percentiles": p2_combined_percentiles, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
 
 _RANKED = """
 with v as (select load_id, site_id, frame_id, count_corrected_template as v from frame_sites where count_corrected_template is not null and not isnan(count_corrected_template)),
