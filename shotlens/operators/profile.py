@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotlens.session import cut
 from shotlens.sources.tables import require_columns
 
 #: The flags a row may carry.
@@ -97,7 +98,7 @@ def load_findings(rows: DataFrame, runs: DataFrame, loads: DataFrame, null_share
     A run missing from ``runs`` has no commanded exposure, and a load missing from ``loads`` no date, so those values are not judged as shifted.
     """
     cols = ["quality_flag", "exposure_ms", "timestamp"]
-    counts = value_counts(rows, ["load_id", "run_id"], cols)
+    counts = cut(value_counts(rows, ["load_id", "run_id"], cols))  # read twice below
     counts = counts.join(runs.select("run_id", F.col("exposure_ms").alias("commanded")).dropDuplicates(["run_id"]), "run_id", "left")
     counts = counts.join(loads.select("load_id", "loaded_at").dropDuplicates(["load_id"]), "load_id", "left")
     col, value, n = F.col("column_name"), F.col("value"), F.col("n")
