@@ -65,7 +65,7 @@ class CorpusEnds:
 
     def __init__(self, docs: DataFrame, key: str, page: str, source: str, text: str, known: int = 3):
         x = docs.select(F.col(key).alias("key"), F.col(page).alias("page"), F.col(source).alias("source"), F.col(text).alias("text"))
-        limits = length_limits(x, "source", "text")
+        limits = cut(length_limits(x, "source", "text"))
         chars = limits.where("unit = 'chars'").select("source", F.col("size").alias("n_chars"), F.lit(True).alias("at_chars"))
         # a cut after a number of bytes falls back to the border of a character, up to three bytes before
         by = limits.where("unit = 'bytes'").select("source", F.explode(F.sequence(F.col("size") - 3, F.col("size"))).alias("n_bytes"), F.lit(True).alias("at_bytes")).distinct()
@@ -87,13 +87,13 @@ class CorpusEnds:
         )
         tok = tok.select("page", "last", "at_limit", "kind", F.explode(at).alias("t")).select("page", "last", "at_limit", "kind", "t.*")
         fair = F.col("ends") & ~(F.col("last") & F.col("at_limit"))  # a text at a limit is no example of an end
+        inner = ~(F.col("ends") & F.col("last")) & F.col("tok").rlike(r"[^\p{L}\p{N}]$")
         pairs = tok.groupBy("kind", "prev", "tok").agg(
-            F.count_if(~F.col("ends")).alias("goes_on"), F.count_if(fair).alias("ends"),
+            F.count_if(~F.col("ends")).alias("goes_on"), F.count_if(fair).alias("ends"), F.count_if(inner).alias("seen"), F.count_if(inner & F.col("stops")).alias("stops"),
             F.min(F.when(fair, F.col("page"))).alias("page1"), F.max(F.when(fair, F.col("page"))).alias("page2"),
         )
-        self.pairs = cut(pairs.where("ends > 0 or goes_on > 0"))
-        inner = tok.where(~(F.col("ends") & F.col("last")) & F.col("tok").rlike(r"[^\p{L}\p{N}]$"))
-        self.marked = inner.groupBy("tok").agg(F.count("*").alias("seen"), F.count_if("stops").alias("stops"), F.min("page").alias("page1"), F.max("page").alias("page2"))
+        self.pairs = cut(pairs)
+        self.marked = self.pairs.where("seen > 0").groupBy("tok").agg(F.sum("seen").alias("seen"), F.sum("stops").alias("stops"))
         # the end of a text may be a piece of a word, so it is no evidence that the word exists
         whole = F.when(F.col("last"), F.regexp_replace("line", r"[^ ]*$", "")).otherwise(F.col("line"))
         words = line.select(F.explode(F.regexp_extract_all(whole, F.lit(f"({WORD})"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
