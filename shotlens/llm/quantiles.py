@@ -35,7 +35,7 @@ def _slices(key: np.ndarray) -> np.ndarray:
 
 
 def sorted_chunks(df: DataFrame, keys: list[str], value: str, chunk_rows: int = 1 << 20, error: float = 0.0) -> DataFrame:
-    """(keys..., vals array<double>, wts array<bigint>): the values of each task's rows, sorted, thinned where error > 0. Keys are whole numbers."""
+    """(keys..., vals array<double>, wts array<bigint>): the values of each task's rows, sorted; where error > 0 thinned, with weights. Keys are whole numbers."""
     require_columns(df, *keys, value)
     x = df.select(*[F.col(k).cast("bigint").alias(k) for k in keys], F.col(value).cast("double").alias("_v"))
     x = x.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
@@ -64,6 +64,8 @@ def sorted_chunks(df: DataFrame, keys: list[str], value: str, chunk_rows: int =
         vals = v[np.repeat(at[:-1], kept) + first + (width - 1) // 2]
         keyed = [pa.array(np.where(k[at[:-1], 2 * i + 1] == 1, 0, k[at[:-1], 2 * i]), mask=k[at[:-1], 2 * i + 1] == 1) for i in range(len(names))]
         lists = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(a)) for a in (vals, width)]
+        if not error:  # every value stands for one row
+            lists[1] = pa.nulls(len(kept), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([*keyed, *lists], schema=schema)
 
     def build(batches):
@@ -94,6 +96,14 @@ def _bound(flat: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, righ
     return lo
 
 
+def _weights(vals: pa.ListArray, wts: pa.ListArray) -> np.ndarray:
+    """The weight of each value; where a chunk has none each is 1."""
+    n = np.diff(vals.offsets.to_numpy())
+    w = np.ones(n.sum(), np.int64)
+    w[np.repeat(np.asarray(wts.is_valid()), n)] = wts.flatten().to_numpy()
+    return w
+
+
 COUNTS = "lt bigint, eq bigint, gt bigint, mid_lt double, mid_gt double"
 
 
@@ -107,9 +117,9 @@ def _count_chunk(names: list[str]):
             base = int(vals.offsets[0].as_py())
             flat = vals.flatten().to_numpy()
             start, end = start - base, end - base
-            w = np.r_[0, np.cumsum(wts.flatten().to_numpy())]  # rows before each value
             if not len(flat):
                 continue
+            w = np.r_[0, np.cumsum(_weights(vals, wts))]  # rows before each value
             open_ = b.column("open")
             obase = int(open_.offsets[0].as_py())
             off = open_.offsets.to_numpy().astype(np.int64) - obase
@@ -148,7 +158,7 @@ def _read_rest(names: list[str]):
         for b in batches:
             vals, wts = b.column("vals"), b.column("wts")
             off = vals.offsets.to_numpy().astype(np.int64)
-            flat, w = vals.flatten().to_numpy(), wts.flatten().to_numpy()
+            flat, w = vals.flatten().to_numpy(), _weights(vals, wts)
             off = off - off[0]
             open_ = b.column("open")
             ooff = open_.offsets.to_numpy().astype(np.int64)
@@ -185,7 +195,7 @@ def select_ranks(chunks: DataFrame, keys: list[str], points: list[float], rest:
     names = [f"_k{i}" for i in range(len(keys))]
     c = cut(chunks.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "vals", "wts"))
     flat_keys = ", ".join(f"{n} bigint" for n in names)
-    n = F.expr("aggregate(wts, 0L, (a, x) -> a + x)")
+    n = F.coalesce(F.expr("aggregate(wts, 0L, (a, x) -> a + x)"), F.size("vals").cast("bigint"))
     groups = c.groupBy(*names).agg(F.sum(n).alias("n"))
     # the state: for each group and point the rank k still to pass within (lo, hi), open at either end where null
     wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.ceil(F.lit(float(p)) * F.col("n") - 1e-9), F.lit(1)).cast("bigint").alias("k")) for p in points])
