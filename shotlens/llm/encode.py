@@ -63,26 +63,28 @@ class Coder:
             mine += got
         return (ids, lengths) if mine == ids else (ids, [])
 
-    def join_word(self, a: list[int], b: list[int], k: int = 8) -> list[int]:
+    def join_word(self, a: np.ndarray, b: np.ndarray, k: int = 8) -> np.ndarray:
         """The encoding of one word out of the encodings of its two parts."""
         while True:
-            left, right = a[-k:], b[:k]
+            left, right = a[-k:].tolist(), b[:k].tolist()
             mid = self.word(self.text(left) + self.text(right))
             if (k >= len(a) or mid[0] == left[0]) and (k >= len(b) or mid[-1] == right[-1]):
-                return a[: max(0, len(a) - k)] + mid + b[k:]
+                return np.concatenate([a[: max(0, len(a) - k)], np.asarray(mid, np.int32), b[k:]])
             k *= 2
 
-    def join(self, a: tuple[list[int], list[int]], b: tuple[list[int], list[int]]) -> tuple[list[int], list[int]]:
+    def join(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and ids per word of two neighbouring pieces as one; only the windows become Python numbers."""
         (ai, aw), (bi, bw) = a, b
-        if not ai or not bi:
-            return b if not ai else a
-        if not aw or not bw:
-            return self.leaf((self.text(ai) + self.text(bi)).decode())
+        if not len(ai) or not len(bi):
+            return b if not len(ai) else a
+        if not len(aw) or not len(bw):
+            both = self.leaf((self.text(ai.tolist()) + self.text(bi.tolist())).decode())
+            return np.asarray(both[0], np.int32), np.asarray(both[1], np.int32)
         m = 4
         while True:
-            la, lb = aw[-m:], bw[:m]
+            la, lb = aw[-m:].tolist(), bw[:m].tolist()
             ta, tb = sum(la), sum(lb)
-            left, right = ai[len(ai) - ta :], bi[:tb]
+            left, right = ai[len(ai) - ta :].tolist(), bi[:tb].tolist()
             lbytes, rbytes = self.text(left), self.text(right)
             words = [w.encode() for w in self.words_of((lbytes + rbytes).decode())]
             whole = m >= len(bw)
@@ -102,15 +104,16 @@ class Coder:
                 break
             m *= 2
         n, skip = used
-        ids, lengths = ai[: len(ai) - ta], aw[: max(0, len(aw) - m)]
+        one, two = ai[len(ai) - int(aw[-1]) :], bi[: int(bw[0])]  # the words on either side of the cut
+        middle = []
         for w in words[:n]:
-            if len(w) > 1024 and la and lb and w == self.text(ai[len(ai) - aw[-1] :]) + self.text(bi[: bw[0]]):
-                got = self.join_word(ai[len(ai) - aw[-1] :], bi[: bw[0]])
+            if len(w) > 1024 and w == self.text(one.tolist()) + self.text(two.tolist()):
+                middle.append(self.join_word(one, two))
             else:
-                got = self.word(w)
-            ids = ids + got
-            lengths = lengths + [len(got)]
-        return ids + bi[sum(bw[:skip]) :], lengths + bw[skip:]
+                middle.append(np.asarray(self.word(w), np.int32))
+        ids = np.concatenate([ai[: len(ai) - ta], *middle, bi[int(bw[:skip].sum()) :]])
+        lengths = np.concatenate([aw[: max(0, len(aw) - m)], np.asarray([len(x) for x in middle], np.int32), bw[skip:]])
+        return ids, lengths
 
 
 @lru_cache(maxsize=2)
@@ -157,9 +160,13 @@ def encode_corpus(docs: DataFrame, key: str, text: str, ranks: str = DEFAULT_RAN
         c = coder(ranks)
         for b in batches:
             got = []
-            for sides in b.column("sides"):  # one row at a time: as Python numbers ids take much memory
-                parts = [(s["ids"], s["words"]) for s in sides.as_py()]
-                got.append([np.asarray(x, np.int32) for x in (c.join(*parts) if len(parts) == 2 else parts[0])])
+            sides = b.column("sides")
+            at, inner = sides.offsets.to_numpy(), sides.values
+            ids, words = inner.field("ids"), inner.field("words")
+            part = lambda x, i: x.values[x.offsets[i].as_py() : x.offsets[i + 1].as_py()].to_numpy()
+            for first, end in zip(at[:-1].tolist(), at[1:].tolist()):
+                parts = [(part(ids, i), part(words, i)) for i in range(first, end)]
+                got.append(c.join(*parts) if len(parts) == 2 else parts[0])
             yield pa.RecordBatch.from_arrays([b.column("r"), b.column("k"), b.column("level"), b.column("piece"), _lists([g[0] for g in got]), _lists([g[1] for g in got])], names=["r", "k", "level", "piece", "ids", "words"])
 
     short = x.where(F.col("t").isNull() | ~long_).mapInArrow(whole, f"k {kind}, ids array<int>")
