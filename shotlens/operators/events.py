@@ -8,16 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TRAJECTORY = Window.partitionBy("run_id", "shot_id", "site_id").orderBy("frame_id")
-
-
 def interval_name(a: str, b: str) -> Column:
     return F.concat_ws("->", F.col(a).cast("string"), F.col(b).cast("string"))
 
 
 def transitions(calls: DataFrame) -> DataFrame:
     """Each pair of neighbouring frames of a site: interval, call before and after."""
-    x = calls.withColumns({"next_frame": F.lead("frame_id").over(TRAJECTORY), "next_call": F.lead("occupied").over(TRAJECTORY)})
+    w = Window.partitionBy("run_id", "shot_id", "site_id").orderBy("frame_id")
+    x = calls.withColumns({"next_frame": F.lead("frame_id").over(w), "next_call": F.lead("occupied").over(w)})
     return x.where("next_frame is not null").withColumn("interval", interval_name("frame_id", "next_frame"))
 
 

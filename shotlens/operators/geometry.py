@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotlens.functions.numbers import rounded
+
 
 def _celled(df: DataFrame, radius: float, around: bool) -> DataFrame:
     cx, cy = F.floor(F.col("site_x") / radius), F.floor(F.col("site_y") / radius)
@@ -28,7 +30,7 @@ def near_pairs(a: DataFrame, b: DataFrame, key: str, radius: float) -> DataFrame
 def nearest_neighbours(sites: DataFrame, radius: float = 150.0) -> DataFrame:
     """For each site of a run the nearest other site within the radius and how many there are; sites without one are left out."""
     p = near_pairs(sites, sites, "run_id", radius).where("a_id <> b_id")
-    return p.groupBy("run_id", F.col("a_id").alias("site_id")).agg(F.min(F.struct(F.round("distance", 6).alias("d"), "b_id")).alias("x"), F.count("*").alias("n_near")).select("run_id", "site_id", F.col("x.b_id").alias("nearest_id"), F.col("x.d").alias("distance"), "n_near")
+    return p.groupBy("run_id", F.col("a_id").alias("site_id")).agg(F.min(F.struct(rounded("distance", 6).alias("d"), "b_id")).alias("x"), F.count("*").alias("n_near")).select("run_id", "site_id", F.col("x.b_id").alias("nearest_id"), F.col("x.d").alias("distance"), "n_near")
 
 
 def match_runs(sites: DataFrame, runs: DataFrame, radius: float = 20.0) -> DataFrame:
@@ -38,11 +40,11 @@ def match_runs(sites: DataFrame, runs: DataFrame, radius: float = 20.0) -> DataF
     order = runs.select("dataset_id", "run_id").distinct().withColumn("before", F.lag("run_id").over(Window.partitionBy("dataset_id").orderBy("run_id"))).where("before is not null")
     a = sites.join(order.select("run_id"), "run_id", "left_semi")
     b = sites.join(order.select(F.col("before").alias("run_id"), F.col("run_id").alias("later")), "run_id").select(F.col("later").alias("run_id"), "site_id", "site_x", "site_y")
-    p = near_pairs(a, b, "run_id", radius).withColumn("distance", F.round("distance", 6))
+    p = near_pairs(a, b, "run_id", radius).withColumn("distance", rounded("distance", 6))
     to = p.groupBy("run_id", "a_id").agg(F.min(F.struct("distance", "b_id")).alias("x")).select("run_id", "a_id", F.col("x.b_id").alias("b_id"), F.col("x.distance").alias("distance"))
     fro = p.groupBy("run_id", "b_id").agg(F.min(F.struct("distance", "a_id")).alias("x")).select("run_id", "b_id", F.col("x.a_id").alias("a_id"))
     m = to.join(fro, ["run_id", "a_id", "b_id"])
-    return m.groupBy("run_id").agg(F.count("*").alias("n_matched"), F.round(F.percentile("distance", 0.5), 6).alias("median_distance"), F.max("distance").alias("most_distance"))
+    return m.groupBy("run_id").agg(F.count("*").alias("n_matched"), rounded(F.percentile("distance", 0.5), 6).alias("median_distance"), F.max("distance").alias("most_distance"))
 
 
 def local_background(clean: DataFrame, sites: DataFrame, value: str, radius: float = 150.0) -> DataFrame:
@@ -50,4 +52,4 @@ def local_background(clean: DataFrame, sites: DataFrame, value: str, radius: flo
     near = near_pairs(sites, sites, "run_id", radius).where("a_id <> b_id").select("run_id", F.col("a_id").alias("site_id"), "b_id")
     x = clean.select("run_id", "shot_id", "frame_id", "site_id", F.when(~F.isnan(value), F.col(value)).alias("v")).where("v is not null")
     around = x.withColumnRenamed("site_id", "b_id").join(near, ["run_id", "b_id"])
-    return around.groupBy("run_id", "shot_id", "frame_id", "site_id").agg(F.count("*").alias("n_around"), F.round(F.avg("v"), 4).alias("around"))
+    return around.groupBy("run_id", "shot_id", "frame_id", "site_id").agg(F.count("*").alias("n_around"), rounded(F.avg("v"), 4).alias("around"))

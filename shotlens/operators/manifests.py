@@ -37,4 +37,4 @@ def attach_split(rows: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataF
 def split_coverage(shots: DataFrame, manifest: DataFrame) -> DataFrame:
     """Shots by run, condition and split: a condition that a split lacks shows a zero."""
     x = shots.select("run_id", "shot_id", "condition_id", "cycle_index").join(manifest, ["run_id", "cycle_index"])
-    return x.groupBy("run_id", "condition_id").pivot("split", ["train", "validation", "test"]).agg(F.count("*")).fillna(0)
+    return x.groupBy("run_id", "condition_id").pivot("split", ["train", "validation", "test"]).agg(F.count(F.lit(1))).fillna(0)

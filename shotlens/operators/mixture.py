@@ -1,14 +1,18 @@
 """Two-level Gaussian mixtures of the counts, one per group, fitted to all rows by expectation maximisation.
 
-One iteration is one aggregate over the counts, which are grouped on fine bins once: the counts of a group in steps of a
-hundredth of its spread stand for the rows, so an iteration reads the bins and not the rows, and its cost no longer grows with them.
+The counts of a group are first put into fine bins by an aggregate (1200 at most, steps of a four hundredth of the group's spread);
+their means and numbers stand for the rows, so a fit gets as many numbers for a large group as for a small one, and groups are
+fitted in parallel.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotlens.functions.numbers import rounded
 from shotlens.operators.shots import finite
 from shotlens.session import cut
 
@@ -24,37 +28,53 @@ def log_sum(a: Column, b: Column) -> Column:
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
 
 
-def fit_mixtures(rows: DataFrame, by: list[str], value: str, rounds: int = 40, bins: int = 400, least_weight: float = 0.02) -> DataFrame:
-    """(by..., n, weight, mean0, mean1, sd0, sd1, log_likelihood); component 1 is the brighter one. Groups of fewer than 8 values or none but one are left out."""
+def expectation_maximisation(v: np.ndarray, c: np.ndarray, starts: list[tuple[float, float]], floor: float, least_weight: float = 0.02, rounds: int = 500, tolerance: float = 1e-8) -> tuple[float, ...]:
+    """The best of several starts on values v with counts c: (weight, mean0, mean1, sd0, sd1, log-likelihood), the second component the brighter."""
+    n, best = c.sum(), None
+    mean = (c * v).sum() / n
+    spread = max(float(np.sqrt((c * (v - mean) ** 2).sum() / n)), floor)
+    for m0, m1 in starts:
+        w, s0, s1, last = 0.5, spread / 2, spread / 2, -np.inf
+        for _ in range(rounds):
+            l0 = np.log(1 - w) - 0.5 * ((v - m0) / s0) ** 2 - np.log(s0 * ROOT_2PI)
+            l1 = np.log(w) - 0.5 * ((v - m1) / s1) ** 2 - np.log(s1 * ROOT_2PI)
+            both = np.logaddexp(l0, l1)
+            ll = float((c * both).sum())
+            if ll - last <= tolerance * abs(ll):
+                break
+            last, r = ll, c * np.exp(l1 - both)
+            w1, w0 = max(r.sum(), 1e-9), max((c - r).sum(), 1e-9)
+            m1, m0 = (r * v).sum() / w1, ((c - r) * v).sum() / w0
+            s1 = max(np.sqrt((r * (v - m1) ** 2).sum() / w1), floor)
+            s0 = max(np.sqrt(((c - r) * (v - m0) ** 2).sum() / w0), floor)
+            w = min(max(w1 / n, least_weight), 1 - least_weight)
+        got = (w, m0, m1, s0, s1, ll) if m0 <= m1 else (1 - w, m1, m0, s1, s0, ll)
+        if best is None or ll > best[-1]:
+            best = got
+    return tuple(float(x) for x in best)
+
+
+def fit_mixtures(rows: DataFrame, by: list[str], value: str, bins: int = 400) -> DataFrame:
+    """(by..., n, weight, mean0, mean1, sd0, sd1, log_likelihood); component 1 is the brighter one. Groups of fewer than 8 values or only one are left out."""
     x = rows.select(*by, finite(value).alias("v")).where("v is not null")
     q = F.percentile_approx("v", F.array(*[F.lit(p) for p in (0.005, 0.25, 0.75, 0.995)]), F.lit(10_000))
-    g = x.groupBy(*by).agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), q.alias("q")).where("n >= 8 and s > 0").select(*by, "n", "m", "s", F.col("q")[0].alias("lo"), F.col("q")[1].alias("a"), F.col("q")[2].alias("b"), F.col("q")[3].alias("hi"))
-    g = cut(g.where("hi > lo"))
+    g = x.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop("v").alias("s"), q.alias("q")).where("n >= 8 and s > 0")
+    g = cut(g.select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("a"), F.col("q")[2].alias("b"), F.col("q")[3].alias("hi")).where("hi > lo"))
     step = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.greatest(F.floor((F.col("v") - F.col("lo")) / step), F.lit(-bins)), F.lit(2 * bins))
-    grid = cut(x.join(g.select(*by, "lo", "hi"), by).groupBy(*by, at.alias("bin")).agg(F.avg("v").alias("v"), F.count("*").alias("c")))
-    floor = F.greatest(0.02 * F.col("s"), F.lit(1e-9))
-    p = g.select(*by, "n", floor.alias("floor"), F.lit(0.5).alias("weight"), F.col("a").alias("mean0"), F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a") + F.col("s")).alias("mean1"), F.greatest(F.col("s") / 2, floor).alias("sd0"), F.greatest(F.col("s") / 2, floor).alias("sd1"), F.lit(0.0).alias("log_likelihood"))
-    for i in range(rounds):
-        y = grid.join(p, by)
-        l0 = F.ln(1 - F.col("weight")) + log_normal(F.col("v"), F.col("mean0"), F.col("sd0"))
-        l1 = F.ln("weight") + log_normal(F.col("v"), F.col("mean1"), F.col("sd1"))
-        y = y.withColumns({"l0": l0, "l1": l1}).withColumns({"ll": log_sum(F.col("l0"), F.col("l1"))}).withColumn("r", F.exp(F.col("l1") - F.col("ll")))
-        c, r, v = F.col("c"), F.col("r"), F.col("v")
-        s = y.groupBy(*by, "n", "floor").agg(
-            F.sum(c * r).alias("w1"), F.sum(c * r * v).alias("x1"), F.sum(c * r * v * v).alias("xx1"), F.sum(c * (1 - r)).alias("w0"), F.sum(c * (1 - r) * v).alias("x0"), F.sum(c * (1 - r) * v * v).alias("xx0"), F.sum(c * F.col("ll")).alias("log_likelihood"),
-        )
-        w1, w0 = F.greatest("w1", F.lit(1e-9)), F.greatest("w0", F.lit(1e-9))
-        m1, m0 = F.col("x1") / w1, F.col("x0") / w0
-        p = s.select(
-            *by, "n", "floor", F.least(F.greatest(F.col("w1") / F.col("n"), F.lit(least_weight)), F.lit(1 - least_weight)).alias("weight"), m0.alias("mean0"), m1.alias("mean1"),
-            F.greatest(F.sqrt(F.greatest(F.col("xx0") / w0 - m0 * m0, F.lit(0.0))), F.col("floor")).alias("sd0"), F.greatest(F.sqrt(F.greatest(F.col("xx1") / w1 - m1 * m1, F.lit(0.0))), F.col("floor")).alias("sd1"), "log_likelihood",
-        )
-        if i % 8 == 7:
-            p = cut(p)
-    swap = F.col("mean0") > F.col("mean1")
-    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    return p.select(*by, "n", F.when(swap, 1 - F.col("weight")).otherwise(F.col("weight")).alias("weight"), pick("mean0", "mean1").alias("mean0"), pick("mean1", "mean0").alias("mean1"), pick("sd0", "sd1").alias("sd0"), pick("sd1", "sd0").alias("sd1"), "log_likelihood")
+    grid = x.join(g, by).groupBy(*by, "lo", "a", "b", "hi", at.alias("bin")).agg(F.avg("v").alias("v"), F.count("*").alias("c"))
+    kinds = ", ".join(f"{b} {rows.schema[b].dataType.simpleString()}" for b in by)
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        v, c = pdf["v"].to_numpy(float), pdf["c"].to_numpy(float)
+        lo, a, b, hi = (float(pdf[k].iloc[0]) for k in ("lo", "a", "b", "hi"))
+        sd = float(np.sqrt((c * (v - (c * v).sum() / c.sum()) ** 2).sum() / c.sum()))
+        starts = [(a, b), (lo, hi), (a, hi), (lo, b), ((lo + a) / 2, (b + hi) / 2)]
+        out = expectation_maximisation(v, c, starts, max(1e-9, 0.02 * sd))
+        return pd.DataFrame([[*key, int(c.sum()), *out]], columns=[*by, "n", "weight", "mean0", "mean1", "sd0", "sd1", "log_likelihood"])
+
+    return grid.groupBy(*by).applyInPandas(fit, f"{kinds}, n bigint, weight double, mean0 double, mean1 double, sd0 double, sd1 double, log_likelihood double")
 
 
 def score(rows: DataFrame, params: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -77,4 +97,4 @@ def rank_models(scored: dict[str, DataFrame], by: list[str]) -> DataFrame:
     parts = [df.groupBy(*by).agg(F.count("*").alias("n"), (-F.avg("log_density")).alias("nll")).withColumn("model", F.lit(name)) for name, df in scored.items()]
     x = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy(*by)
-    return x.select(*by, "model", "n", F.round("nll", 6).alias("nll"), F.round(F.col("nll") - F.min("nll").over(w), 6).alias("delta"), F.row_number().over(w.orderBy("nll", "model")).alias("rank"))
+    return x.select(*by, "model", "n", rounded("nll", 6).alias("nll"), rounded(F.col("nll") - F.min("nll").over(w), 6).alias("delta"), F.row_number().over(w.orderBy("nll", "model")).alias("rank"))

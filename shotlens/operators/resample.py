@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotlens.functions.numbers import rounded
+
 
 def spread(replicate: Column, slot: Column) -> Column:
     """A well mixed number below 2**23 for each pair, in plain 64-bit arithmetic."""
@@ -36,4 +38,4 @@ def bootstrap_mean(stats: DataFrame, strata: list[str], unit: str, by: list[str]
     a = (1 - confidence) / 2
     ends = per.groupBy(*by).agg(F.percentile("m", F.array(F.lit(a), F.lit(1 - a))).alias("q"), F.count("*").alias("n_replicates"))
     point = stats.groupBy(*by).agg(F.avg(value).alias("estimate"), F.count("*").alias("n_units"))
-    return point.join(ends, by).select(*by, "n_units", "n_replicates", F.round("estimate", 6).alias("estimate"), F.round(F.col("q")[0], 6).alias("lower"), F.round(F.col("q")[1], 6).alias("upper"))
+    return point.join(ends, by).select(*by, "n_units", "n_replicates", rounded("estimate", 6).alias("estimate"), rounded(F.col("q")[0], 6).alias("lower"), rounded(F.col("q")[1], 6).alias("upper"))

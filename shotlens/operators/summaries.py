@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotlens.functions.numbers import rounded
 from shotlens.operators.shots import finite
 
 SHOT = ["run_id", "shot_id"]
@@ -17,7 +18,7 @@ def entropy(p: Column) -> Column:
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(c, 6)
+    return rounded(c, 6)
 
 
 def guarded_corr(n: Column, sxy: Column, sxx: Column, syy: Column) -> Column:
@@ -56,7 +57,7 @@ def slopes(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     slope = F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx"))
     rest = F.greatest(F.col("syy") - slope * F.col("sxy"), F.lit(0.0))
     err = F.when((F.col("n") > 2) & (F.col("sxx") > 0), F.sqrt(rest / (F.col("n") - 2) / F.col("sxx")))
-    return s.select(*by, "n", r6(slope).alias("slope"), F.round(F.col("my") - slope * F.col("mx"), 4).alias("intercept"), r6(err).alias("slope_error"), r6(guarded_corr(F.col("n"), F.col("sxy"), F.col("sxx"), F.col("syy"))).alias("r"))
+    return s.select(*by, "n", r6(slope).alias("slope"), rounded(F.col("my") - slope * F.col("mx"), 4).alias("intercept"), r6(err).alias("slope_error"), r6(guarded_corr(F.col("n"), F.col("sxy"), F.col("sxx"), F.col("syy"))).alias("r"))
 
 
 def shot_means(clean: DataFrame, columns: list[str]) -> DataFrame:
@@ -69,14 +70,14 @@ def site_statistics(clean: DataFrame, value: str, background: str) -> DataFrame:
     g = x.groupBy("run_id", "site_id", "frame_id").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.percentile("v", F.array(F.lit(0.1), F.lit(0.9))).alias("q"), F.avg("b").alias("mean_background"), F.count_if(F.col("quality_flag") != "ok").alias("n_flagged"),
     )
-    return g.select("run_id", "site_id", "frame_id", "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), F.round(F.col("q")[0], 4).alias("p10"), F.round(F.col("q")[1], 4).alias("p90"), F.round(F.col("q")[1] - F.col("q")[0], 4).alias("spread"), F.round("mean_background", 4).alias("mean_background"), "n_flagged")
+    return g.select("run_id", "site_id", "frame_id", "n", rounded("mean", 4).alias("mean"), rounded("sd", 4).alias("sd"), rounded(F.col("q")[0], 4).alias("p10"), rounded(F.col("q")[1], 4).alias("p90"), rounded(F.col("q")[1] - F.col("q")[0], 4).alias("spread"), rounded("mean_background", 4).alias("mean_background"), "n_flagged")
 
 
 def heterogeneity(stats: DataFrame, sites: DataFrame) -> DataFrame:
     """Spread of the site means by run, grid and frame."""
     x = stats.join(sites.select("run_id", "site_id", "grid_id"), ["run_id", "site_id"], "left").where("mean is not null")
     g = x.groupBy("run_id", "grid_id", "frame_id").agg(F.count("*").alias("n_sites"), F.percentile("mean", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"), F.avg("mean").alias("m"), F.stddev_pop("mean").alias("s"))
-    return g.select("run_id", "grid_id", "frame_id", "n_sites", *[F.round(F.col("q")[i], 3).alias(n) for i, n in enumerate(("least", "p25", "median", "p75", "most"))], r6(F.try_divide("s", F.abs("m"))).alias("variation"))
+    return g.select("run_id", "grid_id", "frame_id", "n_sites", *[rounded(F.col("q")[i], 3).alias(n) for i, n in enumerate(("least", "p25", "median", "p75", "most"))], r6(F.try_divide("s", F.abs("m"))).alias("variation"))
 
 
 def paired_frames(clean: DataFrame, value: str, first: int = 0, second: int = 1) -> DataFrame:
@@ -109,7 +110,7 @@ def histogram(rows: DataFrame, by: list[str], value: str, bins: int = 60, tail:
     at = F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int")
     n = y.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
     whole = F.sum("n").over(Window.partitionBy(*by))  # at most as many rows as bins
-    return n.select(*by, "bin", "n", F.round(F.col("n") / (whole * (F.col("hi") - F.col("lo")) / bins), 9).alias("density"))
+    return n.select(*by, "bin", "n", rounded(F.col("n") / (whole * (F.col("hi") - F.col("lo")) / bins), 9).alias("density"))
 
 
 def js_divergence(a: DataFrame, b: DataFrame, by: list[str], cell: list[str], n: str = "n") -> DataFrame:
@@ -131,7 +132,7 @@ def background_methods(clean: DataFrame, methods: dict[str, str]) -> DataFrame:
         F.count("*").alias("n_shots"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("sd"), F.regr_sxx("y", "b").alias("bxx"), F.regr_sxy("y", "b").alias("bxy"), F.regr_syy("y", "b").alias("yy"), F.regr_sxx("y", "shot_order").alias("oxx"), F.regr_sxy("y", "shot_order").alias("oxy"),
     )
     return g.select(
-        "run_id", "frame_id", "method", "n_shots", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"),
+        "run_id", "frame_id", "method", "n_shots", rounded("mean", 4).alias("mean"), rounded("sd", 4).alias("sd"),
         r6(guarded_corr(F.col("n_shots"), F.col("bxy"), F.col("bxx"), F.col("yy"))).alias("r_background"), r6(F.when(F.col("oxx") > 0, F.col("oxy") / F.col("oxx"))).alias("drift"),
     )
 

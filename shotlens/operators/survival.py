@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotlens.functions.numbers import rounded
+
 TINY = 1e-9
 
 
@@ -105,7 +107,7 @@ def paired_gate(per_shot: DataFrame, by: list[str], simple: str, richer: str) ->
     gain = F.col(simple) - F.col(richer)
     g = per_shot.groupBy(*by).agg(F.count("*").alias("n_shots"), F.avg(gain).alias("gain"), (F.stddev_samp(gain) / F.sqrt(F.count("*"))).alias("se"))
     lower = F.col("gain") - 1.959964 * F.col("se")
-    return g.select(*by, "n_shots", F.round("gain", 6).alias("gain"), F.round(lower, 6).alias("lower"), F.round(F.col("gain") + 1.959964 * F.col("se"), 6).alias("upper"), (F.coalesce(lower > 0, F.lit(False))).cast("int").alias("passes"))
+    return g.select(*by, "n_shots", rounded("gain", 6).alias("gain"), rounded(lower, 6).alias("lower"), rounded(F.col("gain") + 1.959964 * F.col("se"), 6).alias("upper"), (F.coalesce(lower > 0, F.lit(False))).cast("int").alias("passes"))
 
 
 def loss_budget(runs: DataFrame, bright_rate: float, dark_rate: float, gap_s: float = 0.01) -> DataFrame:
@@ -118,4 +120,4 @@ def loss_budget(runs: DataFrame, bright_rate: float, dark_rate: float, gap_s: fl
     # segments alternate, so the hazard before one is a closed form of its number
     k = F.col("segment") - 1
     before = F.ceil(k / 2) * bright_rate * F.col("exposure_s") + F.floor(k / 2) * dark_rate * gap_s
-    return x.select("run_id", "segment", F.when(bright, "exposure").otherwise("gap").alias("kind"), F.round(F.exp(-before), 9).alias("before"), F.round(1 - F.exp(-hazard), 9).alias("loss"), F.round(F.exp(-before) * (1 - F.exp(-hazard)), 9).alias("part"))
+    return x.select("run_id", "segment", F.when(bright, "exposure").otherwise("gap").alias("kind"), rounded(F.exp(-before), 9).alias("before"), rounded(1 - F.exp(-hazard), 9).alias("loss"), rounded(F.exp(-before) * (1 - F.exp(-hazard)), 9).alias("part"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shotlens.plans import problems
+from shotlens.plans import core, problems
 
-PARTS = [problems]
+PARTS = [core, problems]
 
 
 def queries() -> dict:
