@@ -44,7 +44,7 @@ def plan_shares(sources: pd.DataFrame, total: float | None, least_total: float)
         total = float(bounds.min()) if len(bounds) else float(room.sum())
     p["wanted"] = p["share"] * total
     p["given"] = p[["wanted"]].assign(room=room).min(axis=1)
-    p["able"] = p["given"] >= p["wanted"] * (1 - 1e-9)
+    p["able"] = (p["n_tokens"] > 0) & (p["given"] >= p["wanted"] * (1 - 1e-9))
     times = (p["given"] / p["n_tokens"]).where(p["n_tokens"] > 0, 0.0)
     p["whole"] = (times + 1e-12).astype(int)
     p["extra"] = (times - p["whole"]).clip(lower=0.0)
