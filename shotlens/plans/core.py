@@ -11,6 +11,7 @@ from shotlens.operators import summaries as S
 from shotlens.operators.shots import occupancy_calls, one_delivery, site_thresholds
 from shotlens.session import cut
 from shotlens.sources.tables import table
+from shotlens.streaming import loads as streams
 
 VALUE = "count_corrected_template"
 BRIGHT_RATE, DARK_RATE = 0.049250, 0.027984
@@ -465,3 +466,14 @@ def chain_occupancy(spark: SparkSession, d: str) -> DataFrame:
     traj = cut(chains.trajectories(_clean(spark, d), VALUE))
     x = chains.smoothed(traj, chains.baum_welch(traj, 6)).select("run_id", F.posexplode("occupied").alias("frame", "p"))
     return x.groupBy("run_id", "frame").agg(F.count("*").alias("n"), rounded(F.avg("p"), 5).alias("occupied"))
+
+
+@query("""select run_id, shot_id, count(*) as n_rows, max(frame_id)::int as last_frame, min(load_id) as first_load, max(load_id) as last_load from frame_sites group by all""")
+def streamed_shots(spark: SparkSession, d: str) -> DataFrame:
+    return streams.run_available(streams.shot_progress(streams.stream_of(spark, f"{d}/frame_sites.parquet")))
+
+
+@query("""select time_bucket(interval '1 hour', ts)::timestamp as window_start, event_type, count(*) as n_events, sum(floor(value * 100 + 0.5)::bigint)::bigint as cents from events group by all""")
+def streamed_event_windows(spark: SparkSession, d: str) -> DataFrame:
+    x = streams.run_available(streams.event_windows(streams.stream_of(spark, f"{d}/events.parquet")))
+    return x.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
