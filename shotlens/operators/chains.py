@@ -7,7 +7,7 @@ frame; the sums are added up and the M-step is an expression on one row per run,
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +55,17 @@ def forward_backward(y: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarra
 PARAMS = ["start", "stay", "gain", "mean0", "mean1", "sd0", "sd1"]
 
 
-def _by_length(pdf: pd.DataFrame):
-    for k, part in pdf.groupby(pdf["y"].map(len)):
-        y = np.array([[np.nan if v is None else v for v in row] for row in part["y"]], float).reshape(len(part), k)
-        p = {c: np.array([list(r)[: k - 1 if c in ("stay", "gain") else k] for r in part[c]], float) if c != "start" else part[c].to_numpy(float) for c in PARAMS}
-        yield k, part, y, p
+def _by_length(b: pa.RecordBatch):
+    """The trajectories of a batch by number of frames k, as matrices: (k, rows, y, parameters)."""
+    lists = {c: b.column(c) for c in ["y", *PARAMS[1:]]}
+    off = {c: x.offsets.to_numpy() for c, x in lists.items()}
+    flat = {c: x.values.to_numpy(zero_copy_only=False).astype(float) for c, x in lists.items()}
+    length = np.diff(off["y"])
+    start = b.column("start").to_numpy(zero_copy_only=False).astype(float)
+    for k in np.unique(length):
+        rows = np.flatnonzero(length == k)
+        take = lambda c, n: flat[c][off[c][rows][:, None] + np.arange(n)]  # noqa: E731,B023
+        yield int(k), rows, take("y", k), {"start": start[rows]} | {c: take(c, k - 1 if c in ("stay", "gain") else k) for c in PARAMS[1:]}
 
 
 def first_guess(traj: DataFrame) -> DataFrame:
@@ -76,27 +82,25 @@ SUMS = "run_id string, frame int, n bigint, ll double, g double, gx double, gxx
 
 
 def _e_step(batches):
-    for pdf in batches:
-        rows = []
-        for k, part, y, p in _by_length(pdf):
+    for b in batches:
+        names, at = np.unique(b.column("run_id").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        out = []
+        for k, rows, y, p in _by_length(b):
             ll, post, pairs = forward_backward(y, p)
-            seen, z = ~np.isnan(y), np.nan_to_num(y)
-            runs, at = np.unique(part["run_id"].to_numpy(dtype=object), return_inverse=True)
-            add = lambda v: np.bincount(at, v, len(runs))
-            for t in range(k):
-                g, h = post[:, t], 1 - post[:, t]
-                gs, hs = g * seen[:, t], h * seen[:, t]
-                c = {"n": add(np.ones(len(y)) * (t == 0)), "ll": add(ll * (t == 0)), "g": add(gs), "gx": add(gs * z[:, t]), "gxx": add(gs * z[:, t] ** 2), "h": add(hs), "hx": add(hs * z[:, t]), "hxx": add(hs * z[:, t] ** 2)}
-                for name, (i, j) in {"p11": (1, 1), "p10": (1, 0), "p01": (0, 1), "p00": (0, 0)}.items():
-                    c[name] = add(pairs[:, t, i, j]) if t < k - 1 else (add(g) if name == "p11" and t == k - 1 and k == 1 else np.zeros(len(runs)))
-                if t == 0:
-                    c["start"] = add(g)
-                rows.append(pd.DataFrame({"run_id": runs, "frame": t, **{a: b for a, b in c.items() if a != "start"}}))
-                if t == 0:  # the expected number of sites that start occupied travels as frame -1
-                    rows.append(pd.DataFrame({"run_id": runs, "frame": -1, "g": c["start"], "n": 0}).reindex(columns=["run_id", "frame", *c.keys() - {"start"}]).fillna(0))
-        if rows:
-            out = pd.concat(rows, ignore_index=True)
-            yield out[["run_id", "frame", "n", "ll", "g", "gx", "gxx", "h", "hx", "hxx", "p11", "p10", "p01", "p00"]].astype({"n": "int64", "frame": "int32"})
+            seen, z, to = ~np.isnan(y), np.nan_to_num(y), at[rows]
+            add = lambda v: np.bincount(to, v, len(names))  # noqa: E731,B023
+            here = np.flatnonzero(np.bincount(to, minlength=len(names)))
+            for t in range(-1, k):  # the expected number of sites that start occupied travels as frame -1
+                if t < 0:
+                    c = [np.zeros(len(names)), np.zeros(len(names)), add(post[:, 0]), *[np.zeros(len(names))] * 9]
+                else:
+                    g, h = post[:, t] * seen[:, t], (1 - post[:, t]) * seen[:, t]
+                    c = [add(np.full(len(rows), float(t == 0))), add(ll * (t == 0)), add(g), add(g * z[:, t]), add(g * z[:, t] ** 2), add(h), add(h * z[:, t]), add(h * z[:, t] ** 2)]
+                    c += [add(pairs[:, t, i, j]) if t < k - 1 else np.zeros(len(names)) for i, j in ((1, 1), (1, 0), (0, 1), (0, 0))]
+                out.append((names[here], np.full(len(here), t), *[x[here] for x in c]))
+        cols = [np.concatenate(x) for x in zip(*out)] if out else None
+        if cols:
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0].tolist(), pa.string()), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int64)), *[pa.array(x) for x in cols[3:]]], names=["run_id", "frame", "n", "ll", "g", "gx", "gxx", "h", "hx", "hxx", "p11", "p10", "p01", "p00"])
 
 
 def baum_welch(traj: DataFrame, rounds: int = 12) -> DataFrame:
@@ -104,7 +108,7 @@ def baum_welch(traj: DataFrame, rounds: int = 12) -> DataFrame:
     traj = cut(traj.select("run_id", "y"))
     params = cut(first_guess(traj))
     for _ in range(rounds):
-        sums = traj.join(params.select("run_id", *PARAMS), "run_id").select("run_id", "y", *PARAMS).mapInPandas(_e_step, SUMS)
+        sums = traj.join(params.select("run_id", *PARAMS), "run_id").select("run_id", "y", *PARAMS).mapInArrow(_e_step, SUMS)
         s = sums.groupBy("run_id", "frame").agg(*[F.sum(c).alias(c) for c in ("n", "ll", "g", "gx", "gxx", "h", "hx", "hxx", "p11", "p10", "p01", "p00")])
         tiny = F.lit(1e-9)
         m1, m0 = F.col("gx") / F.greatest("g", tiny), F.col("hx") / F.greatest("h", tiny)
@@ -123,10 +127,12 @@ def smoothed(traj: DataFrame, params: DataFrame) -> DataFrame:
     """Each trajectory with its log-likelihood and the probability that the site is occupied, frame by frame."""
 
     def run(batches):
-        for pdf in batches:
-            for _, part, y, p in _by_length(pdf):
+        for b in batches:
+            for k, rows, y, p in _by_length(b):
                 ll, post, _ = forward_backward(y, p)
-                yield pd.DataFrame({"run_id": part["run_id"].to_numpy(), "shot_id": part["shot_id"].to_numpy(), "site_id": part["site_id"].to_numpy(), "log_likelihood": ll, "occupied": list(post)})
+                pick = pa.array(rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * k), pa.array(post.ravel()))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(pick) for c in ("run_id", "shot_id", "site_id")], pa.array(ll), lists], names=["run_id", "shot_id", "site_id", "log_likelihood", "occupied"])
 
     x = traj.join(params.select("run_id", *PARAMS), "run_id").select("run_id", "shot_id", "site_id", "y", *PARAMS)
-    return x.mapInPandas(run, "run_id string, shot_id int, site_id int, log_likelihood double, occupied array<double>")
+    return x.mapInArrow(run, "run_id string, shot_id int, site_id int, log_likelihood double, occupied array<double>")

@@ -19,57 +19,54 @@ from shotlens.functions.numbers import rounded
 TINY = 1e-9
 
 
-def level(s: np.ndarray, n: np.ndarray, e: np.ndarray) -> float:
-    """The q in (0, 1] that makes q * e most likely: the log-likelihood is concave in q, its slope is bisected."""
-    top = min(1.0, (1 - TINY) / e.max())
-    lo, hi = TINY, top
-
-    def slope(q: float) -> float:
-        p = np.clip(q * e, TINY, 1 - TINY)
-        return float((s / q - (n - s) * e / (1 - p)).sum())
-
-    if slope(top) >= 0:
-        return top
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if slope(mid) > 0 else (lo, mid)
-    return (lo + hi) / 2
+def log_likelihood(s: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, TINY, 1 - TINY)
+    return (s * np.log(p) + (n - s) * np.log1p(-p)).sum(-1)
 
 
-def log_likelihood(s: np.ndarray, n: np.ndarray, p: np.ndarray) -> float:
-    p = np.clip(p, TINY, 1 - TINY)
-    return float((s * np.log(p) + (n - s) * np.log1p(-p)).sum())
+def levels(s: np.ndarray, n: np.ndarray, e: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each row of e (one per rate) and each level the q in (0, 1] that makes q * e most likely; of (cells by levels) says which cell has which level.
+
+    The log-likelihood is concave in q, so its slope is bisected, for all rates and levels at once.
+    """
+    top = np.minimum(1.0, (1 - TINY) / np.stack([e[:, of[:, k] > 0].max(1) for k in range(of.shape[1])], 1))
+
+    def slope(q: np.ndarray) -> np.ndarray:
+        mine = q @ of.T
+        p = np.clip(mine * e, TINY, 1 - TINY)
+        return (s / mine - (n - s) * e / (1 - p)) @ of
+
+    lo, hi = np.full_like(top, TINY), top.copy()
+    full = slope(top) >= 0
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        up = slope(mid) > 0
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    return np.where(full, top, (lo + hi) / 2)
 
 
 def fit_rate(s, n, t, j, offset=None, highest: float = 20.0) -> dict:
-    """Rate and levels by profile likelihood: a grid over the rate, then golden section around the best point."""
+    """Rate and levels by profile likelihood: a grid over the rate, then ever finer grids around the best point."""
     s, n, t = (np.asarray(x, float) for x in (s, n, t))
     offset = np.zeros_like(t) if offset is None else np.asarray(offset, float)
     names, at = np.unique(np.asarray(j), return_inverse=True)
+    of = np.eye(len(names))[at]
 
-    def profile(rate: float) -> tuple[float, np.ndarray]:
-        e = np.exp(offset - rate * t)
-        q = np.array([level(s[at == k], n[at == k], e[at == k]) for k in range(len(names))])
-        return log_likelihood(s, n, q[at] * e), q
+    def profile(rates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        e = np.exp(offset - rates[:, None] * t)
+        q = levels(s, n, e, of)
+        return log_likelihood(s, n, (q @ of.T) * e), q
 
     grid = np.r_[0.0, np.geomspace(1e-4, highest, 40)]
-    best = max(range(len(grid)), key=lambda i: profile(grid[i])[0])
-    a, b = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
-    g = (5**0.5 - 1) / 2
-    c, d = b - g * (b - a), a + g * (b - a)
-    fc, fd = profile(c)[0], profile(d)[0]
-    for _ in range(60):
-        if fc >= fd:
-            b, d, fd = d, c, fc
-            c = b - g * (b - a)
-            fc = profile(c)[0]
-        else:
-            a, c, fc = c, d, fd
-            d = a + g * (b - a)
-            fd = profile(d)[0]
-    rate = max((0.0, (a + b) / 2), key=lambda r: profile(r)[0])
-    ll, q = profile(rate)
-    return {"rate": rate, "levels": dict(zip(names.tolist(), q.tolist())), "nll": -ll, "at_edge": bool(rate <= 0 or rate >= 0.99 * highest)}
+    for _ in range(7):
+        ll, _ = profile(grid)
+        best = int(ll.argmax())
+        a, b = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
+        grid = np.linspace(a, b, 21)
+    ll, q = profile(grid)
+    best = int(ll.argmax())
+    rate = float(grid[best])
+    return {"rate": rate, "levels": dict(zip(names.tolist(), q[best].tolist())), "nll": -float(ll[best]), "at_edge": bool(rate <= 0 or rate >= 0.99 * highest)}
 
 
 FIT = "n_cells int, n_trials bigint, rate double, tau double, nll double, at_edge boolean, levels map<string, double>"
