@@ -29,7 +29,12 @@ from pyspark.sql import functions as F
 from shotlens.session import cut
 
 #: Fixed patterns.
-INVISIBLE = r"[\s\p{Z}\p{Cf}\x00-\x1f\x7f]"
+#: White space, controls and characters without width, of which a text's end may have any number.
+INVISIBLE = "".join(map(chr, [*range(0x21), 0x7F, 0x85, 0xA0, 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, *range(0x2060, 0x2065), 0x3000, 0xFEFF]))
+#: Runs of such characters within a line, a single blank apart.
+GAP = r"[ ]{2,}|[ ]?[\p{Z}\p{Cf}\x00-\x1f\x7f&&[^ \n]][\p{Z}\p{Cf}\x00-\x1f\x7f&&[^\n]]*"
+#: Longer tokens stand for themselves by a digest; no known word is longer.
+LONGEST = 64
 MARKED = r"[ ]*(\.\.\.|…|\[\.\.\.\]|\[…\]|\(\.\.\.\)|\[\s*(?i:truncated)\s*\]|\((?i:truncated)\)|&hellip;)$"
 WORD = r"\p{L}+(?:['’]\p{L}+)*"
 NAME = r"""(?<=^| )['"“‘(\[{|*#:=]*\p{Lu}(?:[\p{Ll}\p{N}_\-’'][\p{L}\p{M}\p{N}_\-’']*)?"""
@@ -42,11 +47,12 @@ def _kind(line: Column) -> Column:
 
 
 def _shapes(line: Column) -> Column:
-    return F.split(F.regexp_replace(F.regexp_replace(line, NAME, "A"), r"[0-9]+", "0"), " ")
+    tokens = F.split(F.regexp_replace(F.regexp_replace(line, NAME, "A"), r"[0-9]+", "0"), " ")
+    return F.when(F.length(line) <= LONGEST, tokens).otherwise(F.transform(tokens, lambda t: F.when(F.length(t) <= LONGEST, t).otherwise(F.concat(F.md5(t), F.right(t, F.lit(1))))))
 
 
 def _final_word(line: Column) -> Column:
-    return F.regexp_extract(line, f"({WORD})$", 1)
+    return F.regexp_extract(F.right(line, F.lit(LONGEST + 2)), f"({WORD})$", 1)
 
 
 def length_limits(docs: DataFrame, source: str, text: str, least: int = 8, times: float = 6.0, around: int = 20) -> DataFrame:
@@ -72,20 +78,18 @@ class CorpusEnds:
         x = x.withColumns({"n_chars": F.length("text"), "n_bytes": F.octet_length("text")})
         x = x.join(F.broadcast(chars), ["source", "n_chars"], "left").join(F.broadcast(by), ["source", "n_bytes"], "left")  # a few lengths for each source
         x = x.withColumn("at_limit", F.col("at_chars").isNotNull() | F.col("at_bytes").isNotNull())
-        body = F.regexp_replace("text", f"{INVISIBLE}+$", "")
-        lines = F.filter(F.transform(F.split(body, "\n"), lambda l: F.trim(F.regexp_replace(l, f"{INVISIBLE}+", " "))), lambda l: l != "")
-        self.docs = x.select("key", "page", "source", "at_limit", body.alias("body"), lines.alias("lines"))
-        line = self.docs.select("page", "at_limit", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("at", "line")).withColumn("last", F.col("at") == F.col("n_lines") - 1)
+        self.docs = x.select("key", "page", "source", "at_limit", F.rtrim("text", F.lit(INVISIBLE)).alias("body")).where("body <> ''")
+        lines = F.split(F.regexp_replace("body", GAP, " "), "\n")
+        line = self.docs.select("page", "at_limit", lines.alias("lines")).select("page", "at_limit", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("at", "line"))
+        line = line.withColumns({"last": F.col("at") == F.col("n_lines") - 1, "line": F.trim("line")}).where("line <> ''")
         page = F.coalesce(F.xxhash64("page"), F.lit(0))
         tok = line.select(page.alias("page"), "last", "at_limit", _kind(F.col("line")).alias("kind"), _shapes(F.col("line")).alias("sh"))
-        at = F.transform(
-            "sh",
-            lambda t, i: F.struct(
-                F.when(i > 0, F.get("sh", i - 1)).otherwise("").alias("prev"), t.alias("tok"), (i == F.size("sh") - 1).alias("ends"),
-                F.coalesce(F.get("sh", i + 1).rlike(r"^(A|[^\p{L}\p{N}])"), ~F.col("last")).alias("stops"),
-            ),
-        )
-        tok = tok.select("page", "last", "at_limit", "kind", F.explode(at).alias("t")).select("page", "last", "at_limit", "kind", "t.*")
+        # neighbours come from shifted copies of the array, so that a token is a plain row after the explode
+        none = F.array(F.lit(""))
+        trio = F.arrays_zip(F.concat(none, F.slice("sh", 1, F.size("sh") - 1)).alias("prev"), F.col("sh").alias("tok"), F.concat(F.slice("sh", 2, F.size("sh")), none).alias("next"))
+        tok = tok.withColumn("n", F.size("sh")).select("page", "last", "at_limit", "kind", "n", F.posexplode(trio).alias("i", "t"))
+        tok = tok.select("page", "last", "at_limit", "kind", "t.prev", "t.tok", "t.next", (F.col("i") == F.col("n") - 1).alias("ends"))
+        tok = tok.withColumn("stops", F.when(F.col("ends"), ~F.col("last")).otherwise(F.col("next").rlike(r"^(A|[^\p{L}\p{N}])")))
         fair = F.col("ends") & ~(F.col("last") & F.col("at_limit"))  # a text at a limit is no example of an end
         inner = ~(F.col("ends") & F.col("last")) & F.col("tok").rlike(r"[^\p{L}\p{N}]$")
         pairs = tok.groupBy("kind", "prev", "tok").agg(
@@ -98,7 +102,7 @@ class CorpusEnds:
         whole = F.when(F.col("last"), F.regexp_replace("line", r"[^ ]*$", "")).otherwise(F.col("line"))
         words = line.select(F.explode(F.regexp_extract_all(whole, F.lit(f"({WORD})"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         self.words = cut(words)
-        known_ = self.words.where(f"n >= {known}").where(F.length("word") <= 64)
+        known_ = self.words.where(f"n >= {known}").where(F.length("word") <= LONGEST)
         self.trie = known_.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))).alias("node"), "n", "word").where("length(word) > 1").groupBy("node").agg(F.sum("n").alias("below"), F.count("*").alias("n_words"))
         longer = self.pairs.where(F.length("tok") > 1).select("kind", "prev", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("tok") - 1, F.lit(40))), lambda k: F.substring("tok", F.lit(1), k))).alias("tok"), (F.col("ends") + F.col("goes_on")).alias("n"))
         self.longer = longer.groupBy("kind", "prev", "tok").agg(F.sum("n").alias("longer"))
@@ -112,10 +116,10 @@ def _unclosed(text: Column, opened: str, closed: str) -> Column:
 def truncated_texts(docs: DataFrame, key: str = "doc_id", page: str = "page_id", source: str = "source", text: str = "text") -> DataFrame:
     """(key, source, at_limit, reason) for every truncated text."""
     c = CorpusEnds(docs, key, page, source, text)
-    d = c.docs.where(F.size("lines") > 0).withColumn("line", F.element_at("lines", -1))
+    d = c.docs.withColumn("line", F.trim(F.regexp_replace(F.substring_index("body", "\n", -1), GAP, " ")))
     # a token with a mark that the corpus has elsewhere, on several pages, is an end that was written
-    d = d.withColumn("marked_tok", F.when(F.col("line").rlike(MARKED), F.element_at(_shapes(F.col("line")), -1)))
-    d = d.select("key", "source", "at_limit", "line", "marked_tok", F.col("body").rlike(r"\{\|").alias("has_table"), _unclosed(F.col("body"), "{|", "|}").alias("open_table"))
+    d = d.withColumn("marked_tok", F.when(F.right(F.col("line"), F.lit(LONGEST)).rlike(MARKED), F.element_at(_shapes(F.col("line")), -1)))
+    d = d.select("key", "source", "at_limit", "line", "marked_tok", _unclosed(F.col("body"), "{|", "|}").alias("open_table"))
     m = c.marked.select(F.col("tok").alias("marked_tok"), (F.col("seen") >= 3).alias("usual")).where("usual")
     d = d.join(m, "marked_tok", "left").withColumn("mark", F.col("marked_tok").isNotNull() & F.col("usual").isNull())
     line = F.trim(F.when(F.col("mark"), F.regexp_replace("line", MARKED, "")).otherwise(F.col("line")))
@@ -139,7 +143,7 @@ def truncated_texts(docs: DataFrame, key: str = "doc_id", page: str = "page_id",
     reason = (
         F.when(F.col("open_table"), "table")
         .when(_unclosed(x, "[[", "]]"), "link")
-        .when(x.rlike(r"<(/?[A-Za-z!][^>]*)?$"), "tag")
+        .when(_unclosed(x, "<", ">") & F.substring_index(x, "<", -1).rlike(r"^(/?[A-Za-z!]|$)"), "tag")
         .when(_unclosed(x, "<ref>", "</ref>") & ~after_ref.rlike(r"\. \p{Lu}"), "reference")
         .when(_unclosed(x, "{{", "}}") & ~x.rlike(r"[!|]$"), "template")
         .when(x.rlike(r"^==+[^=]+=?$"), "heading")
@@ -149,7 +153,7 @@ def truncated_texts(docs: DataFrame, key: str = "doc_id", page: str = "page_id",
         # a name in a list that the corpus doesn't know is no proof
         .when(open_end & ~closed_quote & ~usual & ~((F.col("word") != "") & (kind != "p") & (n["word_n"] < 3)), "sentence")
         .when((kind == "p") & (F.col("final") == ".") & (n["seen"] >= 5) & (n["stops"] < 0.2 * n["seen"]), "abbreviation")
-        .when((kind == "p") & F.col("final").isin("}", "]", ">", ")") & ~x.rlike(r"(/>|</ref>|/\w+>)$") & ~usual, "sentence")
+        .when((kind == "p") & F.col("final").isin("}", "]", ">", ")") & ~F.right(x, F.lit(LONGEST)).rlike(r"(/>|</ref>|/\w+>)$") & ~usual, "sentence")
     )
     out = d.withColumn("reason", reason).where("reason is not null")
     return out.select(F.col("key").alias(key), F.col("source").alias(source), "at_limit", "reason")
