@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from shotlens.functions.numbers import rounded
 
 
-def spread(replicate: Column, slot: Column) -> Column:
-    """A well mixed number below 2**23 for each pair, in plain 64-bit arithmetic."""
-    x = (replicate.cast("bigint") * 1000003 + slot.cast("bigint") * 7919 + 12345) % 2147483648
+def spread(replicate: Column, slot: Column, stratum: Column) -> Column:
+    """A well mixed number below 2**23 for each triple, in plain 64-bit arithmetic that any engine has."""
+    salt = F.conv(F.substring(F.md5(stratum), 1, 7), 16, 10).cast("bigint")
+    x = (replicate.cast("bigint") * 1000003 + slot.cast("bigint") * 7919 + salt) % 2147483648
     for _ in range(3):
+        x = x.bitwiseXOR(F.shiftright(x, 15))
         x = (x * 1103515245 + 12345) % 2147483648
-    return F.floor(x / 256)
+    return F.shiftright(x, 8)
 
 
 def draws(units: DataFrame, strata: list[str], unit: str, replicates: int) -> DataFrame:
@@ -25,7 +27,7 @@ def draws(units: DataFrame, strata: list[str], unit: str, replicates: int) -> Da
     w = Window.partitionBy(*strata)
     placed = units.select(*strata, unit).distinct().withColumns({"place": F.row_number().over(w.orderBy(unit)) - 1, "size": F.count("*").over(w)})
     slots = placed.select(*strata, "size", F.col("place").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    picked = slots.select("replicate", *strata, (spread(F.col("replicate"), F.col("slot")) % F.col("size")).cast("int").alias("place"))
+    picked = slots.select("replicate", *strata, (spread(F.col("replicate"), F.col("slot"), F.concat_ws("|", *strata)) % F.col("size")).cast("int").alias("place"))
     times = picked.groupBy("replicate", *strata, "place").agg(F.count("*").alias("times"))
     return times.join(placed.select(*strata, "place", unit), [*strata, "place"]).select("replicate", *strata, unit, "times")
 
