@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shotlens.plans import core, problems
+from shotlens.plans import core, more, problems
 
-PARTS = [core, problems]
+PARTS = [core, more, problems]
 
 
 def queries() -> dict:
