@@ -8,7 +8,7 @@ group and wanted rank at once, rounds are played over the chunks, which are neve
 3. every chunk counts its values below, at and above the pivot, and proposes a median for either side,
 4. the counts are added up; the side that can't hold the rank is discarded, or the pivot is the answer,
 
-until every rank is found.  A range that holds at most ``rest`` values is settled by reading the rank off.  The answer is an element of the data, the one of rank max(1, ceil(p * n)): no error.
+until every rank is found.  Every third round the discarded values are cut off the chunks.  A range that holds at most ``rest`` values is settled by reading the rank off.  The answer is an element of the data, the one of rank max(1, ceil(p * n)): no error.
 
 ``summaries`` keeps, of every chunk, one value for each ``2 * error`` of its rows, with the number of rows it stands for.
 Summaries of any tasks, loads or days can be put together and selected from in the same rounds: each is off by at most
@@ -107,33 +107,37 @@ def _weights(vals: pa.ListArray, wts: pa.ListArray) -> np.ndarray:
 COUNTS = "lt bigint, eq bigint, gt bigint, mid_lt double, mid_gt double"
 
 
+def _in_range(b: pa.RecordBatch):
+    """For a batch of chunks with their open ranks: values, weights, offsets, the chunk of each rank, the ranks, and the slice of values within each one's range."""
+    vals = b.column("vals")
+    off = vals.offsets.to_numpy().astype(np.int64)
+    off = off - off[0]
+    flat, w = vals.flatten().to_numpy(), _weights(vals, b.column("wts"))
+    open_ = b.column("open")
+    row = np.repeat(np.arange(b.num_rows), np.diff(open_.offsets.to_numpy()))
+    items = open_.flatten()
+    lo, hi = items.field(1), items.field(2)
+    s, e = off[row], off[row + 1]
+    number = lambda c: c.fill_null(0.0).to_numpy(zero_copy_only=False)
+    i0 = np.where(np.asarray(lo.is_null()), s, _bound(flat, s, e, number(lo), True))
+    i1 = np.maximum(i0, np.where(np.asarray(hi.is_null()), e, _bound(flat, s, e, number(hi), False)))
+    return flat, w, off, row, items, i0, i1
+
+
 def _count_chunk(names: list[str]):
     """Of each chunk and open rank: values below, at and above the pivot within the range, and the median of either side."""
 
     def play(batches):
         for b in batches:
-            vals, wts = b.column("vals"), b.column("wts")
-            start, end = vals.offsets.to_numpy()[:-1].astype(np.int64), vals.offsets.to_numpy()[1:].astype(np.int64)
-            base = int(vals.offsets[0].as_py())
-            flat = vals.flatten().to_numpy()
-            start, end = start - base, end - base
+            flat, w, _, row, items, i0, i1 = _in_range(b)
             if not len(flat):
                 continue
-            w = np.r_[0, np.cumsum(_weights(vals, wts))]  # rows before each value
-            open_ = b.column("open")
-            obase = int(open_.offsets[0].as_py())
-            off = open_.offsets.to_numpy().astype(np.int64) - obase
-            row = np.repeat(np.arange(b.num_rows), np.diff(off))
-            items = open_.flatten()
-            rank, lo, hi, pivot = (items.field(i) for i in range(4))
-            lo_, hi_, pv = (c.to_numpy(zero_copy_only=False) for c in (lo, hi, pivot))
-            s, e = start[row], end[row]
-            i0 = np.where(np.asarray(lo.is_null()), s, _bound(flat, s, e, np.nan_to_num(lo_, nan=0.0, posinf=np.inf, neginf=-np.inf), True))
-            i1 = np.where(np.asarray(hi.is_null()), e, _bound(flat, s, e, np.nan_to_num(hi_, nan=0.0, posinf=np.inf, neginf=-np.inf), False))
+            rank, pivot = items.field(0), items.field(3)
+            w = np.r_[0, np.cumsum(w)]  # rows before each value
             free = np.asarray(pivot.is_null())  # the first round has no pivot: all values stand "above"
-            p = np.nan_to_num(pv, nan=0.0, posinf=np.inf, neginf=-np.inf)
-            a = np.where(free, i0, np.clip(_bound(flat, s, e, p, False), i0, i1))
-            c = np.where(free, i0, np.clip(_bound(flat, s, e, p, True), i0, i1))
+            p = pivot.fill_null(0.0).to_numpy(zero_copy_only=False)
+            a = np.where(free, i0, _bound(flat, i0, i1, p, False))
+            c = np.where(free, i0, _bound(flat, i0, i1, p, True))
 
             def middle(x, y):
                 want = (w[x] + w[y]) / 2
@@ -142,8 +146,7 @@ def _count_chunk(names: list[str]):
                 return np.where(y > x, flat[np.minimum(m, len(flat) - 1)], 0.0)
 
             lt, eq, gt = w[a] - w[i0], w[c] - w[a], w[i1] - w[c]
-            some = lt + eq + gt > 0
-            pick = np.flatnonzero(some)
+            pick = np.flatnonzero(lt + eq + gt > 0)
             keyed = [b.column(n).take(pa.array(row[pick])) for n in names]
             out = [*keyed, rank.take(pa.array(pick)), pa.array(lt[pick]), pa.array(eq[pick]), pa.array(gt[pick]), pa.array(middle(i0, a)[pick], mask=lt[pick] == 0), pa.array(middle(c, i1)[pick], mask=gt[pick] == 0)]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "p", "lt", "eq", "gt", "mid_lt", "mid_gt"])
@@ -156,21 +159,8 @@ def _read_rest(names: list[str]):
 
     def read(batches):
         for b in batches:
-            vals, wts = b.column("vals"), b.column("wts")
-            off = vals.offsets.to_numpy().astype(np.int64)
-            flat, w = vals.flatten().to_numpy(), _weights(vals, wts)
-            off = off - off[0]
-            open_ = b.column("open")
-            ooff = open_.offsets.to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(b.num_rows), np.diff(ooff))
-            items = open_.flatten()
-            lo, hi = items.field(1), items.field(2)
-            s, e = off[row], off[row + 1]
-            if not len(flat):
-                continue
-            i0 = np.where(np.asarray(lo.is_null()), s, _bound(flat, s, e, np.nan_to_num(lo.to_numpy(zero_copy_only=False), nan=0.0, posinf=np.inf, neginf=-np.inf), True))
-            i1 = np.where(np.asarray(hi.is_null()), e, _bound(flat, s, e, np.nan_to_num(hi.to_numpy(zero_copy_only=False), nan=0.0, posinf=np.inf, neginf=-np.inf), False))
-            n = np.maximum(i1 - i0, 0)
+            flat, w, _, row, items, i0, i1 = _in_range(b)
+            n = i1 - i0
             which = np.repeat(np.arange(len(row)), n)
             at = np.repeat(i0, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             keyed = [b.column(k).take(pa.array(row[which])) for k in names]
@@ -179,6 +169,26 @@ def _read_rest(names: list[str]):
     return read
 
 
+def _trim(names: list[str]):
+    """Chunks without the values that no open rank can be any more."""
+
+    def cut_off(batches):
+        for b in batches:
+            flat, w, off, _, _, i0, i1 = _in_range(b)
+            step = np.zeros(len(flat) + 1, np.int64)
+            np.add.at(step, i0, 1)
+            np.add.at(step, i1, -1)
+            keep = np.cumsum(step)[:-1] > 0
+            left = np.r_[0, np.cumsum(keep)][off]
+            rows = np.flatnonzero(np.diff(left) > 0)
+            ends = pa.array(np.r_[0, left[1:][rows]].astype(np.int32))
+            same = b.column("wts").null_count == b.num_rows
+            wts = pa.nulls(len(rows), pa.list_(pa.int64())) if same else pa.ListArray.from_arrays(ends, pa.array(w[keep]))
+            yield pa.RecordBatch.from_arrays([*[b.column(n).take(pa.array(rows)) for n in names], pa.ListArray.from_arrays(ends, pa.array(flat[keep])), wts], names=[*names, "vals", "wts"])
+
+    return cut_off
+
+
 def _weighted_median(proposals: Column, total: Column) -> Column:
     """The value at half of the weight of a list of (v, n)."""
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("v"))
@@ -190,23 +200,33 @@ def _weighted_median(proposals: Column, total: Column) -> Column:
     return F.aggregate(F.array_sort(proposals), zero, step, lambda acc: acc["v"])
 
 
-def select_ranks(chunks: DataFrame, keys: list[str], points: list[float], rest: int = 32) -> DataFrame:
+def select_ranks(chunks: DataFrame, keys: list[str], points: list[float], rest: int = 32, chunks_per_part: int = 64, trim_every: int = 3) -> DataFrame:
     """(keys..., p, value, n, rounds): for each group and point p the value of rank max(1, ceil(p * n)) by multi-select over chunks."""
-    names = [f"_k{i}" for i in range(len(keys))]
-    c = cut(chunks.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "vals", "wts"))
+    # null keys become a number of flags, so that plain equality holds
+    names = [*[f"_k{i}" for i in range(len(keys))], "_null"]
+    flags = sum((F.col(k).isNull().cast("bigint") * (1 << i) for i, k in enumerate(keys)), F.lit(0).cast("bigint"))
+    raw = chunks.select(*[F.coalesce(k, F.lit(0)).cast("bigint").alias(n) for k, n in zip(keys, names)], flags.alias("_null"), "vals", "wts")
+    raw = cut(raw)
     flat_keys = ", ".join(f"{n} bigint" for n in names)
     n = F.coalesce(F.expr("aggregate(wts, 0L, (a, x) -> a + x)"), F.size("vals").cast("bigint"))
-    groups = c.groupBy(*names).agg(F.sum(n).alias("n"))
-    # the state: for each group and point the rank k still to pass within (lo, hi), open at either end where null
+    # a group of many chunks is spread over several parts, so that no task holds a hot group
+    groups = cut(raw.groupBy(*names).agg(F.sum(n).alias("n"), F.ceil(F.count("*") / chunks_per_part).cast("int").alias("salts")))
+    if groups.where("salts > 1").isEmpty():
+        salted = raw.withColumn("_s", F.lit(0))
+    else:
+        salted = raw.join(groups.select(*names, "salts"), names).withColumn("_s", F.pmod(F.xxhash64("vals"), F.col("salts")).cast("int")).drop("salts")  # equal chunks of a group may meet
+    c = salted
     wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.ceil(F.lit(float(p)) * F.col("n") - 1e-9), F.lit(1)).cast("bigint").alias("k")) for p in points])
     none = F.lit(None).cast("double")
-    state = groups.select(*names, "n", F.explode(wanted).alias("w")).select(*names, "n", "w.p", "w.k", none.alias("lo"), none.alias("hi"), none.alias("pivot"), F.col("n").alias("left"), none.alias("value"), F.lit(0).alias("round"))
+    # the state: for each group and point the rank k still to pass within (lo, hi), open at either end where null
+    state = groups.select(*names, "n", "salts", F.explode(wanted).alias("w")).select(*names, "n", "salts", "w.p", "w.k", none.alias("lo"), none.alias("hi"), none.alias("pivot"), F.col("n").alias("left"), none.alias("value"), F.lit(0).alias("round"))
     state = cut(state)
-    done = []
+    done, turn = [], 0
 
     def over_chunks(open_: DataFrame) -> DataFrame:
-        ranges = open_.groupBy(*names).agg(F.collect_list(F.struct("p", "lo", "hi", "pivot")).alias("open"))
-        return _join(c, ranges, names)
+        ranges = open_.groupBy(*names, "salts").agg(F.collect_list(F.struct("p", "lo", "hi", "pivot")).alias("open"))
+        ranges = ranges.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        return c.join(ranges, [*names, "_s"])
 
     while True:
         done.append(state.where("value is not null"))
@@ -220,23 +240,26 @@ def select_ranks(chunks: DataFrame, keys: list[str], points: list[float], rest:
                 m = acc["n"] + x["n"]
                 return F.struct(m.alias("n"), F.when(acc["v"].isNull() & (m >= F.col("k")), x["v"]).otherwise(acc["v"]).alias("v"))
 
-            got = _join(small.drop("value"), lists, [*names, "p"]).withColumn("value", F.aggregate("vs", zero, pass_, lambda a: a["v"])).select(*state.columns)
+            got = small.drop("value").join(lists, [*names, "p"]).withColumn("value", F.aggregate("vs", zero, pass_, lambda a: a["v"])).select(*state.columns)
             done.append(cut(got))
         state = state.where(f"value is null and left > {rest}")
         if state.isEmpty():
             break
+        turn += 1
+        if turn % trim_every == 0:  # what is discarded is no longer carried along
+            c = cut(over_chunks(state).mapInArrow(_trim([*names, "_s"]), f"{flat_keys}, _s int, vals array<double>, wts array<bigint>"))
         counted = over_chunks(state).mapInArrow(_count_chunk(names), f"{flat_keys}, p double, {COUNTS}")
         sums = counted.groupBy(*names, "p").agg(
             F.sum("lt").alias("lt"), F.sum("eq").alias("eq"), F.sum("gt").alias("gt"),
             F.collect_list(F.when(F.col("lt") > 0, F.struct(F.col("mid_lt").alias("v"), F.col("lt").alias("n")))).alias("below"),
             F.collect_list(F.when(F.col("gt") > 0, F.struct(F.col("mid_gt").alias("v"), F.col("gt").alias("n")))).alias("above"),
         )
-        s = _join(state, sums, [*names, "p"])
+        s = state.join(sums, [*names, "p"])
         k, lt, eq = F.col("k"), F.col("lt"), F.col("eq")
         low, hit = F.col("pivot").isNotNull() & (k <= lt), F.col("pivot").isNotNull() & (k > lt) & (k <= lt + eq)
         state = cut(
             s.select(
-                *names, "n", "p",
+                *names, "n", "salts", "p",
                 F.when(low | hit, k).otherwise(k - lt - eq).alias("k"),
                 F.when(low, F.col("lo")).otherwise(F.coalesce("pivot", "lo")).alias("lo"),
                 F.when(low, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
@@ -244,20 +267,13 @@ def select_ranks(chunks: DataFrame, keys: list[str], points: list[float], rest:
                 F.when(low, lt).otherwise(F.col("gt")).alias("left"),
                 F.when(hit, F.col("pivot")).alias("value"),
                 (F.col("round") + 1).alias("round"),
-            ).select(*names, "n", "p", "k", "lo", "hi", F.col("next").alias("pivot"), "left", "value", "round")
+            ).select(*names, "n", "salts", "p", "k", "lo", "hi", F.col("next").alias("pivot"), "left", "value", "round")
         )
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select(*[F.col(m).alias(kk) for m, kk in zip(names, keys)], "p", "value", "n", F.col("round").alias("rounds"))
-
-
-def _join(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
-    """Inner join in which null keys meet."""
-    r = right.select(*[F.col(n).alias(f"_r{n}") for n in names], *[c for c in right.columns if c not in names])
-    cond = [F.col(n).eqNullSafe(F.col(f"_r{n}")) for n in names]
-    both = left.join(r, cond)
-    return both.drop(*[f"_r{n}" for n in names])
+    back = [F.when(F.col("_null").bitwiseAND(1 << i) == 0, F.col(m)).alias(k) for i, (m, k) in enumerate(zip(names, keys))]
+    return out.select(*back, "p", "value", "n", F.col("round").alias("rounds"))
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:
