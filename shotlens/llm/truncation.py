@@ -33,6 +33,8 @@ from shotlens.session import cut
 INVISIBLE = "".join(map(chr, [*range(0x21), 0x7F, 0x85, 0xA0, 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, *range(0x2060, 0x2065), 0x3000, 0xFEFF]))
 #: Runs of such characters within a line, a single blank apart.
 GAP = r"[ ]{2,}|[ ]?[\p{Z}\p{Cf}\x00-\x1f\x7f&&[^ \n]][\p{Z}\p{Cf}\x00-\x1f\x7f&&[^\n]]*"
+#: So many limits of fields (a few for each source) are broadcast to the texts; more are joined by a shuffle.
+MOST_LIMITS = 100_000
 #: Longer tokens stand for themselves by a digest; no known word is longer.
 LONGEST = 64
 MARKED = r"[ ]*(\.\.\.|…|\[\.\.\.\]|\[…\]|\(\.\.\.\)|\[\s*(?i:truncated)\s*\]|\((?i:truncated)\)|&hellip;)$"
@@ -76,7 +78,8 @@ class CorpusEnds:
         # a cut after a number of bytes falls back to the border of a character, up to three bytes before
         by = limits.where("unit = 'bytes'").select("source", F.explode(F.sequence(F.col("size") - 3, F.col("size"))).alias("n_bytes"), F.lit(True).alias("at_bytes")).distinct()
         x = x.withColumns({"n_chars": F.length("text"), "n_bytes": F.octet_length("text")})
-        x = x.join(F.broadcast(chars), ["source", "n_chars"], "left").join(F.broadcast(by), ["source", "n_bytes"], "left")  # a few lengths for each source
+        small = F.broadcast if limits.count() <= MOST_LIMITS else lambda df: df
+        x = x.join(small(chars), ["source", "n_chars"], "left").join(small(by), ["source", "n_bytes"], "left")
         x = x.withColumn("at_limit", F.col("at_chars").isNotNull() | F.col("at_bytes").isNotNull())
         self.docs = x.select("key", "page", "source", "at_limit", F.rtrim("text", F.lit(INVISIBLE)).alias("body")).where("body <> ''")
         lines = F.split(F.regexp_replace("body", GAP, " "), "\n")
