@@ -79,7 +79,8 @@ def start(x: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
     lo, hi, wide = at(0.0), at(1.0), at(0.9) - at(0.1)
     core = ok.copy()
-    for j in np.flatnonzero((count >= 3) & (hi - lo > 1.8 * wide)):
+    middle = at(0.82) - at(0.18)
+    for j in np.flatnonzero((count >= 3) & ((hi - lo > 1.8 * wide) | (hi - lo > 2.2 * middle))):
         rows = np.flatnonzero(ok[:, j])
         keep = core_mask(x[rows, j], wide[j])
         if keep.any():
