@@ -40,7 +40,7 @@ LONGEST = 64
 MARKED = r"[ ]*(\.\.\.|…|\[\.\.\.\]|\[…\]|\(\.\.\.\)|\[\s*(?i:truncated)\s*\]|\((?i:truncated)\)|&hellip;)$"
 WORD = r"\p{L}+(?:['’]\p{L}+)*"
 NAME = r"""(?<=^| )['"“‘(\[{|*#:=]*\p{Lu}(?:[\p{Ll}\p{N}_\-’'][\p{L}\p{M}\p{N}_\-’']*)?"""
-OPEN_END = r"""[\p{L}\p{M}\p{N},;:\-–—(\['"“„«’&/#=+_]$"""
+OPEN_END = r"""[\p{L}\p{M}\p{N},;:\-–—(\['"“„«’&/#=+_¿¡]$"""
 
 
 def _kind(line: Column) -> Column:
@@ -49,7 +49,9 @@ def _kind(line: Column) -> Column:
 
 
 def _shapes(line: Column) -> Column:
-    tokens = F.split(F.regexp_replace(F.regexp_replace(line, NAME, "A"), r"[0-9]+", "0"), " ")
+    # numbers of any length are alike, but the minutes of a time keep their number of digits
+    x = F.regexp_replace(F.regexp_replace(line, NAME, "A"), r"(?<![0-9]:)(?<![0-9]:[0-9])[0-9]+", "0")
+    tokens = F.split(F.regexp_replace(x, r"[0-9]", "0"), " ")
     return F.when(F.length(line) <= LONGEST, tokens).otherwise(F.transform(tokens, lambda t: F.when(F.length(t) <= LONGEST, t).otherwise(F.concat(F.md5(t), F.right(t, F.lit(1))))))
 
 
@@ -153,8 +155,8 @@ def truncated_texts(docs: DataFrame, key: str = "doc_id", page: str = "page_id",
         .when(open_end & ~closed_quote & script, "sentence")
         .when(open_end & ~closed_quote & stump & ~usual, "word")
         .when(open_end & ~closed_quote & ~usual & F.col("at_limit"), "limit")
-        # a name in a list that the corpus doesn't know is no proof
-        .when(open_end & ~closed_quote & ~usual & ~((F.col("word") != "") & (kind != "p") & (n["word_n"] < 3)), "sentence")
+        # a name in a list that the corpus doesn't know is no proof, nor is an entry in capitals
+        .when(open_end & ~closed_quote & ~usual & ~((F.col("word") != "") & (kind != "p") & ((n["word_n"] < 3) | (x == F.upper(x)))), "sentence")
         .when((kind == "p") & (F.col("final") == ".") & (n["seen"] >= 5) & (n["stops"] < 0.2 * n["seen"]), "abbreviation")
         .when((kind == "p") & F.col("final").isin("}", "]", ">", ")") & ~F.right(x, F.lit(LONGEST)).rlike(r"(/>|</ref>|/\w+>)$") & ~usual, "sentence")
     )
