@@ -84,5 +84,19 @@ r as (select *, row_number() over (partition by load_id, site_id, frame_id order
 select load_id::bigint as load_id, site_id::bigint as site_id, frame_id::bigint as frame_id, p, v as value, n
 from r join (select unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::double[]) as p) on k = greatest(1, ceil(p * n - 1e-9))
 """
+_FOUND_1 = r"""
+with recursive seen as (select distinct run_id, shot_id, nullif(trim(lower(regexp_extract(raw_image_path, '[^/\\]*$'))), '') as file,
+    case when length(l) >= 2 and starts_with('train', l) then 'train' when length(l) >= 2 and starts_with('validation', l) then 'validation' when length(l) >= 2 and starts_with('test', l) then 'test' end as label
+  from (select *, lower(regexp_replace(split, '^\s+|\s+$', '', 'g')) as l from frame_sites)),
+node as (select distinct run_id, shot_id, 's|' || run_id || '|' || shot_id as n from (select run_id, shot_id from shots union select run_id, shot_id from seen)),
+one as (select 's|' || run_id || '|' || shot_id as a, 'c|' || run_id || '|' || cycle_index as b from shots where cycle_index is not null
+  union select 's|' || run_id || '|' || shot_id, 's|' || run_id || '|' || retake_of_shot_id from shots where retake_of_shot_id is not null
+  union select 's|' || run_id || '|' || shot_id, 'f|' || file from seen where file is not null),
+link as (select a, b from one union select b, a from one),
+reach as (select n, n as root from node union select link.b, reach.root from reach join link on link.a = reach.n),
+grp as (select n, min(root) as root from reach group by n),
+bad as (select root from grp join node using (n) join seen using (run_id, shot_id) where label is not null group by root having count(distinct label) > 1)
+select run_id, shot_id from node join grp using (n) where root in (select root from bad)
+"""
 _SAME = "select source, count(*) as n_docs, count(*) as n_same from documents group by source"
-SQL = {"p2_load_percentiles": _RANKED, "p6_round_trip": _SAME}
+SQL = {"p1_found": _FOUND_1, "p2_load_percentiles": _RANKED, "p6_round_trip": _SAME}
