@@ -97,15 +97,19 @@ union all select distinct load_id, column_name, 'values', value from per where c
 """
 
 
-def _profile_sql() -> str:
+def _cells_sql() -> str:
     cells = []
     for c in NUMERIC + TEXT:
         num = f'case when isfinite("{c}"::double) then "{c}"::double end' if c in NUMERIC else "null::double"
         txt = f'"{c}"' if c in TEXT else "null::varchar"
         cells.append(f"select load_id, '{c}' as column_name, \"{c}\"::varchar as value, {num} as x, {txt} as t from frame_sites")
+    return " union all ".join(cells)
+
+
+def _profile_sql() -> str:
     formed = _FORMED.replace("else not (x <= 0 or isnan(x) or x > 10000)", "else true")
     return f"""
-with cells as ({' union all '.join(cells)}),
+with cells as ({_cells_sql()}),
 v as (select load_id, column_name, value, x, t, count(*) as n, any_value({formed}) as formed from cells group by 1, 2, 3, 4, 5)
 select load_id, column_name, sum(n)::bigint as n_rows, coalesce(sum(n) filter (value is null), 0)::bigint as n_null,
   round(coalesce(sum(n) filter (value is null), 0) / sum(n), 9) as null_share, count(value) as n_distinct,
@@ -115,6 +119,19 @@ from v group by 1, 2
 """
 
 
+_OCTAVE = "floor(2 * log2(abs(y)) + 1e-9)::int::varchar"
+_P4_SHIFTS = f"""
+with cells as ({_cells_sql()}), y as (select load_id, column_name, value, try_cast(value as double) as y, column_name in ({', '.join(f"'{c}'" for c in NUMERIC)}) as num from cells),
+b as (select load_id, column_name, case when value is null then 'null' when num then case when isnan(y) then 'nan' when isinf(y) then 'inf' when y = 0 then '0' when y < 0 then '-' || {_OCTAVE} else {_OCTAVE} end
+  else '=' || regexp_replace(regexp_replace(value, '[0-9]+', '9', 'g'), '[A-Za-z]+', 'a', 'g') end as bin, count(*) as n from y group by all),
+l as (select load_id as old, lead(load_id) over (order by load_id) as load_id from (select distinct load_id from b where load_id is not null)),
+k as (select l.load_id, column_name, bin, n from b join l on b.load_id = l.old where l.load_id is not null),
+c as (select load_id, column_name, bin, coalesce(a.n, 0) as n1, coalesce(k.n, 0) as n0 from (select * from b where load_id in (select load_id from l)) a full join k using (load_id, column_name, bin)),
+w as (select *, sum(n1) over v as t1, sum(n0) over v as t0, count(*) over v as m from c window v as (partition by load_id, column_name)),
+p as (select *, (n1 + 0.5) / (t1 + 0.5 * m) as p, (n0 + 0.5) / (t0 + 0.5 * m) as q from w)
+select load_id, column_name, count(*) as n_bins, round(sum((p - q) * ln(p / q)), 6) as psi, round(sum(pow(n1 * sqrt(t0 / t1) - n0 * sqrt(t1 / t0), 2) / (n1 + n0)), 4) as chi_square from p group by all
+"""
+
 _P5_FOUND = """
 with alias as (select lower(regexp_replace(alias_name, '[^a-zA-Z0-9]', '', 'g')) a, lower(regexp_replace(current_name, '[^a-zA-Z0-9]', '', 'g')) b from field_aliases),
 recs as (select feed_id, file_id, file_no, payload::json as j from raw_exports where json_valid(payload) and json_type(case when json_valid(payload) then payload else 'null' end) = 'OBJECT'),
@@ -133,4 +150,4 @@ union all select file_id, name, 'renamed', old from b where name <> old
 union all select file_id, name, 'type', '' from b where name is not null and kind <> old_kind
 """
 
-SQL = {"p4_found": _P4_FOUND, "p4_profile": _profile_sql(), "p5_found": _P5_FOUND}
+SQL = {"p4_found": _P4_FOUND, "p4_profile": _profile_sql(), "p4_shifts": _P4_SHIFTS, "p5_found": _P5_FOUND}
