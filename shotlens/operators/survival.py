@@ -91,6 +91,17 @@ def fit_groups(cells: DataFrame, by: list[str], t: str, interval: str, offset: s
     return design.groupBy(*by).applyInPandas(fit, f"{kinds}, {FIT}")
 
 
+def bootstrap_rates(cells: DataFrame, draws: DataFrame, t: str, interval: str, confidence: float = 0.95) -> DataFrame:
+    """Percentile interval of each run's rate over replicates that draw whole shots; cells are weighted, not copied, and every replicate of a run is a fit of its own."""
+    x = cells.join(draws.select("replicate", "run_id", "shot_id", "times"), ["run_id", "shot_id"])
+    x = x.withColumns({"successes": F.col("successes") * F.col("times"), "trials": F.col("trials") * F.col("times")})
+    fits = fit_groups(x, ["replicate", "run_id"], t, interval)
+    a = (1 - confidence) / 2
+    g = fits.groupBy("run_id").agg(F.count("*").alias("n_replicates"), F.count("rate").alias("n_fitted"), F.percentile("rate", F.array(F.lit(a), F.lit(1 - a))).alias("q"))
+    point = fit_groups(cells, ["run_id"], t, interval).select("run_id", "rate")
+    return point.join(g, "run_id").select("run_id", "n_replicates", "n_fitted", rounded("rate", 5).alias("rate"), rounded(F.col("q")[0], 5).alias("lower"), rounded(F.col("q")[1], 5).alias("upper"))
+
+
 def held_out_nll(cells: DataFrame, fits: DataFrame, by: list[str], t: str, interval: str) -> DataFrame:
     """Negative log-likelihood of other cells under the fits, in all and per trial. Cells of intervals the fit never saw are counted apart."""
     x = cells.join(fits.select(*by, "rate", "levels"), by).withColumn("q", F.col("levels")[F.col(interval).cast("string")])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotlens.functions.numbers import rounded
-from shotlens.operators import chains, contract, events, geometry, manifests, mixture, provenance, resample, survival
+from shotlens.operators import chains, contract, events, geometry, manifests, mixture, provenance, resample, surfaces, survival
 from shotlens.operators import summaries as S
 from shotlens.operators.shots import occupancy_calls, one_delivery, site_thresholds
 from shotlens.session import cut
@@ -431,6 +431,21 @@ def dark_rates(spark: SparkSession, d: str) -> DataFrame:
     return survival.fit_groups(cells, ["run_id"], "sweep_value_s", "interval")
 
 
+@query()
+def dark_rate_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Dark rates with intervals from 20 replicates of whole shots, drawn within run and condition."""
+    shots = table(spark, d, "shots").where("sweep_value_s is not null and not isnan(sweep_value_s)").select("run_id", "shot_id", "condition_id", "sweep_value_s")
+    cells = cut(S.binomial_cells(events.retention_events(_calls(spark, d)), "retained", ["interval"]).join(shots, ["run_id", "shot_id"]))
+    draws = resample.draws(cells.select("run_id", "condition_id", "shot_id").distinct(), ["run_id", "condition_id"], "shot_id", 20)
+    return survival.bootstrap_rates(cells, draws, "sweep_value_s", "interval")
+
+
+@query()
+def background_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """A robust plane through the readings of all sites of a frame, and what it leaves."""
+    return surfaces.frame_surfaces(_clean(spark, d), table(spark, d, "sites"), "background_global")
+
+
 @query()
 def bright_rates(spark: SparkSession, d: str) -> DataFrame:
     """Decay of first-frame occupancy over the wait in light."""

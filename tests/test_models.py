@@ -126,3 +126,31 @@ def test_gate(spark):
     rows = [("better", float(a), float(a - 0.2 + 0.05 * g.standard_normal())) for a in g.random(60)] + [("same", float(a), float(a + 0.05 * g.standard_normal())) for a in g.random(60)] + [("one", 1.0, 0.5)]
     got = {r.run_id: r.passes for r in survival.paired_gate(spark.createDataFrame(rows, "run_id string, s double, r double"), ["run_id"], "s", "r").collect()}
     assert got == {"better": 1, "same": 0, "one": 0}
+
+
+def test_surfaces(spark):
+    from shotlens.operators.surfaces import design, frame_surfaces, robust_surfaces
+
+    g = np.random.default_rng(4)
+    x, y = g.uniform(0, 700, 30), g.uniform(0, 600, 30)
+    b = design(x, y, 2)
+    z = np.stack([b @ g.normal(0, 5, 6) + 100 for _ in range(7)])
+    assert np.allclose(robust_surfaces(z, b), z, atol=1e-4)
+    bad = z + g.normal(0, 0.1, z.shape)
+    bad[:, 3] += 500  # one wild site moves a plain fit but not a robust one
+    bad[2, 5] = np.nan
+    plain = b @ np.linalg.lstsq(b, bad[0], rcond=None)[0]
+    assert np.abs(robust_surfaces(bad, b)[0] - z[0]).max() < 5 < np.abs(plain - z[0]).max()
+    sites = spark.createDataFrame([("r", i, float(x[i]), float(y[i])) for i in range(30)], "run_id string, site_id int, site_x double, site_y double")
+    rows = [("r", t, 0, i, float(2 + 0.01 * x[i] - 0.02 * y[i] + t)) for t in range(5) for i in range(30)] + [("r", 9, 0, 0, 1.0), ("r", 9, 0, 1, None)]
+    got = {r.shot_id: r for r in frame_surfaces(spark.createDataFrame(rows, "run_id string, shot_id int, frame_id int, site_id int, v double"), sites, "v", shots_per_task=2).collect()}
+    assert len(got) == 6 and got[3].residual < 0.01 and got[3].level - got[0].level == pytest.approx(3, abs=1e-3) and got[9].level is None and got[9].n_sites == 1
+
+
+def test_rate_intervals(spark):
+    g = np.random.default_rng(6)
+    rows = [("r", 1000 * k + i, f"c{k}", float(k), int(g.binomial(20, 0.9 * np.exp(-0.2 * k)))) for k in range(1, 7) for i in range(25)]
+    df = spark.createDataFrame([(*r[:4], "0->1", r[4], 20) for r in rows], "run_id string, shot_id int, condition_id string, t double, j string, successes bigint, trials bigint")
+    d = resample.draws(df, ["run_id", "condition_id"], "shot_id", 60)
+    b = survival.bootstrap_rates(df, d, "t", "j").first()
+    assert b.lower < 0.2 < b.upper and b.lower < b.rate < b.upper and (b.n_replicates, b.n_fitted) == (60, 60) and b.upper - b.lower < 0.06

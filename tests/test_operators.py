@@ -122,3 +122,17 @@ def test_numbers(spark):
     assert [r[0] for r in df.select(numbers.close(F.col("a"), F.col("b"))).collect()] == [True, False, True, False, True, True, False]
     r = spark.range(1).select(numbers.bit(F.lit(6), 1).alias("b"), numbers.milliseconds(F.lit(0.05)).alias("m"), numbers.logistic(numbers.odds(F.lit(0.3))).alias("p")).first()
     assert (r.b, r.m) == (1, "50ms") and r.p == pytest.approx(0.3)
+
+
+def test_export_gate(spark, tmp_path):
+    from shotlens.sources.export import read_checked, write_checked
+
+    with pytest.raises(ValueError):
+        write_checked(rows(spark, {"quality_flag": "bad", "shot_id": 1}), str(tmp_path / "x"), "3.0")
+    assert not (tmp_path / "x").exists()  # nothing is written
+    good = rows(spark).withColumn("dataset_id", F.lit("d"))
+    write_checked(good, str(tmp_path / "y"), "3.0")
+    table, changed = read_checked(spark, str(tmp_path / "y"), "3.0")
+    assert table.count() == 4 and changed.count() == 0
+    spark.createDataFrame([("r", 5, 1)], "run_id string, n_rows bigint, digest bigint").coalesce(1).write.mode("overwrite").json(str(tmp_path / "y" / "manifest"))
+    assert [r.run_id for r in read_checked(spark, str(tmp_path / "y"), "3.0")[1].collect()] == ["r"]
