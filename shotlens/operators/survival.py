@@ -38,7 +38,7 @@ def levels(s: np.ndarray, n: np.ndarray, e: np.ndarray, of: np.ndarray) -> np.nd
 
     lo, hi = np.full_like(top, TINY), top.copy()
     full = slope(top) >= 0
-    for _ in range(50):
+    for _ in range(40):
         mid = (lo + hi) / 2
         up = slope(mid) > 0
         lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
@@ -58,7 +58,7 @@ def fit_rate(s, n, t, j, offset=None, highest: float = 20.0) -> dict:
         return log_likelihood(s, n, (q @ of.T) * e), q
 
     grid = np.r_[0.0, np.geomspace(1e-4, highest, 40)]
-    for _ in range(7):
+    for _ in range(5):
         ll, _ = profile(grid)
         best = int(ll.argmax())
         a, b = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
