@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def rounded(c: Column | str, digits: int) -> Column:
-    """Rounded so that half-way cases go up whatever order the terms of a sum were added in."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + 10.0 ** -(digits + 3), digits)
+    """Rounded so that half-way cases go up whatever order the terms of a sum were added in; zero has no sign."""
+    r = F.round((F.col(c) if isinstance(c, str) else c) + 10.0 ** -(digits + 3), digits)
+    return F.when(r == 0, 0.0).otherwise(r)
 
 
 def close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:

@@ -58,7 +58,8 @@ def half_up(sql: str) -> str:
                 comma = j
             j += 1
         digits = int(sql[comma + 1 : j - 1])
-        out += sql[at:i] + f"round(({half_up(sql[i + 6 : comma])}) + 1e-{digits + 3}, {digits})"
+        r = f"round(({half_up(sql[i + 6 : comma])}) + 1e-{digits + 3}, {digits})"
+        out += sql[at:i] + f"(case when {r} = 0 then 0.0::double else {r} end)"
         at = j
     return out + sql[at:]
 
