@@ -482,7 +482,7 @@ def chain_fits(spark: SparkSession, d: str) -> DataFrame:
 def chain_occupancy(spark: SparkSession, d: str) -> DataFrame:
     """Smoothed occupancy per run and frame under the fitted chains."""
     traj = cut(chains.trajectories(_clean(spark, d), VALUE))
-    x = chains.smoothed(traj, chains.baum_welch(traj, 6)).select("run_id", F.posexplode("occupied").alias("frame", "p"))
+    x = chains.smoothed(traj, chains.baum_welch(traj)).select("run_id", F.posexplode("occupied").alias("frame", "p"))
     return x.groupBy("run_id", "frame").agg(F.count("*").alias("n"), rounded(F.avg("p"), 5).alias("occupied"))
 
 
