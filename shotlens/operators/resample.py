@@ -6,6 +6,9 @@ run and in any engine; they are joined to shot-level statistics, never to rows,
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,33 @@ def spread(replicate: Column, slot: Column, stratum: Column) -> Column:
     return F.shiftright(x, 8)
 
 
+def spread_numbers(replicate: np.ndarray, slot: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """spread() on arrays; salt from salt_of()."""
+    x = (replicate * 1000003 + slot * 7919 + salt) & 2147483647
+    for _ in range(3):
+        x = x ^ (x >> 15)
+        x = (x * 1103515245 + 12345) & 2147483647
+    return x >> 8
+
+
+def salt_of(stratum: str) -> int:
+    return int(hashlib.md5(stratum.encode()).hexdigest()[:7], 16)
+
+
+def times_drawn(strata: np.ndarray, units: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """How often each unit is drawn (replicates by units), as draws() has it; units are distinct within a stratum."""
+    order = np.lexsort((units, strata))
+    names, first, size = np.unique(strata[order], return_index=True, return_counts=True)
+    at = np.repeat(np.arange(len(names)), size)
+    salt = np.array([salt_of(x) for x in names], np.int64)[at]
+    out = np.zeros((len(replicates), len(units)))
+    for r in range(0, len(replicates), step := max(1, 1_000_000 // len(units))):
+        own = replicates[r : r + step].astype(np.int64)[:, None]
+        picks = first[at] + spread_numbers(own, np.arange(len(units)) - first[at], salt) % size[at]
+        out[r : r + step, order] = np.bincount((picks + np.arange(len(own))[:, None] * len(units)).ravel(), minlength=len(own) * len(units)).reshape(len(own), -1)
+    return out
+
+
 def draws(units: DataFrame, strata: list[str], unit: str, replicates: int) -> DataFrame:
     """(replicate, strata..., unit, times): in each stratum as many units are drawn, with replacement, as it has."""
     w = Window.partitionBy(*strata)

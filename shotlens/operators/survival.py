@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotlens.functions.numbers import rounded
+from shotlens.operators.resample import times_drawn
 
 TINY = 1e-9
 
@@ -69,6 +70,51 @@ def fit_rate(s, n, t, j, offset=None, highest: float = 20.0) -> dict:
     return {"rate": rate, "levels": dict(zip(names.tolist(), q[best].tolist())), "nll": -float(ll[best]), "at_edge": bool(rate <= 0 or rate >= 0.99 * highest)}
 
 
+def fit_rates(s: np.ndarray, n: np.ndarray, t: np.ndarray, j: np.ndarray, highest: float = 20.0) -> np.ndarray:
+    """The rates that fit_rate finds for many replicates (rows of s and n) of the same cells; NaN where trials have fewer than two values of t.
+
+    The log-likelihood is concave in the rate and the logarithms of the levels together, so the slope of its profile in the rate
+    falls from 0 to the highest rate and is bisected; the levels at a rate are found by Newton steps within a bracket.
+    """
+    names, at = np.unique(j, return_inverse=True)
+    of = np.eye(len(names))[at]
+    used = n > 0
+    least = np.stack([np.where(used[:, of[:, k] > 0], t[of[:, k] > 0], np.inf).min(1) for k in range(len(names))], 1)
+    least = np.where(np.isfinite(least), least, 0.0)
+    w, q = n - s, np.full(least.shape, -0.1)
+
+    def slope(rate: np.ndarray) -> np.ndarray:
+        nonlocal q
+        decay = rate[:, None] * t
+        hi = np.minimum(0.0, np.log1p(-TINY) + rate[:, None] * least)
+        lo, top = np.full_like(hi, np.log(TINY)), hi.copy()
+        q = np.minimum(np.maximum(q, lo), hi)
+        for i in range(60):
+            p = np.clip(np.exp(q[:, at] - decay), TINY, 1 - TINY)
+            odds = p / (1 - p)
+            g = (s - w * odds) @ of
+            lo, hi = np.where(g > 0, q, lo), np.where(g > 0, hi, q)
+            bend = np.maximum((w * odds / (1 - p)) @ of, 1e-300)
+            new = q + np.clip(g / bend, -50, 50)
+            new = np.where((g > 0) & (q >= top), top, np.where((new > lo) & (new < hi), new, np.where((g > 0) & (new >= top) & (hi >= top), top, (lo + hi) / 2)))
+            moved = np.abs(new - q).max()
+            q = new
+            if moved < 1e-11:
+                break
+        p = np.clip(np.exp(q[:, at] - decay), TINY, 1 - TINY)
+        return (-t * (s - w * p / (1 - p))).sum(1)
+
+    lo, hi = np.zeros(len(s)), np.full(len(s), float(highest))
+    flat, steep = slope(lo) <= 0, slope(hi) >= 0
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        up = slope(mid) > 0
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    rate = np.where(flat, 0.0, np.where(steep, highest, (lo + hi) / 2))
+    several = np.where(used, t, -np.inf).max(1) > np.where(used, t, np.inf).min(1)
+    return np.where(several, rate, np.nan)
+
+
 FIT = "n_cells int, n_trials bigint, rate double, tau double, nll double, at_edge boolean, levels map<string, double>"
 
 
@@ -102,6 +148,39 @@ def bootstrap_rates(cells: DataFrame, draws: DataFrame, t: str, interval: str, c
     return point.join(g, "run_id").select("run_id", "n_replicates", "n_fitted", rounded("rate", 5).alias("rate"), rounded(F.col("q")[0], 5).alias("lower"), rounded(F.col("q")[1], 5).alias("upper"))
 
 
+def resampled_rates(cells: DataFrame, strata: list[str], unit: str, t: str, interval: str, replicates: int = 1000, confidence: float = 0.95, blocks: int = 4) -> DataFrame:
+    """What bootstrap_rates gives for draws() of so many replicates. The cells of a run's shots go to a few tasks, and each draws and fits its block of replicates at once: draws and weighted cells are never rows."""
+    use = cells.select(*dict.fromkeys(["run_id", *strata, unit, t, interval, "successes", "trials"]))
+    for c in strata:
+        use = use.where(F.col(c).isNotNull())
+    use = use.withColumns({"stratum": F.concat_ws("|", *strata), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))}).select("run_id", "block", "stratum", unit, t, interval, "successes", "trials")
+
+    def fit(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        own = np.arange(1 + key[1], replicates + 1, blocks)
+        units = x[["stratum", unit]].drop_duplicates().reset_index(drop=True)
+        row = pd.MultiIndex.from_frame(units).get_indexer(pd.MultiIndex.from_frame(x[["stratum", unit]]))
+        ok = (x[t].notna() & x[interval].notna()).to_numpy()
+        x, row = x[ok], row[ok]
+        design = x[[interval, t]].drop_duplicates().sort_values([interval, t])
+        if not len(design):
+            return pd.DataFrame({"run_id": [], "replicate": [], "rate": []})
+        cell = pd.MultiIndex.from_frame(design).get_indexer(pd.MultiIndex.from_frame(x[[interval, t]]))
+        s, n = np.zeros((len(units), len(design))), np.zeros((len(units), len(design)))
+        np.add.at(s, (row, cell), x["successes"].to_numpy(float))
+        np.add.at(n, (row, cell), x["trials"].to_numpy(float))
+        times = times_drawn(units["stratum"].to_numpy(str), units[unit].to_numpy(), own)
+        s, n = times @ s, times @ n
+        any_trial = (n > 0).any(1)
+        rate = fit_rates(s[any_trial], n[any_trial], design[t].to_numpy(float), design[interval].to_numpy(str)) if any_trial.any() else []
+        return pd.DataFrame({"run_id": key[0], "replicate": own[any_trial], "rate": pd.Series(rate, dtype=float)})
+
+    fits = use.groupBy("run_id", "block").applyInPandas(fit, "run_id string, replicate int, rate double").withColumn("rate", F.when(~F.isnan("rate"), F.col("rate")))
+    a = (1 - confidence) / 2
+    g = fits.groupBy("run_id").agg(F.count("*").alias("n_replicates"), F.count("rate").alias("n_fitted"), F.percentile("rate", F.array(F.lit(a), F.lit(1 - a))).alias("q"))
+    point = fit_groups(cells, ["run_id"], t, interval).select("run_id", "rate")
+    return point.join(g, "run_id").select("run_id", "n_replicates", "n_fitted", rounded("rate", 5).alias("rate"), rounded(F.col("q")[0], 5).alias("lower"), rounded(F.col("q")[1], 5).alias("upper"))
+
+
 def held_out_nll(cells: DataFrame, fits: DataFrame, by: list[str], t: str, interval: str) -> DataFrame:
     """Negative log-likelihood of other cells under the fits, in all and per trial. Cells of intervals the fit never saw are counted apart."""
     x = cells.join(fits.select(*by, "rate", "levels"), by).withColumn("q", F.col("levels")[F.col(interval).cast("string")])

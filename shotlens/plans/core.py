@@ -434,11 +434,10 @@ def dark_rates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dark_rate_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """Dark rates with intervals from 20 replicates of whole shots, drawn within run and condition."""
+    """Dark rates with intervals from 1,000 replicates of whole shots, drawn within run and condition."""
     shots = table(spark, d, "shots").where("sweep_value_s is not null and not isnan(sweep_value_s)").select("run_id", "shot_id", "condition_id", "sweep_value_s")
     cells = cut(S.binomial_cells(events.retention_events(_calls(spark, d)), "retained", ["interval"]).join(shots, ["run_id", "shot_id"]))
-    draws = resample.draws(cells.select("run_id", "condition_id", "shot_id").distinct(), ["run_id", "condition_id"], "shot_id", 20)
-    return survival.bootstrap_rates(cells, draws, "sweep_value_s", "interval")
+    return survival.resampled_rates(cells, ["run_id", "condition_id"], "shot_id", "sweep_value_s", "interval", 1000)
 
 
 @query()

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from shotlens.operators import chains
+from shotlens.operators import chains, resample, survival
 
 
 def slow_chain_rows(n=600, seed=7):
@@ -68,3 +68,30 @@ def test_large_runs_get_the_same_fits(spark):
     for k, r in a.items():
         assert (r.converged, r.rounds, r.best_start, r.n) == (b[k].converged, b[k].rounds, b[k].best_start, b[k].n)
         assert r.log_likelihood == pytest.approx(b[k].log_likelihood) and r.mean1 == pytest.approx(b[k].mean1, abs=1e-5)
+
+
+def test_many_rates_are_those_of_single_fits():
+    g = np.random.default_rng(3)
+    t, j = np.tile([0.0, 0.5, 1.0, 3.0], 2), np.repeat(["a", "b"], 4)
+    n = g.integers(0, 30, (12, 8)).astype(float)
+    s = np.floor(n * np.clip(0.9 * np.exp(-g.uniform(0, 1, (12, 1)) * t) + g.normal(0, 0.05, (12, 8)), 0, 1))
+    n[0, [1, 2, 3, 5, 6, 7]] = s[0, [1, 2, 3, 5, 6, 7]] = 0  # one value of t is left
+    s[1] = n[1]  # nothing is lost: rate 0
+    got = survival.fit_rates(s, n, t, j)
+    assert np.isnan(got[0]) and got[1] == 0
+    for i in range(1, 12):
+        ok = n[i] > 0
+        assert got[i] == pytest.approx(survival.fit_rate(s[i][ok], n[i][ok], t[ok], j[ok])["rate"], abs=2e-5)
+
+
+def test_dark_intervals_have_the_drawn_replicates(spark, folder):
+    from shotlens.plans import registry
+
+    g = np.random.default_rng(6)
+    rows = [("r", 100 * k + i, f"c{k}", float(k), j, int(g.binomial(20, 0.9 * np.exp(-0.2 * k))), 20) for k in range(1, 5) for i in range(9) for j in ("0->1", "1->2")]
+    df = spark.createDataFrame(rows, "run_id string, shot_id int, condition_id string, t double, j string, successes bigint, trials bigint")
+    by = ["run_id", "condition_id"]
+    old = survival.bootstrap_rates(df, resample.draws(df, by, "shot_id", 20), "t", "j").first()
+    new = survival.resampled_rates(df, by, "shot_id", "t", "j", 20).first()
+    assert (old.n_replicates, old.n_fitted, old.rate) == (new.n_replicates, new.n_fitted, new.rate) and (new.lower, new.upper) == pytest.approx((old.lower, old.upper), abs=2e-5)
+    assert {r.n_replicates for r in registry.queries()["dark_rate_intervals"](spark, folder).collect()} == {1000}
