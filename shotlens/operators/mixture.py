@@ -1,8 +1,9 @@
 """Two-level Gaussian mixtures of the counts, one per group, fitted to all rows by expectation maximisation.
 
-The counts of a group are first put into fine bins by an aggregate (1200 at most, steps of a four hundredth of the group's spread);
-their means and numbers stand for the rows, so a fit gets as many numbers for a large group as for a small one, and groups are
-fitted in parallel.
+The counts of a group of up to EXACT rows are fitted as they are. Those of larger groups are first put into bins by an aggregate: steps of
+a two hundredth of the distance of the quartiles up to 10 such distances from the middle, beyond that steps of half a per cent of the
+distance, without an end. A bin keeps count, sum and sum of squares, so means and variances of the M-step and the floor of the sd
+lose nothing within a bin; only the weight of a row between the levels is that of its bin's mean. Groups are fitted in parallel.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from shotlens.operators.shots import finite
 from shotlens.session import cut
 
 ROOT_2PI = 2.5066282746310002
+EXACT = 20_000
 
 
 def log_normal(x: Column, mean: Column, sd: Column) -> Column:
@@ -28,16 +30,16 @@ def log_sum(a: Column, b: Column) -> Column:
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
 
 
-def expectation_maximisation(v: np.ndarray, c: np.ndarray, starts: list[tuple[float, float]], floor: float, least_weight: float = 0.02, rounds: int = 500, tolerance: float = 1e-8) -> tuple[float, ...]:
-    """The best of several starts on values v with counts c: (weight, mean0, mean1, sd0, sd1, log-likelihood), the second component the brighter."""
+def expectation_maximisation(v: np.ndarray, c: np.ndarray, starts: list[tuple[float, float]], floor: float, within: np.ndarray | float = 0.0, least_weight: float = 0.02, rounds: int = 500, tolerance: float = 1e-8) -> tuple[float, ...]:
+    """The best of several starts on values v with counts c and variances within each value's bin: (weight, mean0, mean1, sd0, sd1, log-likelihood), the second component the brighter."""
     n, best = c.sum(), None
     mean = (c * v).sum() / n
-    spread = max(float(np.sqrt((c * (v - mean) ** 2).sum() / n)), floor)
+    spread = max(float(np.sqrt((c * ((v - mean) ** 2 + within)).sum() / n)), floor)
     for m0, m1 in starts:
         w, s0, s1, last = 0.5, spread / 2, spread / 2, -np.inf
         for _ in range(rounds):
-            l0 = np.log(1 - w) - 0.5 * ((v - m0) / s0) ** 2 - np.log(s0 * ROOT_2PI)
-            l1 = np.log(w) - 0.5 * ((v - m1) / s1) ** 2 - np.log(s1 * ROOT_2PI)
+            l0 = np.log(1 - w) - 0.5 * ((v - m0) ** 2 + within) / s0**2 - np.log(s0 * ROOT_2PI)
+            l1 = np.log(w) - 0.5 * ((v - m1) ** 2 + within) / s1**2 - np.log(s1 * ROOT_2PI)
             both = np.logaddexp(l0, l1)
             ll = float((c * both).sum())
             if ll - last <= tolerance * abs(ll):
@@ -45,8 +47,8 @@ def expectation_maximisation(v: np.ndarray, c: np.ndarray, starts: list[tuple[fl
             last, r = ll, c * np.exp(l1 - both)
             w1, w0 = max(r.sum(), 1e-9), max((c - r).sum(), 1e-9)
             m1, m0 = (r * v).sum() / w1, ((c - r) * v).sum() / w0
-            s1 = max(np.sqrt((r * (v - m1) ** 2).sum() / w1), floor)
-            s0 = max(np.sqrt(((c - r) * (v - m0) ** 2).sum() / w0), floor)
+            s1 = max(np.sqrt((r * ((v - m1) ** 2 + within)).sum() / w1), floor)
+            s0 = max(np.sqrt(((c - r) * ((v - m0) ** 2 + within)).sum() / w0), floor)
             w = min(max(w1 / n, least_weight), 1 - least_weight)
         got = (w, m0, m1, s0, s1, ll) if m0 <= m1 else (1 - w, m1, m0, s1, s0, ll)
         if best is None or ll > best[-1]:
@@ -54,24 +56,27 @@ def expectation_maximisation(v: np.ndarray, c: np.ndarray, starts: list[tuple[fl
     return tuple(float(x) for x in best)
 
 
-def fit_mixtures(rows: DataFrame, by: list[str], value: str, bins: int = 400) -> DataFrame:
+def fit_mixtures(rows: DataFrame, by: list[str], value: str, bins: int = 200, exact: int = EXACT) -> DataFrame:
     """(by..., n, weight, mean0, mean1, sd0, sd1, log_likelihood); component 1 is the brighter one. Groups of fewer than 8 values or only one are left out."""
     x = rows.select(*by, finite(value).alias("v")).where("v is not null")
     q = F.percentile_approx("v", F.array(*[F.lit(p) for p in (0.005, 0.25, 0.75, 0.995)]), F.lit(10_000))
     g = x.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop("v").alias("s"), q.alias("q")).where("n >= 8 and s > 0")
-    g = cut(g.select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("a"), F.col("q")[2].alias("b"), F.col("q")[3].alias("hi")).where("hi > lo"))
-    step = (F.col("hi") - F.col("lo")) / bins
-    at = F.least(F.greatest(F.floor((F.col("v") - F.col("lo")) / step), F.lit(-bins)), F.lit(2 * bins))
-    grid = x.join(g, by).groupBy(*by, "lo", "a", "b", "hi", at.alias("bin")).agg(F.avg("v").alias("v"), F.count("*").alias("c"))
+    g = cut(g.select(*by, "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("a"), F.col("q")[2].alias("b"), F.col("q")[3].alias("hi"), "s"))
+    # where the quartiles coincide the sd gives the step
+    wide, middle = F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a")).otherwise(F.col("s")), (F.col("a") + F.col("b")) / 2
+    x = x.join(g, by).withColumn("d", (F.col("v") - middle) / wide)
+    far = F.signum("d") * (10 * bins + 1 + F.floor(F.ln(F.greatest(F.abs("d"), F.lit(10.0)) / 10) * 200))
+    at = F.when(F.col("n") <= exact, F.col("v")).otherwise(F.when(F.abs("d") < 10, F.floor(F.col("d") * bins)).otherwise(far).cast("double"))
+    grid = x.groupBy(*by, "lo", "a", "b", "hi", at.alias("bin")).agg(F.avg("v").alias("v"), F.count("*").alias("c"), F.var_pop("v").alias("within"))
     kinds = ", ".join(f"{b} {rows.schema[b].dataType.simpleString()}" for b in by)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
-        v, c = pdf["v"].to_numpy(float), pdf["c"].to_numpy(float)
+        v, c, within = (pdf[k].to_numpy(float) for k in ("v", "c", "within"))
         lo, a, b, hi = (float(pdf[k].iloc[0]) for k in ("lo", "a", "b", "hi"))
-        sd = float(np.sqrt((c * (v - (c * v).sum() / c.sum()) ** 2).sum() / c.sum()))
+        sd = float(np.sqrt((c * ((v - (c * v).sum() / c.sum()) ** 2 + within)).sum() / c.sum()))
         starts = [(a, b), (lo, hi), (a, hi), (lo, b), ((lo + a) / 2, (b + hi) / 2)]
-        out = expectation_maximisation(v, c, starts, max(1e-9, 0.02 * sd))
+        out = expectation_maximisation(v, c, starts, max(1e-9, 0.02 * sd), within)
         return pd.DataFrame([[*key, int(c.sum()), *out]], columns=[*by, "n", "weight", "mean0", "mean1", "sd0", "sd1", "log_likelihood"])
 
     return grid.groupBy(*by).applyInPandas(fit, f"{kinds}, n bigint, weight double, mean0 double, mean1 double, sd0 double, sd1 double, log_likelihood double")

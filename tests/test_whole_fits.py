@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from shotlens.operators import chains, resample, survival
+from shotlens.operators import chains, mixture, resample, survival
 
 
 def slow_chain_rows(n=600, seed=7):
@@ -95,3 +95,16 @@ def test_dark_intervals_have_the_drawn_replicates(spark, folder):
     new = survival.resampled_rates(df, by, "shot_id", "t", "j", 20).first()
     assert (old.n_replicates, old.n_fitted, old.rate) == (new.n_replicates, new.n_fitted, new.rate) and (new.lower, new.upper) == pytest.approx((old.lower, old.upper), abs=2e-5)
     assert {r.n_replicates for r in registry.queries()["dark_rate_intervals"](spark, folder).collect()} == {1000}
+
+
+def test_mixtures_with_spikes_are_those_of_all_rows(spark):
+    g = np.random.default_rng(8)
+    v = np.r_[g.normal(0, 1, 1400), g.normal(6, 1.5, 600), g.uniform(200, 5000, 30)]  # spikes above 0.5 %
+    df = spark.createDataFrame([("a", float(x)) for x in v], "k string, v double").repartition(3)
+    q = np.sort(v)[[int(np.ceil(p * len(v))) - 1 for p in (0.005, 0.25, 0.75, 0.995)]]
+    lo, a, b, hi = (float(x) for x in q)
+    starts = [(a, b), (lo, hi), (a, hi), (lo, b), ((lo + a) / 2, (b + hi) / 2)]
+    want = mixture.expectation_maximisation(v, np.ones(len(v)), starts, 0.02 * v.std())
+    for exact in (mixture.EXACT, 0):
+        r = mixture.fit_mixtures(df, ["k"], "v", exact=exact).first()
+        assert (r.weight, r.mean0, r.mean1, r.sd0, r.sd1) == pytest.approx(want[:5], rel=0.01) and r.n == len(v)
