@@ -5,17 +5,21 @@ model with two local levels (an empty and an occupied site), each a random walk
 
 * a reading updates the level to which its standardised innovation is smaller; beyond ``threshold`` it is flagged and
   the update withheld, so a spike never moves the forecast,
-* where ``settle`` readings in a row are flagged the nearer level is moved there: a lasting step, not a spike,
-* where the innovations of ``stuck`` successive readings don't vary at all the sensor is stuck,
-* a reading of zero or less, or beyond ``full_scale`` for each pixel of the site, is impossible.
+* flagged readings above and below the levels are followed apart.  Where ``settle`` of them in a row agree the nearer level
+  is moved there (a lasting step), and so it is where they agree over several bursts (a level seldom taken), not only one,
+* where the variance of the innovations, against a forecast frozen at the first of them, vanishes over ``stuck``
+  successive readings the sensor is stuck,
+* a reading of zero or less, infinite, or beyond ``full_scale`` for each pixel of the site, is impossible and not filtered.
 
-An exact check follows.  The ordinary readings are the accepted ones and, step by step, every plausible reading that is no
-farther from their range than the range is wide; whatever is left outside is a spike.
+Levels and noise start from the first ``warm`` readings of a block.  Nothing but what the filter flags can be a spike, and
+nothing but what it accepts makes the range to begin with.  An exact check of the flagged readings follows: one that is no
+farther from the range of the ordinary readings than the range is wide joins them; what is left outside is a spike.  Runs
+of vanishing variance are checked for equal values.
 
 Layout: rows are shuffled once, by (run, group of sites, block of shots).  A block carries ``context`` shots of its
 neighbours to warm up the filter and to see runs that cross its border, so a run of any length is spread over many tasks,
 and one task holds ``block_shots + 2 * context`` shots of ``sites_per_task`` sites.  The ranges of a series' blocks are
-combined by an aggregate, and the candidates (a small share of all rows) are checked against the combined range.
+combined by an aggregate, and the flagged readings (a small share of all rows) are checked against the combined range.
 
 Defined results: null, NaN and repeated deliveries of a key are dropped (of copies that differ, the one of the least
 load_id stays); rows with a null key or shot order are no readings, and shot orders count from zero; a site missing from ``sites`` has no upper limit;
@@ -46,91 +50,117 @@ class ReadingModel:
     settle: int = 5
     stuck: int = 4
     drift: float = 0.05
+    agree: float = 2.0
+    seldom: float = 0.03
+    warm: int = 64
     block_shots: int = 2048
     context: int = 64
     sites_per_task: int = 64
 
 
-def core_mask(x: np.ndarray, wide: float) -> np.ndarray:
-    """Readings in time order with enough company: others within half of the 10-90 % width that aren't of the same burst.
+def start(x: np.ndarray, ok: np.ndarray, warm: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two levels and the noise variance of every column of x (shots by series) from its first ``warm`` readings in ok.
 
-    A burst of spikes gives its members company only within four readings, so such neighbours count only when there are many.
+    Readings far outside of the 15-85 % range are left aside; the rest is cut in two where that leaves the least variance.
+    Two normal levels leave far less than a fifth of the variance, a single one about a third: then both levels are the mean.
     """
-    n = len(x)
-    s = np.sort(x)
-    r = 0.5 * wide
-    near = np.searchsorted(s, x + r, "right") - np.searchsorted(s, x - r, "left") - 1
-    apart = near.copy()
-    for lag in range(1, min(5, n)):
-        close = np.abs(x[lag:] - x[:-lag]) <= r
-        apart[lag:] -= close
-        apart[:-lag] -= close
-    return (apart >= max(1, 0.03 * n)) | (near >= max(3, 0.1 * n))
-
-
-def start(x: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two levels and the noise variance of every column of x (shots by series), from the readings that ok marks."""
-    count = ok.sum(0)
-    s = np.sort(np.where(ok, x, np.nan), axis=0)  # NaN last
+    first = ok & (np.cumsum(ok, 0) <= warm)
+    n = first.sum(0)
     cols = np.arange(x.shape[1])
-
-    def at(q: float) -> np.ndarray:
-        return s[np.clip(np.rint(q * (count - 1)).astype(int), 0, None), cols]
-
-    lo, hi, wide = at(0.0), at(1.0), at(0.9) - at(0.1)
-    core = ok.copy()
-    middle = at(0.82) - at(0.18)
-    for j in np.flatnonzero((count >= 3) & ((hi - lo > 1.8 * wide) | (hi - lo > 2.2 * middle))):
-        rows = np.flatnonzero(ok[:, j])
-        keep = core_mask(x[rows, j], wide[j])
-        if keep.any():
-            core[rows[~keep], j] = False
-    y = np.where(core, x, 0.0)
-    n = np.maximum(core.sum(0), 1)
-    lo = np.where(core, x, np.inf).min(0)
-    hi = np.where(core, x, -np.inf).max(0)
-    a, b = lo, hi
-    for _ in range(6):
-        with np.errstate(invalid="ignore"):
-            upper = core & (x > (a + b) / 2)
-        k = upper.sum(0)
-        top = (y * upper).sum(0)
-        a = np.where(k < n, (y.sum(0) - top) / np.maximum(n - k, 1), a)
-        b = np.where(k > 0, top / np.maximum(k, 1), b)
+    s = np.sort(np.where(first, x, np.inf), axis=0)[:warm]
+    low, high = (s[np.clip(np.rint(q * (n - 1)).astype(int), 0, None), cols] for q in (0.15, 0.85))
     with np.errstate(invalid="ignore"):
-        rest = np.where(core, x - np.where(upper, b, a), 0.0)
-    noise = (rest**2).sum(0) / n
-    return a, b, np.maximum(noise, np.maximum((0.02 * (hi - lo)) ** 2, 1e-12))
-
-
-def accepted(x: np.ndarray, ok: np.ndarray, m: ReadingModel) -> np.ndarray:
-    """The filter over all columns at once, one shot after the other: which of the readings in ok it takes."""
-    a, b, r = start(x, ok)
+        wide = high - low
+        keep = np.isfinite(s) & (s >= low - wide) & (s <= high + wide)
+    base = np.where(n > 0, low, 0.0)
+    y = np.where(keep, s - base, 0.0)
+    k, t, tt = np.cumsum(keep, 0), np.cumsum(y, 0), np.cumsum(y * y, 0)
+    m = np.maximum(k[-1], 1)
+    left, right = np.maximum(k, 1), np.maximum(m - k, 1)
+    apart = np.where(keep & (k < m), tt - t * t / left + (tt[-1] - tt) - (t[-1] - t) ** 2 / right, np.inf)
+    at = np.argmin(apart, 0)
+    two, one = apart[at, cols], tt[-1] - t[-1] ** 2 / m
+    split = two < 0.2 * one
+    a = base + np.where(split, t[at, cols] / left[at, cols], t[-1] / m)
+    b = base + np.where(split, (t[-1] - t[at, cols]) / right[at, cols], t[-1] / m)
+    noise = np.where(split, two, one) / np.maximum(m - 1, 1)
+    return a, b, np.where(n > 0, np.maximum(noise, np.maximum((0.02 * np.where(n > 0, wide, 0.0)) ** 2, 1e-12)), 1.0)
+
+
+class _Aside:
+    """Flagged readings on one side of the levels: their common value, how many agree in a row and over how many bursts more than one."""
+
+    def __init__(self, k: int):
+        self.value, self.hits, self.bursts, self.since = np.full(k, np.nan), np.zeros(k, int), np.zeros(k, int), np.full(k, -(1 << 30))
+
+    def see(self, flag: np.ndarray, v: np.ndarray, at: np.ndarray, reach: np.ndarray) -> None:
+        with np.errstate(invalid="ignore"):
+            same = flag & (np.abs(v - self.value) <= reach)
+        fresh = flag & ~same
+        again = same & (at - self.since > 4)  # the spikes of one burst stand within four readings
+        self.hits = np.where(same, self.hits + 1, np.where(fresh, 1, self.hits))
+        self.bursts = np.where(fresh, 0, self.bursts + again)
+        self.value = np.where(same, self.value + (v - self.value) / np.maximum(self.hits, 1), np.where(fresh, v, self.value))
+        self.since = np.where(again | fresh, at, self.since)
+
+    def forget(self, which: np.ndarray) -> None:
+        self.hits, self.bursts = np.where(which, 0, self.hits), np.where(which, 0, self.bursts)
+
+
+def filtered(x: np.ndarray, seen: np.ndarray, plausible: np.ndarray, m: ReadingModel) -> tuple[np.ndarray, np.ndarray]:
+    """The filter over all columns at once, one shot after the other: readings that it accepts, and those of vanishing innovation variance."""
+    a, b, r = start(x, plausible, m.warm)
+    sd = np.sqrt(r)
     q = m.drift**2 * r
     pa_, pb = r.copy(), r.copy()
-    limit = m.threshold**2
-    row = np.zeros(x.shape[1], dtype=int)
-    out = np.zeros_like(ok)
+    k = x.shape[1]
+    rare = np.maximum(1, m.seldom * plausible.sum(0))
+    sides = (_Aside(k), _Aside(k))
+    at, row = np.zeros(k, int), np.zeros(k, int)  # readings so far; readings flagged in a row
+    frozen, before, length = a.copy(), np.full(k, np.nan), np.zeros(k, int)
+    out, still = np.zeros_like(seen), np.zeros(x.shape, int)
     for t in range(x.shape[0]):
-        use = ok[t]
+        use = plausible[t]
+        at = at + use
         v = np.where(use, x[t], a)
         pa_, pb = pa_ + q, pb + q
         da, db = v - a, v - b
         za, zb = da * da / (pa_ + r), db * db / (pb + r)
         second = zb < za
-        take = use & (np.minimum(za, zb) <= limit)
+        here = seen[t]
+        with np.errstate(invalid="ignore"):
+            gone = here & (np.abs(x[t] - frozen - before) <= 1e-13 * np.abs(x[t]))  # no variance of the innovations since the forecast was frozen
+        fresh = here & ~gone
+        length = np.where(gone, length + 1, np.where(fresh, 1, length))
+        frozen = np.where(fresh, np.where(second, b, a), frozen)
+        before = np.where(fresh, x[t] - frozen, before)
+        still[t] = np.where(here, length, 0)
+        take = use & (np.minimum(za, zb) <= m.threshold**2)
+        flag = use & ~take
         row = np.where(take, 0, row + use)
-        step = row >= m.settle
-        if step.any():
-            a = np.where(step & ~second, v, a)
-            b = np.where(step & second, v, b)
-            row = np.where(step, 0, row)
+        if flag.any():
+            above = v > (a + b) / 2
+            for side, which in zip(sides, (flag & ~above, flag & above)):
+                side.see(which, v, at, m.agree * np.sqrt(2.0) * sd)
+                level = which & (((side.hits >= m.settle) & (row >= m.settle)) | (side.bursts >= rare))
+                if level.any():
+                    to_b = level & ((np.abs(a - b) < 3 * sd) | (np.abs(v - b) < np.abs(v - a)))
+                    to_a = level & ~to_b
+                    a, pa_ = np.where(to_a, side.value, a), np.where(to_a, r, pa_)
+                    b, pb = np.where(to_b, side.value, b), np.where(to_b, r, pb)
+                    out[t] |= level
+                    row = np.where(level, 0, row)
+                    side.forget(level)
         ka = np.where(take & ~second, pa_ / (pa_ + r), 0.0)
         kb = np.where(take & second, pb / (pb + r), 0.0)
         a, b = a + ka * da, b + kb * db
         pa_, pb = pa_ * (1 - ka), pb * (1 - kb)
-        out[t] = take
-    return out
+        out[t] |= take
+    quiet, more = np.zeros_like(seen), np.zeros(k, bool)
+    for t in range(x.shape[0] - 1, -1, -1):  # all readings of a run, not only those after the variance has been gone for long enough
+        quiet[t] = seen[t] & (more | (still[t] >= m.stuck))
+        more = np.where(seen[t], quiet[t] & (still[t] > 1), more)
+    return out, quiet
 
 
 def stuck_mask(x: np.ndarray, seen: np.ndarray, least: int) -> np.ndarray:
@@ -149,12 +179,12 @@ def stuck_mask(x: np.ndarray, seen: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def widened(x: np.ndarray, plausible: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranges grown by every plausible reading within one width, until none is left there."""
+def widened(x: np.ndarray, flagged: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges grown by every flagged reading within one width, until none is left there."""
     while True:
         w = np.where(hi >= lo, hi - lo, 0.0)
         with np.errstate(invalid="ignore"):
-            near = plausible & (x >= lo - w) & (x <= hi + w)
+            near = flagged & (x >= lo - w) & (x <= hi + w)
         lo2 = np.minimum(lo, np.where(near, x, np.inf).min(0))
         hi2 = np.maximum(hi, np.where(near, x, -np.inf).max(0))
         if (lo2 == lo).all() and (hi2 == hi).all():
@@ -192,14 +222,16 @@ def judge_block(fields: list[str], m: ReadingModel):
             x[t[order], i * k + j[order]] = rows.column(f).to_numpy()[order]
         seen = ~np.isnan(x)
         with np.errstate(invalid="ignore"):
-            bad = seen & ((x <= 0) | (x > np.tile(limit, len(fields))))
-        still = stuck_mask(x, seen, m.stuck)
+            bad = seen & ((x <= 0) | (x > np.tile(limit, len(fields))) | np.isinf(x))
+        fine, quiet = filtered(x, seen, seen & ~bad, m)
+        still = quiet & stuck_mask(x, quiet, m.stuck)
         plausible = seen & ~bad & ~still
-        fine = accepted(x, plausible, m)
-        lo, hi = widened(x, plausible, np.where(fine, x, np.inf).min(0), np.where(fine, x, -np.inf).max(0))
+        fine &= plausible
+        flagged = plausible & ~fine
+        lo, hi = widened(x, flagged, np.where(fine, x, np.inf).min(0), np.where(fine, x, -np.inf).max(0))
         w = hi - lo
         with np.errstate(invalid="ignore"):
-            far = plausible & ((x > hi + w) | (x < lo - w))
+            far = flagged & ((x > hi + w) | (x < lo - w))
         at, ser = np.nonzero((bad | still | far) & own[:, None])
         some = np.flatnonzero(plausible.any(0))
         s = np.r_[ser, some]
@@ -238,13 +270,10 @@ def implausible_readings(rows: DataFrame, sites: DataFrame, fields: list[str], m
     inside = F.pmod("shot_order", F.lit(m.block_shots))
     # a shot near a border also goes to the block beyond it, as context
     blocks = F.when((inside < m.context) & (mine > 0), F.array(mine, mine - 1)).when(inside >= m.block_shots - m.context, F.array(mine, mine + 1)).otherwise(F.array(mine))
+    px = sites.select("run_id", F.col("site_id").cast("int").alias("site_id"), F.col("roi_n_pixels").cast("int").alias("roi_n_pixels")).dropna().groupBy("run_id", "site_id").agg(F.max("roi_n_pixels").alias("roi_n_pixels"))
+    occur = x.select("run_id", part.alias("part"), mine.alias("block")).distinct()  # the blocks that have shots of their own
+    px = px.withColumn("part", part).join(occur, ["run_id", "part"])
     x = x.withColumns({"part": part, "mine": mine}).withColumn("block", F.explode(blocks)).withColumn("home", (F.col("block") == F.col("mine")).cast("int")).drop("mine")
-    spans = rows.groupBy("run_id").agg(F.min("shot_order").alias("first"), F.max("shot_order").alias("last")).dropna()
-    px = sites.select("run_id", F.col("site_id").cast("int").alias("site_id"), F.col("roi_n_pixels").cast("int").alias("roi_n_pixels")).dropna().dropDuplicates(["run_id", "site_id"])
-    px = px.join(spans, "run_id").select(
-        "run_id", "site_id", "roi_n_pixels", part.alias("part"),
-        F.explode(F.sequence(F.floor(F.col("first") / m.block_shots).cast("int"), F.floor(F.col("last") / m.block_shots).cast("int") + 1)).alias("block"),
-    )
     keys = ["run_id", "part", "block"]
     judged = cut(x.groupBy(*keys).cogroup(px.groupBy(*keys)).applyInArrow(judge_block(list(fields), m), OUT))
     ranges = judged.where("shot_id is null").groupBy(*SERIES).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("blocks"))

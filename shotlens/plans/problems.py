@@ -150,4 +150,25 @@ union all select file_id, name, 'renamed', old from b where name <> old
 union all select file_id, name, 'type', '' from b where name is not null and kind <> old_kind
 """
 
-SQL = {"p4_found": _P4_FOUND, "p4_profile": _profile_sql(), "p4_shifts": _P4_SHIFTS, "p5_found": _P5_FOUND}
+#: The stated definition by itself: the range starts from the middle three quarters of a series and takes in whatever is within one width, until nothing is.
+_P3_FOUND = """
+with recursive d as (select run_id, shot_id, frame_id, site_id, field_name, min(shot_order) as shot_order, arg_min(v, coalesce(load_id, 2147483647)) as v from (
+    select run_id, shot_id, frame_id, site_id, shot_order, load_id, unnest(['roi_sum_raw', 'background_global']) as field_name, unnest([roi_sum_raw, background_global]) as v from frame_sites)
+  where v is not null and not isnan(v) group by all),
+o as (select d.*, lag(v) over w is distinct from v as fresh, v <= 0 or isinf(v) or v > 65535.0 * px as bad from d left join (select run_id, site_id, max(roi_n_pixels) as px from sites group by all) using (run_id, site_id)
+  window w as (partition by run_id, site_id, frame_id, field_name order by shot_order, shot_id)),
+i as (select *, sum(fresh::int) over (partition by run_id, site_id, frame_id, field_name order by shot_order, shot_id rows unbounded preceding) as island from o),
+c as (select *, coalesce(bad, false) or count(*) over (partition by run_id, site_id, frame_id, field_name, island) >= 4 as sure from i),
+x as (select * from c where not sure),
+grow(run_id, site_id, frame_id, field_name, lo, hi, step) as (
+  select run_id, site_id, frame_id, field_name, quantile_cont(v, 0.12), quantile_cont(v, 0.88), 0 from x group by all
+  union all
+  select g.run_id, g.site_id, g.frame_id, g.field_name, least(g.lo, min(x.v)), greatest(g.hi, max(x.v)), g.step + 1
+  from grow g join x on g.run_id = x.run_id and g.site_id = x.site_id and g.frame_id = x.frame_id and g.field_name = x.field_name
+  where x.v between g.lo - (g.hi - g.lo) and g.hi + (g.hi - g.lo) group by g.run_id, g.site_id, g.frame_id, g.field_name, g.lo, g.hi, g.step having least(g.lo, min(x.v)) < g.lo or greatest(g.hi, max(x.v)) > g.hi),
+r as (select run_id, site_id, frame_id, field_name, min(lo) as lo, max(hi) as hi from grow group by all)
+select run_id, shot_id, frame_id::int as frame_id, site_id, field_name from c where sure
+union all select run_id, shot_id, frame_id::int, site_id, field_name from x join r using (run_id, site_id, frame_id, field_name) where v > hi + (hi - lo) or v < lo - (hi - lo)
+"""
+
+SQL = {"p3_found": _P3_FOUND, "p4_found": _P4_FOUND, "p4_profile": _profile_sql(), "p4_shifts": _P4_SHIFTS, "p5_found": _P5_FOUND}

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from shotlens.operators.readings import ReadingModel, implausible_readings, stuck_mask
+from shotlens.operators import readings
+from shotlens.operators.readings import ReadingModel, filtered, implausible_readings, stuck_mask
 
 COLUMNS = "run_id string, shot_id int, shot_order int, frame_id int, site_id int, load_id int, roi double, bg double, block int, part string, value double"
 
@@ -99,3 +100,51 @@ def test_no_site_row_short_series_and_empty(spark):
 def test_stuck_mask():
     x = np.array([[1.0], [1.0], [1.0], [1.0], [2.0], [2.0], [2.0]])
     assert stuck_mask(x, ~np.isnan(x), 4)[:, 0].tolist() == [True] * 4 + [False] * 3
+
+
+def judged(y, m=ReadingModel(), px=25):
+    """One series through the block's function."""
+    n = len(y)
+    import pyarrow as pa
+
+    rows = pa.table({"run_id": ["r"] * n, "shot_id": np.arange(n, dtype=np.int32), "shot_order": np.arange(n, dtype=np.int32), "frame_id": np.zeros(n, np.int32), "site_id": np.zeros(n, np.int32), "load_id": np.ones(n, np.int32), "home": np.ones(n, np.int32), "roi": y})
+    out = readings.judge_block(["roi"], m)(rows, pa.table({"site_id": [0], "roi_n_pixels": [px]}))
+    return {(i, r) for i, r in zip(out["shot_id"].to_pylist(), out["reason"].to_pylist()) if i is not None}
+
+
+def test_the_filter_decides(monkeypatch):
+    """With the filter off, or blind to innovations, or with nothing but its start, the rows are others."""
+    y = series(400, 7)
+    y[[30, 200]] = [9000, 4000]
+    y[100:106] = y[100]
+    y[250:] += 700  # a lasting step
+    on = judged(y)
+    assert on == {(30, "spike"), (200, "spike"), *((i, "stuck") for i in range(100, 106))}
+    assert judged(y, ReadingModel(threshold=np.inf)) == {x for x in on if x[1] == "stuck"}  # nothing flagged, nothing found
+    assert judged(y, ReadingModel(stuck=10**6)) == {x for x in on if x[1] == "spike"}
+    none = np.zeros((len(y), 1), bool)
+    monkeypatch.setattr(readings, "filtered", lambda x, seen, plausible, m: (plausible.copy(), none))
+    assert judged(y) == set()
+
+    def only_start(x, seen, plausible, m):
+        a, b, r = readings.start(x, plausible, m.warm)
+        return plausible & (np.minimum(np.abs(x - a), np.abs(x - b)) <= m.threshold * np.sqrt(r)), none
+
+    monkeypatch.setattr(readings, "filtered", only_start)
+    assert judged(y) != on
+
+
+def test_updates_are_withheld_and_variance_vanishes():
+    y = np.r_[np.full(40, 100.0) + np.arange(40) % 5, 900.0, 101.0, 102.0, np.full(5, 103.5), 104.0][:, None]
+    seen = np.ones_like(y, bool)
+    fine, quiet = filtered(y, seen, seen, ReadingModel())
+    assert not fine[40, 0] and fine[41:43, 0].all()
+    assert np.flatnonzero(quiet[:, 0]).tolist() == list(range(43, 48))
+
+
+def test_a_level_seldom_taken_is_no_spike_but_a_burst_is():
+    g = np.random.default_rng(3)
+    y = 1000 + 5 * g.standard_normal(200)
+    y[9::13] += 400  # a level that is taken at one reading in thirteen
+    y[[70, 71, 72]] += [5000, 5005, 5002]
+    assert {i for i, _ in judged(y)} == {70, 71, 72}
