@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from shotlens.llm.truncation import length_limits, truncated_texts, truncation_rates
+from shotlens.llm import truncation
+from shotlens.llm.truncation import EVIDENCE, length_limits, prefix_counts, truncated_texts, truncation_rates
 
 DOCS = "doc_id bigint, page_id bigint, source string, text string, word string, line string, tok string"
 SUBJECTS = "bridge tower harbour orchard library railway windmill quarry meadow glacier".split()
@@ -53,6 +55,37 @@ def test_made_cuts(spark, corpus):
     rate = {r.source: r for r in truncation_rates(table(spark, rows), found, "doc_id", "source").collect()}
     assert rate["short"].n_at_limit > 0.9 * rate["short"].n_truncated and rate["main"].n_at_limit == 0
     assert sum(r.n_docs for r in rate.values()) == len(rows)
+    assert all(r.n_truncated == sum(r[x] for x in EVIDENCE) for r in rate.values())
+    assert sum(r.n_word for r in rate.values()) > sum(r.n_sentence for r in rate.values())
+
+
+def test_the_trie_decides(spark, corpus, monkeypatch):
+    """Without the trie, and with one that knows whole words only, most rows are gone; without lengths the rows at limits are."""
+    rows, _ = corpus
+    docs = table(spark, rows)
+    on = {(r.doc_id, r.reason) for r in truncated_texts(docs).collect()}
+    words = {i for i, why in on if why == "word"}
+    trie = truncation.CorpusEnds.trie
+    monkeypatch.setattr(truncation.CorpusEnds, "trie", lambda self, asked: trie(self, asked).where("false"))
+    off = {r.doc_id for r in truncated_texts(docs).collect()}
+    assert words and not words & off and len(off) < 0.4 * len(on)
+    monkeypatch.setattr(truncation.CorpusEnds, "trie", lambda self, asked: trie(self, asked).withColumn("below", F.lit(0)))
+    assert not words & {r.doc_id for r in truncated_texts(docs).collect()}
+    monkeypatch.setattr(truncation.CorpusEnds, "trie", trie)
+    monkeypatch.setattr(truncation, "length_limits", lambda *a, **k: length_limits(*a, **k).where("false"))
+    assert not {r.reason for r in truncated_texts(docs).collect()} & {"limit"}
+
+
+def test_prefixes_of_any_length(spark):
+    g = random.Random(1)
+    stem = "ab" * 40
+    items = ["a", "ab", "abc", "b", stem, stem + "c", stem + "cd", stem[:70], "c" * 64, "c" * 65, *("".join(g.choice("ab") for _ in range(g.randint(1, 6))) for _ in range(60))]
+    counts = {w: i + 1 for i, w in enumerate(sorted(set(items)))}
+    df = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    asked = ["a", "ab", "aba", "", stem[:63], stem[:64], stem[:65], stem, stem + "c", stem + "x", "c" * 63, "c" * 64, "c" * 66, None]
+    got = {r.word: r.below for r in prefix_counts(df, spark.createDataFrame([(w,) for w in asked + asked], "word string"), [], "word", "n", "below").collect()}
+    want = {p: sum(n for w, n in counts.items() if w.startswith(p) and w != p) for p in asked if p}
+    assert got == {p: n for p, n in want.items() if n}
 
 
 def test_limits(spark, corpus):
