@@ -45,6 +45,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*cut_rows: DataFrame) -> None:
+    """Deletes the files of results of ``cut`` that nothing reads any more, because what came of them is written."""
+    for df in cut_rows:
+        file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+        if file.isDefined():
+            forget_path(df.sparkSession, file.get())
+
+
 _SHIPPED: set[str] = set()
 
 
