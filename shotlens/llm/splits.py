@@ -33,6 +33,8 @@ SHOT = ["run_id", "shot_id"]
 #: The names of the splits, as bits 1, 2 and 4.
 SPLITS = ["train", "validation", "test"]
 SEP = "\x01"
+#: So many ranges of ranks (at most one per split and size of group) are broadcast; more are joined by a shuffle.
+MOST_RANGES = 100_000
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +102,7 @@ def _node(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(kind), *[x for p in parts for x in (F.lit(SEP), p.cast("string"))])
 
 
-def shot_groups(shots: DataFrame, rows: DataFrame, shots_per_part: int = 4096) -> DataFrame:
+def shot_groups(shots: DataFrame, rows: DataFrame, shots_per_part: int = 4096, links_per_task: int = 500_000) -> DataFrame:
     """(run_id, shot_id, group, n_rows, splits): the group of each shot, its rows and the splits (bits) that its rows carry."""
     require_columns(shots, *SHOT, "cycle_index", "retake_of_shot_id")
     require_columns(rows, *SHOT, "raw_image_path", "split")
@@ -110,7 +112,8 @@ def shot_groups(shots: DataFrame, rows: DataFrame, shots_per_part: int = 4096) -
     plan = shots.where("run_id is not null and shot_id is not null").select(*SHOT, "cycle_index", "retake_of_shot_id").distinct()
     run, shot = F.col("run_id"), F.col("shot_id")
     me = _node("s", run, shot).alias("a")
-    retake = plan.where("retake_of_shot_id is not null").join(plan.select("run_id", F.col("shot_id").alias("retake_of_shot_id")).distinct(), ["run_id", "retake_of_shot_id"], "left_semi")
+    every = plan.select(*SHOT).unionByName(seen.select(*SHOT)).distinct()  # a shot known from its rows alone is a shot too
+    retake = plan.where("retake_of_shot_id is not null").join(every.select("run_id", F.col("shot_id").alias("retake_of_shot_id")), ["run_id", "retake_of_shot_id"], "left_semi")
     block = F.floor(shot / shots_per_part).alias("block")
     links = reduce(
         DataFrame.unionByName,
@@ -122,10 +125,10 @@ def shot_groups(shots: DataFrame, rows: DataFrame, shots_per_part: int = 4096) -
         ],
     )
     # neighbouring shots are related most often, so a forest over a stretch of a run leaves few links to the next level
-    group = connected_groups(links.repartition("run_id", "block"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(seen.count() + 3 * plan.count()) // links_per_task))
+    group = connected_groups(links.repartition(parts, "run_id", "block"), links_per_task)
     per = seen.groupBy(*SHOT).agg(F.sum("n").alias("n_rows"), F.expr("bit_or(bit)").alias("splits"))
-    every = plan.select(*SHOT).unionByName(seen.select(*SHOT)).distinct().withColumn("node", _node("s", run, shot))
-    return every.join(group, "node").join(per, SHOT, "left").select(*SHOT, F.col("root").alias("group"), F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"), F.coalesce("splits", F.lit(0)).alias("splits"))
+    return every.withColumn("node", _node("s", run, shot)).join(group, "node").join(per, SHOT, "left").select(*SHOT, F.col("root").alias("group"), F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"), F.coalesce("splits", F.lit(0)).alias("splits"))
 
 
 def broken_groups(groups: DataFrame) -> DataFrame:
@@ -180,7 +183,10 @@ def assign_groups(groups: DataFrame, shares: dict[str, float], rank_bins: int =
     cells = cut(g.groupBy("group_rows", "bin").agg(F.count("*").alias("n")))
     sizes = [(int(r.group_rows), int(r.n)) for r in cells.groupBy("group_rows").agg(F.sum("n").alias("n")).collect()]
     spark = groups.sparkSession
-    ranges = spark.createDataFrame(greedy_counts(sizes, shares), "group_rows bigint, split string, first bigint, last bigint")
+    lines = greedy_counts(sizes, shares)
+    ranges = spark.createDataFrame(lines, "group_rows bigint, split string, first bigint, last bigint")
+    # many groups have one size, so ranges that are few are sent to the groups rather than the groups to the ranges
+    ranges = F.broadcast(ranges) if len(lines) <= MOST_RANGES else ranges
     before = F.sum("n").over(Window.partitionBy("group_rows").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     offset = cells.select("group_rows", "bin", F.coalesce(before, F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("group_rows", "bin").orderBy("group"))

@@ -65,6 +65,13 @@ def test_relations(spark):
     assert found(spark, [], [("r", 0, "a", "train"), ("r", 0, "b", "test")]) == {("r", 0)}
 
 
+def test_retakes_of_shots_known_from_rows_alone(spark):
+    rows = [("r", 1, None, "train"), ("r", 2, None, "test"), ("r", 4, None, "test")]
+    assert found(spark, [("r", 2, None, 1)], rows) == {("r", 1), ("r", 2)}
+    assert found(spark, [("r", 2, None, 77), ("r", 1, None, 77)], rows) == set()  # a shot that isn't there relates nothing
+    assert found(spark, [("r", 1, None, 4)], rows) == {("r", 1), ("r", 4)}
+
+
 def test_split_names(spark):
     from pyspark.sql import functions as F
 
