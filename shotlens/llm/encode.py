@@ -195,16 +195,19 @@ def decode_corpus(coded: DataFrame, key: str, ranks: str = DEFAULT_RANKS) -> Dat
     return coded.select(F.col(key).alias("k"), "ids").mapInArrow(back, f"k {kind}, text string").select(F.col("k").alias(key), "text")
 
 
-def token_counts(docs: DataFrame, columns: list[str], text: str, ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """columns and n_tokens of every row; a null text has 0."""
-    x = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col(text).alias("t"))
-    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
+def token_counts(docs: DataFrame, columns: list[str], text: str, ranks: str = DEFAULT_RANKS, whole_chars: int = 1 << 16) -> DataFrame:
+    """columns and n_tokens of every row; a null text has 0. Texts over ``whole_chars`` are encoded as trees of pieces."""
+    x = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("k"), F.col(text).alias("t"))
+    kind = x.schema["k"].dataType.simpleString()
+    long_ = F.length("t") > whole_chars
 
     def count(batches):
         c = coder(ranks)
         for b in batches:
-            n = pa.array([len(c.ids(t)) if t else 0 for t in b.column("t").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(f"c{i}") for i in range(len(columns))], n], names=[*[f"c{i}" for i in range(len(columns))], "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([len(c.ids(t)) if t else 0 for t in b.column("t").to_pylist()], pa.int64())], names=["k", "n_tokens"])
 
-    out = x.mapInArrow(count, f"{kinds}, n_tokens bigint")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "n_tokens")
+    out = x.where(F.col("t").isNull() | ~long_).mapInArrow(count, f"k {kind}, n_tokens bigint")
+    longs = x.where(long_)
+    if not longs.isEmpty():
+        out = out.unionByName(encode_corpus(longs, "k", "t", ranks).select("k", F.size("ids").cast("bigint").alias("n_tokens")))
+    return out.select(*[F.col(f"k.c{i}").alias(c) for i, c in enumerate(columns)], "n_tokens")

@@ -5,17 +5,19 @@ source that has documents reaches its share within its repeats; a source that wo
 the corpus counts as unable and gives all it may.  Of each source every document is then used ``whole`` times, and once
 more with probability ``extra``.
 
-Which ones is balanced sampling.  In each task, source by source, the documents pass through a flight of three at a time:
+Which ones is balanced sampling.  Each source is cut into groups by a hash of key and seed, as many as its documents need
+(their number is in the plan).  In each group, in the order of the keys, the documents pass through a flight of three at a time:
 their probabilities move along the direction in which neither the expected tokens nor the expected number of documents
 changes, one way or the other by chance with the right odds, until one of the three is settled at 0 or 1 and makes room for the
-next.  A task leaves at most three documents of a source open; these few fly on together in ever fewer groups of
-``fan_in`` tasks, and the last ones of each source are landed on the choice with the least error.  No group is larger than
-``3 * fan_in`` documents, whatever the size of a source.
+next.  A group leaves at most three documents open; these few fly on together, ``fan_in`` groups in one, and the last ones of
+each source are landed on the choice with the least error.  A first group has about ``group_docs`` documents, a later one at
+most ``3 * fan_in``, whatever the size of a source.
 
 Defined results: a document whose source is null or has no target takes no part, nor does one without tokens (null or empty
 text); repeated rows are documents of their own; negative or null shares and repeats count as 0; of several targets of one
 source the first by share and repeats counts; a source without documents reaches 0 and is reported; empty tables give an
-empty mixture; the draw depends on the seed and the document's key alone and on how the rows are laid out, not on timing.
+empty mixture; the draw depends on the seed, the keys and the sizes alone, not on how the rows are laid out nor on timing (rows
+of one key and size may stand for each other).
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ MOST_SOURCES = 100_000
 
 
 def plan_shares(sources: pd.DataFrame, total: float | None, least_total: float) -> pd.DataFrame:
-    """sources: source, share, cap, n_docs, n_tokens. Adds wanted (tokens), given (tokens), whole, extra, able."""
+    """sources: source, share, cap, n_docs, n_tokens. Adds binds (it holds the total), passed_over (it would hold it too low), wanted (tokens), given (tokens), whole, extra, able."""
     p = sources.copy()
     corpus = p["n_tokens"].sum()
     room = p["n_tokens"] * p["cap"]
@@ -42,6 +44,8 @@ def plan_shares(sources: pd.DataFrame, total: float | None, least_total: float)
     if total is None:
         bounds = limit[(limit > 0) & (limit >= least_total * corpus)]
         total = float(bounds.min()) if len(bounds) else float(room.sum())
+    p["binds"] = (limit > 0) & (limit <= total * (1 + 1e-9)) & (limit >= least_total * corpus)
+    p["passed_over"] = (limit < least_total * corpus) & (limit < total)
     p["wanted"] = p["share"] * total
     p["given"] = p[["wanted"]].assign(room=room).min(axis=1)
     p["able"] = (p["n_tokens"] > 0) & (p["given"] >= p["wanted"] * (1 - 1e-9))
@@ -89,12 +93,12 @@ def land(tokens: list, probs: list) -> list[int]:
     return list(min(product((0, 1), repeat=len(tokens)), key=lambda x: (abs(sum(t * k for t, k in zip(tokens, x)) - want), abs(sum(x) - count), x)))
 
 
-UNIT = "unit bigint, source string, n_tokens bigint, prob double, draw double"
+UNIT = "unit bigint, key string, source string, n_tokens bigint, prob double, draw double, part int"
 
 
 def _fly(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("unit", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["key", "n_tokens", "prob"], kind="stable", na_position="first").reset_index(drop=True)
         tokens, probs, draws = pdf["n_tokens"].tolist(), pdf["prob"].tolist(), pdf["draw"].tolist()
         done, open_ = flight(pdf["unit"].tolist(), tokens, probs, draws)
         if last and open_:
@@ -107,34 +111,17 @@ def _fly(last: bool):
     return run
 
 
-def _fly_partition(batches):
-    """Level 0: the documents of one task in batches, of which only the open ones are carried on from batch to batch."""
-    carried: dict[str, pd.DataFrame] = {}
-    for pdf in batches:
-        for source, part in pdf.groupby("source", sort=False):
-            both = pd.concat([carried.pop(source, part.iloc[:0]), part], ignore_index=True)
-            out = _fly(False)(both)
-            open_ = (out["prob"] > 0) & (out["prob"] < 1)
-            yield out[~open_]
-            carried[source] = out[open_]
-    for out in carried.values():
-        yield out
-
-
-def balanced_draw(units: DataFrame, fan_in: int = 64) -> DataFrame:
-    """units (unit, source, n_tokens, prob, draw) with every prob moved to 0 or 1."""
-    level = cut(units.mapInPandas(_fly_partition, UNIT).withColumn("task", F.spark_partition_id()))
-    settled = [level.where("prob in (0, 1)").drop("task")]
-    open_ = level.where("prob > 0 and prob < 1")
-    tasks = open_.agg(F.max("task")).first()[0]
-    while tasks is not None:
-        last = tasks < fan_in
-        open_ = open_.withColumn("task", F.floor(F.col("task") / fan_in).cast("int"))
-        keep = cut(open_.groupBy("source", "task").applyInPandas(_fly(last), UNIT + ", task int"))
-        settled.append(keep.where("prob in (0, 1)").drop("task"))
+def balanced_draw(units: DataFrame, most_parts: int, fan_in: int = 64) -> DataFrame:
+    """units (UNIT, parts counting from 0 to most_parts - 1) with every prob moved to 0 or 1."""
+    settled, open_, parts = [], units, most_parts
+    while True:
+        last = parts <= 1
+        level = cut(open_.groupBy("source", "part").applyInPandas(_fly(last), UNIT))
+        settled.append(level.where("prob in (0, 1)"))
         if last:
             break
-        open_, tasks = keep.where("prob > 0 and prob < 1"), tasks // fan_in
+        open_ = level.where("prob > 0 and prob < 1").withColumn("part", F.floor(F.col("part") / fan_in).cast("int"))
+        parts = -(-parts // fan_in)
     out = settled[0]
     for x in settled[1:]:
         out = out.unionByName(x)
@@ -144,7 +131,7 @@ def balanced_draw(units: DataFrame, fan_in: int = 64) -> DataFrame:
 class Mixture:
     """The draw and its report. ``used``: key, source, n_tokens, repeats (1 or more); ``shares``: one row per source."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", ranks: str = DEFAULT_RANKS, total_tokens: float | None = None, least_total: float = 0.1, seed: int = 7):
+    def __init__(self, docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", ranks: str = DEFAULT_RANKS, total_tokens: float | None = None, least_total: float = 0.1, seed: int = 7, group_docs: int = 20_000):
         spark = docs.sparkSession
         counted = token_counts(docs.where(F.col(source).isNotNull()), [key, source], text, ranks)
         counted = cut(counted.select(F.col(key).alias("key"), F.col(source).alias("source"), "n_tokens").withColumn("unit", F.monotonically_increasing_id()))
@@ -155,10 +142,13 @@ class Mixture:
         if len(lines) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
         self.plan = plan_shares(lines.astype({"share": float, "cap": float, "n_docs": float, "n_tokens": float}), total_tokens, least_total)
-        plan = spark.createDataFrame([(r.source, int(r.whole), float(r.extra)) for r in self.plan.itertuples()], "source string, whole int, extra double")
+        lines = [(r.source, int(r.whole), float(r.extra), max(1, -(-int(r.n_docs) // group_docs))) for r in self.plan.itertuples()]
+        plan = spark.createDataFrame(lines, "source string, whole int, extra double, parts int")
         units = counted.where("n_tokens > 0").join(plan, "source")
         draw = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).alias("draw")
-        drawn = balanced_draw(units.where("extra > 0").select("unit", "source", "n_tokens", F.col("extra").alias("prob"), draw))
+        part = F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("parts")).cast("int").alias("part")
+        flying = units.where("extra > 0").select("unit", F.col("key").cast("string").alias("key"), "source", "n_tokens", F.col("extra").alias("prob"), draw, part)
+        drawn = balanced_draw(flying, max((x[3] for x in lines), default=1))
         once = units.where("whole > 0").select("unit", F.col("whole").alias("times"))
         more = drawn.where("prob = 1").select("unit", F.lit(1).alias("times"))
         times = once.unionByName(more).groupBy("unit").agg(F.sum("times").cast("int").alias("repeats"))
@@ -167,8 +157,8 @@ class Mixture:
 
     def shares(self) -> DataFrame:
         got = self.used.groupBy("source").agg(F.count("*").alias("n_used"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("reached_tokens"), F.max("repeats").alias("most_repeats"), F.sum("repeats").alias("n_uses"))
-        lines = [(r.source, r.share, int(r.cap), int(r.n_docs), int(r.n_tokens), float(r.wanted), bool(r.able and r.share > 0)) for r in self.plan.itertuples()]
-        plan = self._spark.createDataFrame(lines, "source string, target_share double, max_repeats int, n_docs bigint, n_tokens bigint, wanted_tokens double, can_be_met boolean")
+        lines = [(r.source, r.share, int(r.cap), int(r.n_docs), int(r.n_tokens), float(r.wanted), bool(r.able and r.share > 0), bool(r.binds), bool(r.passed_over)) for r in self.plan.itertuples()]
+        plan = self._spark.createDataFrame(lines, "source string, target_share double, max_repeats int, n_docs bigint, n_tokens bigint, wanted_tokens double, can_be_met boolean, binds_total boolean, passed_over boolean")
         every = plan.join(got, "source", "left").fillna(0, ["n_used", "reached_tokens", "most_repeats", "n_uses"])
         whole = every.agg(F.sum("reached_tokens").alias("whole"))
         return every.join(F.broadcast(whole)).select(*every.columns, F.round(F.coalesce(F.try_divide("reached_tokens", "whole"), F.lit(0.0)), 6).alias("reached_share"))  # one row on the right

@@ -67,3 +67,11 @@ def test_ids_of_the_documents(spark, folder):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
     got = {r.doc_id: list(r.ids) for r in p6_ids(spark, folder).collect()}
     assert got == {k: c.ids(t) if t else [] for k, t in texts.items()}
+
+
+def test_counts_of_long_texts_go_through_the_tree(spark):
+    g = random.Random(5)
+    texts = [None, "", *("".join(text(g, m) for _ in range(6)) for m in range(5))]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "n int, source string, text string")
+    got = {r.n: r.n_tokens for r in token_counts(docs, ["n", "source"], "text", whole_chars=100).collect()}
+    assert got == {i: len(coder(DEFAULT_RANKS).ids(t)) if t else 0 for i, t in enumerate(texts)}

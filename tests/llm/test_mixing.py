@@ -65,11 +65,21 @@ def test_shares_and_repeats(spark):
     assert abs(len(again) - len(used)) <= 8
 
 
+def test_the_seed_fixes_the_sample(spark):
+    docs, want = corpus(spark, {"a": 900, "b": 300}), targets(spark, [("a", 0.5, 1), ("b", 0.5, 1)])
+    draw = lambda df, **k: {(r.doc_id, r.repeats) for r in Mixture(df, want, group_docs=100, **k).used.collect()}
+    one = draw(docs)
+    assert one == draw(docs.repartition(7)) == draw(docs.repartition(2, "text").sortWithinPartitions("text"))
+    other = draw(docs, seed=8)
+    assert other != one and abs(len(other) - len(one)) <= 8
+
+
 def test_targets_that_cannot_be_met(spark):
     docs = corpus(spark, {"a": 900, "tiny": 1})
     m = Mixture(docs, targets(spark, [("a", 0.5, 1), ("tiny", 0.4, 3), ("ghost", 0.1, 3)]))
     got = {r.source: r for r in m.shares().collect()}
     assert not got["tiny"].can_be_met and got["tiny"].most_repeats == 3  # all it may give
+    assert got["tiny"].passed_over and got["a"].binds_total and not got["a"].passed_over
     assert not got["ghost"].can_be_met and got["ghost"].reached_tokens == 0 and got["a"].can_be_met
     p = plan_shares(pd.DataFrame({"source": ["a"], "share": [1.0], "cap": [2.0], "n_docs": [3.0], "n_tokens": [100.0]}), 150.0, 0.1)
     assert (p.whole[0], round(p.extra[0], 6)) == (1, 0.5)
