@@ -1,14 +1,21 @@
 """Percentiles per group of very large numeric columns, by distributed multi-select.
 
 Each task turns the rows it reads into sorted chunks, one for each group and at most ``chunk_rows`` rows.  Then, for every
-group and wanted rank at once, rounds are played over the chunks, which are never moved whole to one place:
+group, rounds are played over the chunks, which stay where they lie:
 
 1. a chunk proposes the median of its values that are still in the running, weighted by their number,
 2. the weighted median of the proposals becomes the pivot,
 3. every chunk counts its values below, at and above the pivot, and proposes a median for either side,
-4. the counts are added up; the side that can't hold the rank is discarded, or the pivot is the answer,
+4. the counts are added up; a wanted rank lies below or above, where it goes on, or the pivot is its answer; a side in which
+   no wanted rank lies is discarded,
 
-until every rank is found.  Every third round the discarded values are cut off the chunks.  A range that holds at most ``rest`` values is settled by reading the rank off.  The answer is an element of the data, the one of rank max(1, ceil(p * n)): no error.
+until every rank is found.  Ranks that lie in the same range share its pivot.  Every third round the discarded values are cut
+off the chunks.  After a first round, a range that holds at most ``rest`` values is settled by reading the ranks off.  The
+answer is an element of the data, the one of rank max(1, ceil(p * n)): no error.
+
+Only pivots, counts and medians move.  While there are at most ``broadcast_ranges`` open ranges their pivots are broadcast to the
+chunks.  Where there are more, the chunks are written once as a table bucketed by group, in which a group of many chunks has
+several parts, and the pivots go to the buckets.  Proposals of a group of many chunks are combined in two stages.
 
 ``summaries`` keeps, of every chunk, one value for each ``2 * error`` of its rows, with the number of rows it stands for.
 Summaries of any tasks, loads or days can be put together and selected from in the same rounds: each is off by at most
@@ -20,12 +27,14 @@ null keys form a group; ties and repeated rows count as often as they stand; oth
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotlens.session import cut
+from shotlens.session import cut, ensure_checkpoint_dir, forget, forget_path
 from shotlens.sources.tables import require_columns
 
 
@@ -104,11 +113,8 @@ def _weights(vals: pa.ListArray, wts: pa.ListArray) -> np.ndarray:
     return w
 
 
-COUNTS = "lt bigint, eq bigint, gt bigint, mid_lt double, mid_gt double"
-
-
 def _in_range(b: pa.RecordBatch):
-    """For a batch of chunks with their open ranks: values, weights, offsets, the chunk of each rank, the ranks, and the slice of values within each one's range."""
+    """For a batch of chunks with their open ranges: values, weights, offsets, the chunk of each range, the ranges, and the slice of values within each."""
     vals = b.column("vals")
     off = vals.offsets.to_numpy().astype(np.int64)
     off = off - off[0]
@@ -116,7 +122,7 @@ def _in_range(b: pa.RecordBatch):
     open_ = b.column("open")
     row = np.repeat(np.arange(b.num_rows), np.diff(open_.offsets.to_numpy()))
     items = open_.flatten()
-    lo, hi = items.field(1), items.field(2)
+    lo, hi = items.field("lo"), items.field("hi")
     s, e = off[row], off[row + 1]
     number = lambda c: c.fill_null(0.0).to_numpy(zero_copy_only=False)
     i0 = np.where(np.asarray(lo.is_null()), s, _bound(flat, s, e, number(lo), True))
@@ -124,17 +130,20 @@ def _in_range(b: pa.RecordBatch):
     return flat, w, off, row, items, i0, i1
 
 
+COUNTS = "r int, lt bigint, eq bigint, gt bigint, mid_lt double, mid_gt double"
+
+
 def _count_chunk(names: list[str]):
-    """Of each chunk and open rank: values below, at and above the pivot within the range, and the median of either side."""
+    """Of each chunk and open range: values below, at and above the pivot, and the median of either side."""
 
     def play(batches):
         for b in batches:
             flat, w, _, row, items, i0, i1 = _in_range(b)
             if not len(flat):
                 continue
-            rank, pivot = items.field(0), items.field(3)
+            pivot = items.field("pivot")
             w = np.r_[0, np.cumsum(w)]  # rows before each value
-            free = np.asarray(pivot.is_null())  # the first round has no pivot: all values stand "above"
+            free = np.asarray(pivot.is_null())  # before the first round there is no pivot: all values stand "above"
             p = pivot.fill_null(0.0).to_numpy(zero_copy_only=False)
             a = np.where(free, i0, _bound(flat, i0, i1, p, False))
             c = np.where(free, i0, _bound(flat, i0, i1, p, True))
@@ -148,23 +157,26 @@ def _count_chunk(names: list[str]):
             lt, eq, gt = w[a] - w[i0], w[c] - w[a], w[i1] - w[c]
             pick = np.flatnonzero(lt + eq + gt > 0)
             keyed = [b.column(n).take(pa.array(row[pick])) for n in names]
-            out = [*keyed, rank.take(pa.array(pick)), pa.array(lt[pick]), pa.array(eq[pick]), pa.array(gt[pick]), pa.array(middle(i0, a)[pick], mask=lt[pick] == 0), pa.array(middle(c, i1)[pick], mask=gt[pick] == 0)]
-            yield pa.RecordBatch.from_arrays(out, names=[*names, "p", "lt", "eq", "gt", "mid_lt", "mid_gt"])
+            out = [*keyed, items.field("r").take(pa.array(pick)), pa.array(lt[pick]), pa.array(eq[pick]), pa.array(gt[pick]), pa.array(middle(i0, a)[pick], mask=lt[pick] == 0), pa.array(middle(c, i1)[pick], mask=gt[pick] == 0)]
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "r", "lt", "eq", "gt", "mid_lt", "mid_gt"])
 
     return play
 
 
-def _read_rest(names: list[str]):
-    """Of each chunk and open rank: the values left in its range, with their weights."""
+def _read_rest(names: list[str], weighted: bool):
+    """Of each chunk and open range: the values left in it, with their weights if any chunk has some."""
 
     def read(batches):
         for b in batches:
             flat, w, _, row, items, i0, i1 = _in_range(b)
-            n = i1 - i0
-            which = np.repeat(np.arange(len(row)), n)
-            at = np.repeat(i0, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            keyed = [b.column(k).take(pa.array(row[which])) for k in names]
-            yield pa.RecordBatch.from_arrays([*keyed, items.field(0).take(pa.array(which)), pa.array(flat[at]), pa.array(w[at])], names=[*names, "p", "v", "w"])
+            some = np.flatnonzero(i1 > i0)
+            n = (i1 - i0)[some]
+            off = np.r_[0, np.cumsum(n)]
+            at = np.repeat(i0[some] - off[:-1], n) + np.arange(off[-1])
+            ends = pa.array(off.astype(np.int32))
+            ws = pa.ListArray.from_arrays(ends, pa.array(w[at])) if weighted else pa.nulls(len(some), pa.list_(pa.int64()))
+            keyed = [b.column(k).take(pa.array(row[some])) for k in names]
+            yield pa.RecordBatch.from_arrays([*keyed, items.field("r").take(pa.array(some)), pa.ListArray.from_arrays(ends, pa.array(flat[at])), ws], names=[*names, "r", "vs", "ws"])
 
     return read
 
@@ -200,80 +212,139 @@ def _weighted_median(proposals: Column, total: Column) -> Column:
     return F.aggregate(F.array_sort(proposals), zero, step, lambda acc: acc["v"])
 
 
-def select_ranks(chunks: DataFrame, keys: list[str], points: list[float], rest: int = 32, chunks_per_part: int = 64, trim_every: int = 3) -> DataFrame:
+class _Chunks:
+    """The chunks of one selection, and how open ranges get to them."""
+
+    def __init__(self, chunks: DataFrame, names: list[str], chunks_per_part: int, broadcast_ranges: int):
+        self.names, self.limit = names, broadcast_ranges
+        self.kinds = ", ".join(f"{n} bigint" for n in names)
+        self.df = cut(chunks.withColumn("_id", F.monotonically_increasing_id()))
+        self.path = None  # of the bucketed table, where there is one
+        n = F.coalesce(F.expr("aggregate(wts, 0L, (a, x) -> a + x)"), F.size("vals").cast("bigint"))
+        self.groups = cut(self.df.groupBy(*names).agg(F.sum(n).alias("n"), F.ceil(F.count("*") / chunks_per_part).cast("int").alias("salts"), F.max(F.col("wts").isNotNull()).alias("w")))
+        top = self.groups.agg(F.max("salts").alias("s"), F.max("w").alias("w")).first()
+        self.salts, self.weighted = top.s or 1, bool(top.w)
+
+    def _place(self) -> None:
+        """Writes the chunks bucketed by group and part of the group, so that they move once and never again."""
+        spark, before = self.df.sparkSession, (self.df, self.path)
+        df = self.df
+        if "_b" not in df.columns:
+            hot = self.groups.where("salts > 1").select(*self.names, "salts")
+            df = df.join(hot, self.names, "left").withColumn("_b", F.pmod(F.xxhash64("_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+            self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.repartition(self.parts, *self.names, "_b")
+        name = f"chunks_{uuid.uuid4().hex}"
+        self.path = f"{ensure_checkpoint_dir(spark)}/{name}"
+        df.write.bucketBy(self.parts, *self.names, "_b").format("parquet").option("path", self.path).saveAsTable(name)
+        self.df = spark.table(name)
+        forget_path(spark, before[1]) if before[1] else forget(before[0])
+
+    def small(self, ranges: int) -> bool:
+        return ranges <= self.limit
+
+    def with_open(self, state: DataFrame, ranges: int) -> DataFrame:
+        """names, _s, vals, wts and the open ranges of each chunk; _s is its part of a group of many chunks."""
+        lists = state.groupBy(*self.names, "salts").agg(F.collect_list(F.struct("r", "lo", "hi", "pivot")).alias("open"))  # no more than there are points
+        if self.path is None and not self.small(ranges):
+            self._place()
+        if self.path is None:
+            return self.df.join(F.broadcast(lists), self.names).withColumn("_s", F.pmod(F.xxhash64("_id"), F.col("salts")).cast("int")).drop("salts")
+        if self.small(ranges):
+            return self.df.withColumn("_s", F.col("_b")).join(F.broadcast(lists), self.names).drop("salts")
+        lists = lists.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        return self.df.join(lists.hint("shuffle_hash"), [*self.names, "_b"]).withColumn("_s", F.col("_b"))
+
+    def trim(self, state: DataFrame, ranges: int) -> None:
+        """What is discarded is no longer carried along."""
+        at = self.with_open(state, ranges)
+        own = "_id" if self.path is None else "_b"
+        kind = "bigint" if self.path is None else "int"
+        new = at.mapInArrow(_trim([*self.names, own]), f"{self.kinds}, {own} {kind}, vals array<double>, wts array<bigint>")
+        if self.path is None:
+            old, self.df = self.df, cut(new)
+            forget(old)
+        else:
+            self.df = new
+            self._place()
+
+    def drop(self) -> None:
+        forget_path(self.df.sparkSession, self.path) if self.path else forget(self.df)
+
+
+def select_ranks(chunks: DataFrame, keys: list[str], points: list[float], rest: int = 32, chunks_per_part: int = 1024, trim_every: int = 3, broadcast_ranges: int = 500_000) -> DataFrame:
     """(keys..., p, value, n, rounds): for each group and point p the value of rank max(1, ceil(p * n)) by multi-select over chunks."""
     # null keys become a number of flags, so that plain equality holds
     names = [*[f"_k{i}" for i in range(len(keys))], "_null"]
     flags = sum((F.col(k).isNull().cast("bigint") * (1 << i) for i, k in enumerate(keys)), F.lit(0).cast("bigint"))
-    raw = chunks.select(*[F.coalesce(k, F.lit(0)).cast("bigint").alias(n) for k, n in zip(keys, names)], flags.alias("_null"), "vals", "wts")
-    raw = cut(raw)
-    flat_keys = ", ".join(f"{n} bigint" for n in names)
-    n = F.coalesce(F.expr("aggregate(wts, 0L, (a, x) -> a + x)"), F.size("vals").cast("bigint"))
-    # a group of many chunks is spread over several parts, so that no task holds a hot group
-    groups = cut(raw.groupBy(*names).agg(F.sum(n).alias("n"), F.ceil(F.count("*") / chunks_per_part).cast("int").alias("salts")))
-    if groups.where("salts > 1").isEmpty():
-        salted = raw.withColumn("_s", F.lit(0))
-    else:
-        salted = raw.join(groups.select(*names, "salts"), names).withColumn("_s", F.pmod(F.xxhash64("vals"), F.col("salts")).cast("int")).drop("salts")  # equal chunks of a group may meet
-    c = salted
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.ceil(F.lit(float(p)) * F.col("n") - 1e-9), F.lit(1)).cast("bigint").alias("k")) for p in points])
+    c = _Chunks(chunks.select(*[F.coalesce(k, F.lit(0)).cast("bigint").alias(n) for k, n in zip(keys, names)], flags.alias("_null"), "vals", "wts"), names, chunks_per_part, broadcast_ranges)
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.greatest(F.ceil(F.lit(float(p)) * F.col("n") - 1e-9), F.lit(1)).cast("bigint").alias("k")) for i, p in enumerate(points)])
     none = F.lit(None).cast("double")
-    # the state: for each group and point the rank k still to pass within (lo, hi), open at either end where null
-    state = groups.select(*names, "n", "salts", F.explode(wanted).alias("w")).select(*names, "n", "salts", "w.p", "w.k", none.alias("lo"), none.alias("hi"), none.alias("pivot"), F.col("n").alias("left"), none.alias("value"), F.lit(0).alias("round"))
-    state = cut(state)
-    done, turn = [], 0
-
-    def over_chunks(open_: DataFrame) -> DataFrame:
-        ranges = open_.groupBy(*names, "salts").agg(F.collect_list(F.struct("p", "lo", "hi", "pivot")).alias("open"))
-        ranges = ranges.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        return c.join(ranges, [*names, "_s"])
-
-    while True:
-        done.append(state.where("value is not null"))
-        small = state.where(f"value is null and left <= {rest}")
-        if not small.isEmpty():
-            left = over_chunks(small).mapInArrow(_read_rest(names), f"{flat_keys}, p double, v double, w bigint")
-            lists = left.groupBy(*names, "p").agg(F.array_sort(F.collect_list(F.struct("v", F.col("w").alias("n")))).alias("vs"))  # at most rest values
-            zero = F.struct(F.lit(0).cast("bigint").alias("n"), none.alias("v"))
-
-            def pass_(acc, x):
-                m = acc["n"] + x["n"]
-                return F.struct(m.alias("n"), F.when(acc["v"].isNull() & (m >= F.col("k")), x["v"]).otherwise(acc["v"]).alias("v"))
-
-            got = small.drop("value").join(lists, [*names, "p"]).withColumn("value", F.aggregate("vs", zero, pass_, lambda a: a["v"])).select(*state.columns)
-            done.append(cut(got))
-        state = state.where(f"value is null and left > {rest}")
-        if state.isEmpty():
-            break
+    # a row for each open range: its ends (null where it is open to that side), its pivot, its number of rows, and the ranks in it, counted within it
+    state = c.groups.select(*names, "n", "salts", F.lit(0).alias("r"), none.alias("lo"), none.alias("hi"), none.alias("pivot"), F.col("n").alias("left"), wanted.alias("ps"), none.alias("value"), F.lit(-1).alias("round"))
+    cols, done, turn = state.columns, [], 0
+    ranges = state.count()
+
+    def next_to(small: bool, s: DataFrame) -> DataFrame:
+        return F.broadcast(s) if small else s
+
+    while ranges:
+        few = c.small(ranges)
+        rests = state.where(f"round > 0 and left <= {rest}")
+        n_rest = rests.count() if turn > 1 else 0
+        if n_rest:
+            left = c.with_open(rests, n_rest).mapInArrow(_read_rest(names, c.weighted), f"{c.kinds}, r int, vs array<double>, ws array<bigint>")
+            lists = left.groupBy(*names, "r").agg(F.flatten(F.collect_list("vs")).alias("vs"), *([F.flatten(F.collect_list("ws")).alias("ws")] if c.weighted else []))  # at most rest values
+            if c.weighted:
+                lists = lists.withColumn("vs", F.array_sort(F.arrays_zip("vs", "ws")))
+                zero = F.struct(F.lit(0).cast("bigint").alias("n"), none.alias("v"))
+
+                def pass_(k: Column):
+                    return lambda acc, x: F.struct((acc["n"] + x["ws"]).alias("n"), F.when(acc["v"].isNull() & (acc["n"] + x["ws"] >= k), x["vs"]).otherwise(acc["v"]).alias("v"))
+
+                value = F.aggregate("vs", zero, pass_(F.col("q.k")), lambda a: a["v"])
+            else:
+                lists = lists.withColumn("vs", F.array_sort("vs"))
+                value = F.element_at("vs", F.col("q.k").cast("int"))
+            got = lists.join(next_to(c.small(n_rest), rests), [*names, "r"]).withColumn("q", F.explode("ps"))
+            done.append(cut(got.select(*names, F.col("q.i").alias("i"), value.alias("value"), "n", "round")))
+            state = state.where(f"round <= 0 or left > {rest}")
+            if not (ranges := ranges - n_rest):
+                break
+        if turn and turn % trim_every == 0:
+            c.trim(state, ranges)
         turn += 1
-        if turn % trim_every == 0:  # what is discarded is no longer carried along
-            c = cut(over_chunks(state).mapInArrow(_trim([*names, "_s"]), f"{flat_keys}, _s int, vals array<double>, wts array<bigint>"))
-        counted = over_chunks(state).mapInArrow(_count_chunk(names), f"{flat_keys}, p double, {COUNTS}")
-        sums = counted.groupBy(*names, "p").agg(
-            F.sum("lt").alias("lt"), F.sum("eq").alias("eq"), F.sum("gt").alias("gt"),
-            F.collect_list(F.when(F.col("lt") > 0, F.struct(F.col("mid_lt").alias("v"), F.col("lt").alias("n")))).alias("below"),
-            F.collect_list(F.when(F.col("gt") > 0, F.struct(F.col("mid_gt").alias("v"), F.col("gt").alias("n")))).alias("above"),
-        )
-        s = state.join(sums, [*names, "p"])
-        k, lt, eq = F.col("k"), F.col("lt"), F.col("eq")
-        low, hit = F.col("pivot").isNotNull() & (k <= lt), F.col("pivot").isNotNull() & (k > lt) & (k <= lt + eq)
-        state = cut(
-            s.select(
-                *names, "n", "salts", "p",
-                F.when(low | hit, k).otherwise(k - lt - eq).alias("k"),
-                F.when(low, F.col("lo")).otherwise(F.coalesce("pivot", "lo")).alias("lo"),
-                F.when(low, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
-                F.when(low, _weighted_median(F.col("below"), lt)).when(~hit, _weighted_median(F.col("above"), F.col("gt"))).alias("next"),
-                F.when(low, lt).otherwise(F.col("gt")).alias("left"),
-                F.when(hit, F.col("pivot")).alias("value"),
-                (F.col("round") + 1).alias("round"),
-            ).select(*names, "n", "salts", "p", "k", "lo", "hi", F.col("next").alias("pivot"), "left", "value", "round")
-        )
-    out = done[0]
+        at = [*names, "_s"]
+        counted = c.with_open(state, ranges).mapInArrow(_count_chunk(at), f"{c.kinds}, _s int, {COUNTS}")
+        lt, gt = F.sum("lt").alias("lt"), F.sum("gt").alias("gt")
+        pair = lambda v, n: F.collect_list(F.when(F.col(n) > 0, F.struct(F.col(v).alias("v"), F.col(n).alias("n"))))
+        medians = [_weighted_median(F.col("below"), F.col("lt")).alias("mid_lt"), _weighted_median(F.col("above"), F.col("gt")).alias("mid_gt")]
+        for by in ([at, names] if c.salts > 1 else [names]):  # many proposals of a group in two stages
+            counted = counted.groupBy(*by, "r").agg(lt, F.sum("eq").alias("eq"), gt, pair("mid_lt", "lt").alias("below"), pair("mid_gt", "gt").alias("above")).select(*by, "r", "lt", "eq", "gt", *medians)
+        s = counted.join(next_to(few, state), [*names, "r"])
+        lt, le = F.col("lt"), F.col("lt") + F.col("eq")
+        ps = lambda f: F.filter("ps", f)
+
+        def side(lo, hi, pivot, left, those, value) -> Column:
+            return F.struct(lo.alias("lo"), hi.alias("hi"), pivot.alias("pivot"), left.alias("left"), those.alias("ps"), value.alias("value"))
+
+        sides = F.array(
+            side(F.col("lo"), F.col("pivot"), F.col("mid_lt"), lt, ps(lambda q: q["k"] <= lt), none),
+            side(none, none, none, F.lit(0).cast("bigint"), ps(lambda q: (q["k"] > lt) & (q["k"] <= le)), F.col("pivot")),
+            side(F.coalesce("pivot", "lo"), F.col("hi"), F.col("mid_gt"), F.col("gt"), F.transform(ps(lambda q: q["k"] > le), lambda q: F.struct(q["i"].alias("i"), (q["k"] - le).alias("k"))), none),
+        )
+        new = s.select(*names, "n", "salts", (F.col("round") + 1).alias("round"), F.explode(sides).alias("x")).where("size(x.ps) > 0")
+        new = cut(new.select(*names, "n", "salts", F.col("x.ps")[0]["i"].alias("r"), *[f"x.{k}" for k in ("lo", "hi", "pivot", "left", "ps", "value")], "round").select(*cols))
+        done.append(new.where("value is not null").select(*names, F.explode("ps").alias("q"), "value", "n", "round").select(*names, "q.i", "value", "n", "round"))
+        state = new.where("value is null")
+        ranges = state.count()
+    c.drop()
+    out = done[0] if done else state.select(*names, F.lit(0).alias("i"), "value", "n", "round")
     for x in done[1:]:
         out = out.unionByName(x)
     back = [F.when(F.col("_null").bitwiseAND(1 << i) == 0, F.col(m)).alias(k) for i, (m, k) in enumerate(zip(names, keys))]
-    return out.select(*back, "p", "value", "n", F.col("round").alias("rounds"))
+    p = F.element_at(F.array(*[F.lit(float(x)) for x in points]), F.col("i") + 1)
+    return out.select(*back, p.alias("p"), "value", "n", F.col("round").alias("rounds"))
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:

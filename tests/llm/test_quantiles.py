@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shotlens.llm import quantiles as Q
 
@@ -33,6 +34,37 @@ def test_against_sorting(spark, rest, chunk, per_part):
     assert got == {(*k, p): (exact(v, p), len(v)) for k, v in groups.items() for p in POINTS}
 
 
+@pytest.fixture
+def small_batches(spark):
+    """A chunk is made of whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "16")
+    yield
+    spark.conf.set(key, was)
+
+
+@pytest.mark.parametrize("limit", [0, 12, 10**6])
+def test_pivots_reach_the_chunks_either_way(spark, small_batches, limit):
+    """Broadcast or bucketed, or first the one and then the other; a constant column in many chunks is a hot group of several parts."""
+    g = np.random.default_rng(8)
+    groups = {(1, 1): [5.0] * 700, (1, 2): g.standard_normal(500).tolist(), (2, 1): g.integers(0, 9, 300).astype(float).tolist(), (None, 3): g.lognormal(size=90).tolist()}
+    got = Q.select_ranks(Q.sorted_chunks(frame(spark, groups), ["load", "site"], "y", 16), ["load", "site"], POINTS, 2, 4, 2, limit)
+    rows = got.collect()
+    assert {(r.load, r.site, r.p): (r.value, r.n) for r in rows} == {(*k, p): (exact(v, p), len(v)) for k, v in groups.items() for p in POINTS} and len(rows) == 28
+    assert min(r.rounds for r in rows) >= 1 and max(r.rounds for r in rows) > 4
+
+
+def test_equal_chunks_of_a_hot_group_are_spread(spark, small_batches):
+    groups = {(1, 1): [5.0] * 640, (1, 2): [1.0, 2.0]}
+    chunks = Q.sorted_chunks(frame(spark, groups, 4), ["load", "site"], "y", 16)
+    c = Q._Chunks(chunks.select(F.col("load").alias("_k0"), F.col("site").alias("_k1"), F.lit(0).cast("bigint").alias("_null"), "vals", "wts"), ["_k0", "_k1", "_null"], 4, 0)
+    c._place()
+    sizes = [r["count"] for r in c.df.where("_k1 = 1").groupBy("_b").count().collect()]
+    assert c.salts >= 10 and len(sizes) >= 6 and max(sizes) <= 14
+    c.drop()
+
+
 def test_missing_values_and_empty(spark):
     df = frame(spark, {(1, 1): [None, float("nan"), 2.0], (1, 2): [None, float("nan")]})
     got = Q.percentiles(df, ["load", "site"], "y", [0.5]).collect()
