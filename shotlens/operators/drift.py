@@ -2,9 +2,11 @@
 
 Each payload is parsed once, inside the JVM, into a variant.  A field is known by its class: its name without case and
 separators, or the class to which the alias table ties that name.  ``ingest`` enforces the target schema and keeps every
-field that it does not know or cannot cast as JSON in ``rescued``; ``promote`` turns approved unknown fields into typed
+field that it does not know or cannot cast as JSON in ``rescued``, and beside the typed columns, in ``delivered``, the name and
+kind under which each of their fields came; ``promote`` turns approved unknown fields into typed
 columns; ``replay`` tries rescued values of known fields again with looser rules (an object's ``value``, the only element
-of an array).  ``field_changes`` compares the fields of each file with those of its feed's file before it.
+of an array).  ``field_changes`` reads the ingested table, its ``delivered`` and ``rescued`` columns, and compares the fields of each
+file with those of its feed's file before it: one reading of the payloads serves the table and the report.
 
 Defined results: a payload that is null, empty, no JSON or no object is no record; repeated records stay in the table; of
 several names or types of one class in a file the most frequent counts, by name in a tie, nulls aside; a field that is
@@ -18,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotlens.session import cut
 from shotlens.sources.tables import require_columns
 
 #: The alias table is fixed and small; beyond this many rows it is refused rather than put into the plan.
@@ -61,26 +64,36 @@ def records(raw: DataFrame) -> DataFrame:
     return v.where(F.schema_of_variant("v").startswith("OBJECT"))
 
 
-def fields(recs: DataFrame) -> DataFrame:
-    """(file, record_no, name, kind) of each top-level field; kind is null for a JSON null."""
-    long = recs.sparkSession.sql("select r.feed_id, r.file_id, r.file_no, r.record_no, e.key as name, schema_of_variant(e.value) as s from {r} r, lateral variant_explode(r.v) e", r=recs)
-    s = F.col("s")
-    kind = F.when(s == "VOID", None).when(s == "STRING", "text").when(s == "BOOLEAN", "boolean").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("number")
-    return long.select(*FILE, "record_no", "name", kind.alias("kind"))
+def _kind(value: Column) -> Column:
+    """The kind of a variant; null for a JSON null."""
+    s = F.schema_of_variant(value)
+    return F.when(s == "VOID", None).when(s == "STRING", "text").when(s == "BOOLEAN", "boolean").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("number")
+
+
+def fields(table: DataFrame) -> DataFrame:
+    """(file, name, kind, n): the top-level fields of an ingested table and in how many records of a file each stands; kind is null for a JSON null."""
+    entries = F.map_entries(F.expr("cast(try_parse_json(rescued) as map<string, variant>)"))
+    rescued = F.transform(entries, lambda e: F.struct(e["key"].alias("name"), _kind(e["value"]).alias("kind")))
+    names = F.when(F.col("rescued").isNull(), F.col("delivered")).otherwise(F.concat("delivered", rescued))
+    # the records of a file mostly have the same fields, so they are counted before they are taken apart
+    alike = table.select(*FILE, names.alias("names")).groupBy(*FILE, "names").agg(F.count("*").alias("n"))
+    return alike.select(*FILE, F.explode("names").alias("f"), "n").select(*FILE, "f.name", "f.kind", "n")
 
 
 def file_fields(cells: DataFrame, classes: dict[str, str]) -> DataFrame:
     """(file, class, name, kind): how each file spells and types each field."""
-    per = cells.groupBy(*FILE, "name", "kind").agg(F.count("*").alias("n")).withColumn("class", field_class(F.col("name"), classes))
+    per = cells.groupBy(*FILE, "name", "kind").agg(F.sum("n").alias("n")).withColumn("class", field_class(F.col("name"), classes))
     names = per.groupBy(*FILE, "class", "name").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("kind").isNotNull(), F.struct((-F.col("n")).alias("k"), "kind"))).alias("kinds"))
     return names.groupBy(*FILE, "class").agg(
         F.min(F.struct((-F.col("n")).alias("k"), "name")).alias("top"), F.array_min(F.flatten(F.collect_list("kinds"))).alias("most")
     ).select(*FILE, "class", F.col("top.name").alias("name"), F.col("most.kind").alias("kind"))
 
 
-def field_changes(raw: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(file_id, field_name, change_kind, old_name) for each file but the first of its feed."""
-    now = file_fields(fields(records(raw)), alias_classes(aliases))
+def field_changes(table: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(file_id, field_name, change_kind, old_name) for each file of an ingested table but the first of its feed."""
+    require_columns(table, *FILE, "delivered", "rescued")
+    # written first: an inventory in one plan with the reading of the payloads would read each of them many times
+    now = file_fields(fields(cut(table.select(*FILE, "delivered", "rescued"))), alias_classes(aliases))
     order = Window.partitionBy("feed_id").orderBy("file_no", "file_id")  # as many rows as files
     files = now.select(*FILE).distinct().withColumn("next", F.lead("file_id").over(order)).withColumn("first", F.row_number().over(order) == 1)
     before = now.join(files.where("next is not null").select("feed_id", "file_id", "file_no", "next"), FILE).select(F.col("next").alias("file_id"), "class", F.col("name").alias("old"), F.col("kind").alias("old_kind"))
@@ -106,11 +119,17 @@ def field_changes(raw: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def _entries(recs: DataFrame, classes: dict[str, str]) -> DataFrame:
     m = F.map_entries(F.expr("cast(v as map<string, variant>)"))
-    return recs.withColumn("_e", F.transform(m, lambda e: F.struct(e["key"].alias("key"), field_class(e["key"], classes).alias("class"), e["value"].alias("value"))))
+    e = recs.withColumn("_e", F.transform(m, lambda e: F.struct(e["key"].alias("key"), field_class(e["key"], classes).alias("class"), _kind(e["value"]).alias("kind"), e["value"].alias("value"))))
+    return e.withColumn("_c", F.col("_e.class"))
 
 
 def _first(cls: str) -> Column:
-    return F.get(F.filter("_e", lambda e: e["class"] == F.lit(cls)), F.lit(0))
+    """The first entry of a class."""
+    return F.get("_e", F.coalesce(F.array_position("_c", F.lit(cls)).cast("int"), F.lit(0)) - 1)
+
+
+def _is_first(e: Column, i: Column) -> Column:
+    return F.array_position("_c", e["class"]) == i + 1
 
 
 def _cast(value: Column, kind: str) -> Column:
@@ -125,16 +144,19 @@ def _as_json(entries: Column) -> Column:
 
 
 def ingest(raw: DataFrame, aliases: DataFrame, target: dict[str, str]) -> DataFrame:
-    """One row per record: file, record_no, each target column with its type, and rescued (JSON under the names as delivered, or null)."""
+    """One row per record: file, record_no, each target column with its type, rescued (JSON under the names as delivered, or null), delivered.
+
+    rescued: fields of no target column, those that can't be cast, and second spellings of a field within one record.
+    delivered: name and kind of the fields that went into target columns, and of those that are null.
+    """
     classes = alias_classes(aliases)
     of = {name: classes.get(k, k) for name in target for k in ["".join(c for c in name.lower() if c.isalnum())]}
     x = _entries(records(raw), classes)
-    typed = {name: _cast(_first(of[name])["value"], kind) for name, kind in target.items()}
-    x = x.withColumns(typed)
-    kept = F.create_map(*[y for name in target for y in (F.lit(of[name]), F.col(name).isNotNull())])
-    # rescued: fields of no target column, those that can't be cast, and second spellings of a field within one record
-    rest = F.filter("_e", lambda e: (F.schema_of_variant(e["value"]) != "VOID") & ~(F.coalesce(kept[e["class"]], F.lit(False)) & (F.get(F.filter("_e", lambda g: g["class"] == e["class"]), F.lit(0))["key"] == e["key"])))
-    return x.select(*FILE, "record_no", *target, _as_json(rest).alias("rescued"))
+    x = x.withColumns({name: _cast(_first(of[name])["value"], kind) for name, kind in target.items()})
+    took = F.create_map(*[y for name in target for y in (F.lit(of[name]), F.col(name).isNotNull())])
+    x = x.withColumn("_t", F.transform("_e", lambda e, i: e["kind"].isNull() | (F.coalesce(took[e["class"]], F.lit(False)) & _is_first(e, i))))
+    taken = F.transform(F.filter("_e", lambda e, i: F.get("_t", i)), lambda e: F.struct(e["key"].alias("name"), e["kind"].alias("kind")))
+    return x.select(*FILE, "record_no", *target, _as_json(F.filter("_e", lambda e, i: ~F.get("_t", i))).alias("rescued"), taken.alias("delivered"))
 
 
 def promote(table: DataFrame, aliases: DataFrame, approved: dict[str, str]) -> DataFrame:
@@ -155,7 +177,8 @@ def replay(table: DataFrame, aliases: DataFrame, target: dict[str, str]) -> Data
 def _move(table: DataFrame, aliases: DataFrame, columns: dict[str, str], cast) -> DataFrame:
     classes = alias_classes(aliases)
     of = {name: classes.get(k, k) for name in columns for k in ["".join(c for c in name.lower() if c.isalnum())]}
-    x = _entries(table.withColumn("v", F.try_parse_json("rescued")), classes).withColumn("_e", F.coalesce("_e", F.expr("cast(array() as array<struct<key: string, class: string, value: variant>>)")))
+    x = _entries(table.withColumn("v", F.try_parse_json("rescued")), classes).withColumn("_e", F.coalesce("_e", F.expr("cast(array() as array<struct<key: string, class: string, kind: string, value: variant>>)")))
+    x = x.withColumn("_c", F.col("_e.class"))
     new = {}
     for name, kind in columns.items():
         fresh = cast(_first(of[name])["value"], kind)
@@ -163,7 +186,7 @@ def _move(table: DataFrame, aliases: DataFrame, columns: dict[str, str], cast) -
         new[f"_took_{name}"] = fresh.isNotNull() & (F.col(name).isNull() if name in table.columns else F.lit(True))
     x = x.withColumns({k: v for k, v in new.items() if k.startswith("_took_")} | {f"_new_{k}": v for k, v in new.items() if not k.startswith("_took_")})
     took = F.create_map(*[y for name in columns for y in (F.lit(of[name]), F.col(f"_took_{name}"))])
-    rest = F.filter("_e", lambda e: ~(F.coalesce(took[e["class"]], F.lit(False)) & (F.get(F.filter("_e", lambda g: g["class"] == e["class"]), F.lit(0))["key"] == e["key"])))
+    rest = F.filter("_e", lambda e, i: ~(F.coalesce(took[e["class"]], F.lit(False)) & _is_first(e, i)))
     keep = [c for c in table.columns if c not in columns and c != "rescued"]
     return x.select(*keep, *[F.col(f"_new_{c}").alias(c) for c in columns], _as_json(rest).alias("rescued"))
 

@@ -51,7 +51,8 @@ def p4_shifts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.field_changes(table(spark, d, "raw_exports"), table(spark, d, "field_aliases"))
+    aliases = table(spark, d, "field_aliases")
+    return drift.field_changes(drift.ingest(table(spark, d, "raw_exports"), aliases, TARGET), aliases)
 
 
 def _ingested(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,7 @@ def _ingested(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    return _ingested(spark, d)
+    return _ingested(spark, d).drop("delivered")
 
 
 def p5_rescued(spark: SparkSession, d: str) -> DataFrame:
@@ -171,4 +172,33 @@ select run_id, shot_id, frame_id::int as frame_id, site_id, field_name from c wh
 union all select run_id, shot_id, frame_id::int, site_id, field_name from x join r using (run_id, site_id, frame_id, field_name) where v > hi + (hi - lo) or v < lo - (hi - lo)
 """
 
-SQL = {"p3_found": _P3_FOUND, "p4_found": _P4_FOUND, "p4_profile": _profile_sql(), "p4_shifts": _P4_SHIFTS, "p5_found": _P5_FOUND}
+_PLAIN = lambda x: f"lower(regexp_replace({x}, '[^a-zA-Z0-9]', '', 'g'))"
+#: Each record with its fields in the order of their names: name, class, value as JSON.
+_ENTRIES = f"""al as (select map_from_entries(list((a, b))) as m from (select distinct {_PLAIN("alias_name")} as a, {_PLAIN("current_name")} as b from field_aliases) where a <> b),
+rec as (select feed_id, file_id, file_no, record_no, payload::json as j from raw_exports where json_valid(payload) and json_type(case when json_valid(payload) then payload else 'null' end) = 'OBJECT'),
+ent as (select * exclude (j), list_transform(list_sort(json_keys(j)), lambda k: {{'k': k, 'c': coalesce(m[{_PLAIN("k")}], {_PLAIN("k")}), 'v': json_extract(j, '$."' || k || '"')}}) as e from rec, al)"""
+_DUCK = {"string": "varchar", "int": "int", "double": "double", "boolean": "boolean"}
+
+
+def _first_sql(name: str) -> str:
+    return f"list_filter(e, lambda x: x.c = coalesce(m['{name.replace('_', '')}'], '{name.replace('_', '')}'))[1]"
+
+
+def _strict_sql(v: str, kind: str) -> str:
+    return f"(case when json_type({v}) in ('OBJECT', 'ARRAY', 'NULL') then null else try_cast({v} ->> '$' as {_DUCK[kind]}) end)"
+
+
+def _loose_sql(v: str, kind: str) -> str:
+    inner = f"(case json_type({v}) when 'OBJECT' then json_extract({v}, '$.value') when 'ARRAY' then case when json_array_length({v}) = 1 then json_extract({v}, '$[0]') end else {v} end)"
+    return _strict_sql(inner, kind)
+
+
+_P5_FIRST = f"""with {_ENTRIES}, f as (select feed_id, file_id, file_no, record_no, e, {", ".join(f'{_first_sql(n)} as "_{n}"' for n in (TARGET | APPROVED))} from ent)"""
+_P5_TABLE = f"""{_P5_FIRST}, t as (select feed_id, file_id, file_no, record_no, e, {", ".join(f'{_loose_sql(f"_{n}.v", k)} as "{n}"' for n, k in (TARGET | APPROVED).items())}, [{", ".join(f"_{n}.k" for n in (TARGET | APPROVED))}] as firsts from f),
+r as (select *, list_filter(e, lambda x: json_type(x.v) <> 'NULL' and not list_contains(list_filter(list_zip(firsts, [{", ".join(f'"{n}" is not null' for n in (TARGET | APPROVED))}]), lambda z: z[2]).list_transform(lambda z: z[1]), x.k)) as rest from t)
+select * exclude (e, firsts, rest), case when len(rest) > 0 then '{{' || list_aggregate(list_transform(rest, lambda x: to_json(x.k) || ':' || x.v::varchar), 'string_agg', ',') || '}}' end as rescued from r"""
+_P5_RESCUED = f"""{_P5_FIRST}, t as (select feed_id, file_id, e, list_filter([{", ".join(f'case when {_strict_sql(f"_{n}.v", k)} is not null then _{n}.k end' for n, k in TARGET.items())}], lambda k: k is not null) as took from f),
+x as (select feed_id, file_id, unnest(list_filter(e, lambda x: json_type(x.v) <> 'NULL' and not list_contains(took, x.k))) as r from t)
+select feed_id, r.k as name, count(*) as n_records, count(distinct file_id) as n_files from x group by all"""
+
+SQL = {"p5_table": _P5_TABLE, "p5_rescued": _P5_RESCUED, "p3_found": _P3_FOUND, "p4_found": _P4_FOUND, "p4_profile": _profile_sql(), "p4_shifts": _P4_SHIFTS, "p5_found": _P5_FOUND}

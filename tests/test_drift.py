@@ -21,7 +21,8 @@ def aliases(spark, rows=ALIASES):
 
 
 def changes(spark, files, al=ALIASES):
-    return {tuple(r) for r in drift.field_changes(raw(spark, files), aliases(spark, al)).collect()}
+    table = drift.ingest(raw(spark, files), aliases(spark, al), TARGET)
+    return {tuple(r) for r in drift.field_changes(table, aliases(spark, al)).collect()}
 
 
 def test_changes(spark):
@@ -64,3 +65,7 @@ def test_ingest_promote_replay(spark):
     report = {r.name: r.n_records for r in drift.rescue_report(strict).collect()}
     assert report["temp"] == 2 and report["odd"] == 1
     assert drift.ingest(raw(spark, []), al, TARGET).count() == 0
+    kept = {r.record_no: {(f.name, f.kind) for f in r.delivered} for r in strict.collect()}
+    assert kept[0] == {("RUN_ID", "text"), ("roi_total", "text")} and kept[2] == {("run_id", None)}
+    inventory = {(r.name, r.kind): r.n for r in drift.fields(strict).collect()}  # of the ingested table: typed, null and rescued fields
+    assert inventory["run_id", None] == 1 and inventory["shot_id", "array"] == 1 and inventory["roi_total", "text"] == 1 and sum(inventory.values()) == 13
