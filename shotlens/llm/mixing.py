@@ -135,6 +135,7 @@ class Mixture:
         spark = docs.sparkSession
         counted = token_counts(docs.where(F.col(source).isNotNull()), [key, source], text, ranks)
         counted = cut(counted.select(F.col(key).alias("key"), F.col(source).alias("source"), "n_tokens").withColumn("unit", F.monotonically_increasing_id()))
+        self.counted = counted
         nonneg = lambda c: F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
         want = targets.where("source is not null").groupBy("source").agg(F.max(F.struct(nonneg("target_share").alias("share"), nonneg("max_repeats").alias("cap"))).alias("x")).select("source", "x.share", "x.cap")
         have = counted.where("n_tokens > 0").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))

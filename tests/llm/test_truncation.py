@@ -103,10 +103,18 @@ def test_defined_cases(spark, corpus):
     assert truncated_texts(table(spark, [(1, 1, "a", None)])).count() == 0
 
 
-def test_all_queries_run(spark, folder):
+@pytest.mark.parametrize("name", ["p1_found", "p1_shares", "p1_split_checks", "p2_combined_errors", "p6_round_trip", "p7_checks"])
+def test_against_sql(spark, folder, name):
     from shotlens.llm.queries import QUERIES, SQL
+    from tests.helpers import assert_same
 
-    for name in sorted(set(QUERIES) - {"p6_ids"}):
+    assert_same(spark, folder, name, QUERIES[name], SQL[name])
+
+
+def test_other_queries_run(spark, folder):
+    from shotlens.llm.queries import QUERIES, SQL
+
+    for name in sorted(set(QUERIES) - set(SQL) - {"p6_ids"}):
         df = QUERIES[name](spark, folder)
         assert len(set(df.columns)) == len(df.columns) and (df.count() > 0 or name.startswith("p8")), name
     assert set(SQL) <= set(QUERIES)
