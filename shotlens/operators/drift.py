@@ -50,7 +50,10 @@ def alias_classes(aliases: DataFrame) -> dict[str, str]:
 
 
 def field_class(name: Column, classes: dict[str, str]) -> Column:
-    p = plain(name)
+    return _class_of(plain(name), classes)
+
+
+def _class_of(p: Column, classes: dict[str, str]) -> Column:
     if not classes:
         return p
     known = F.create_map(*[F.lit(x) for pair in sorted(classes.items()) for x in pair])
@@ -64,10 +67,14 @@ def records(raw: DataFrame) -> DataFrame:
     return v.where(F.schema_of_variant("v").startswith("OBJECT"))
 
 
+#: The kinds of the types that variants have; all other types are numbers.
+KINDS = {"VOID": "null", "STRING": "text", "BOOLEAN": "boolean", "OBJECT": "object", "ARRAY": "array"}
+
+
 def _kind(value: Column) -> Column:
-    """The kind of a variant; null for a JSON null."""
-    s = F.schema_of_variant(value)
-    return F.when(s == "VOID", None).when(s == "STRING", "text").when(s == "BOOLEAN", "boolean").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("number")
+    """The kind of a variant, "null" for a JSON null; the type is asked for once."""
+    known = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return F.coalesce(known[F.substring_index(F.schema_of_variant(value), "<", 1)], F.lit("number"))
 
 
 def fields(table: DataFrame) -> DataFrame:
@@ -77,7 +84,7 @@ def fields(table: DataFrame) -> DataFrame:
     names = F.when(F.col("rescued").isNull(), F.col("delivered")).otherwise(F.concat("delivered", rescued))
     # the records of a file mostly have the same fields, so they are counted before they are taken apart
     alike = table.select(*FILE, names.alias("names")).groupBy(*FILE, "names").agg(F.count("*").alias("n"))
-    return alike.select(*FILE, F.explode("names").alias("f"), "n").select(*FILE, "f.name", "f.kind", "n")
+    return alike.select(*FILE, F.explode("names").alias("f"), "n").select(*FILE, "f.name", F.nullif("f.kind", F.lit("null")).alias("kind"), "n")
 
 
 def file_fields(cells: DataFrame, classes: dict[str, str]) -> DataFrame:
@@ -118,28 +125,35 @@ def field_changes(table: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def _entries(recs: DataFrame, classes: dict[str, str]) -> DataFrame:
+    """recs with _e, the fields of v as (key, kind, value), and _c, their classes."""
     m = F.map_entries(F.expr("cast(v as map<string, variant>)"))
-    e = recs.withColumn("_e", F.transform(m, lambda e: F.struct(e["key"].alias("key"), field_class(e["key"], classes).alias("class"), _kind(e["value"]).alias("kind"), e["value"].alias("value"))))
-    return e.withColumn("_c", F.col("_e.class"))
+    e = recs.withColumn("_e", F.transform(m, lambda e: F.struct(e["key"].alias("key"), _kind(e["value"]).alias("kind"), e["value"].alias("value"))))
+    return e.withColumn("_c", F.transform(F.transform("_e", lambda e: plain(e["key"])), lambda p: _class_of(p, classes)))
+
+
+def _places(x: DataFrame, classes: dict[str, str]) -> DataFrame:
+    """x with _at_NAME for each column: where the first entry of its class stands, from 1; 0 where there is none."""
+    return x.withColumns({f"_at_{n}": F.coalesce(F.array_position("_c", F.lit(c)).cast("int"), F.lit(0)) for n, c in classes.items()})
 
 
-def _first(cls: str) -> Column:
-    """The first entry of a class."""
-    return F.get("_e", F.coalesce(F.array_position("_c", F.lit(cls)).cast("int"), F.lit(0)) - 1)
+def _first(name: str) -> Column:
+    return F.get("_e", F.col(f"_at_{name}") - 1)
 
 
-def _is_first(e: Column, i: Column) -> Column:
-    return F.array_position("_c", e["class"]) == i + 1
+def _taken(took: dict[str, Column]) -> Column:
+    """The places of the entries that went into columns: found once for each record, so that telling an entry is one look-up."""
+    return F.array(*[F.when(t, F.col(f"_at_{name}")).otherwise(0) for name, t in took.items()])
 
 
-def _cast(value: Column, kind: str) -> Column:
+def _cast(entry: Column, kind: str) -> Column:
     """The value as kind, or null; objects and arrays are no text."""
-    got = F.try_variant_get(value, "$", kind)
-    return F.when(~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), got) if kind == "string" else got
+    got = F.try_variant_get(entry["value"], "$", kind)
+    return F.when(~entry["kind"].isin("object", "array"), got) if kind == "string" else got
 
 
 def _as_json(entries: Column) -> Column:
-    pairs = F.transform(entries, lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), F.to_json(e["value"])))
+    key = lambda e: F.regexp_extract(F.to_json(F.array(e["key"])), r"(?s)^.(.*).$", 1)
+    pairs = F.transform(entries, lambda e: F.concat(key(e), F.lit(":"), F.to_json(e["value"])))
     return F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
 
 
@@ -151,12 +165,12 @@ def ingest(raw: DataFrame, aliases: DataFrame, target: dict[str, str]) -> DataFr
     """
     classes = alias_classes(aliases)
     of = {name: classes.get(k, k) for name in target for k in ["".join(c for c in name.lower() if c.isalnum())]}
-    x = _entries(records(raw), classes)
-    x = x.withColumns({name: _cast(_first(of[name])["value"], kind) for name, kind in target.items()})
-    took = F.create_map(*[y for name in target for y in (F.lit(of[name]), F.col(name).isNotNull())])
-    x = x.withColumn("_t", F.transform("_e", lambda e, i: e["kind"].isNull() | (F.coalesce(took[e["class"]], F.lit(False)) & _is_first(e, i))))
-    taken = F.transform(F.filter("_e", lambda e, i: F.get("_t", i)), lambda e: F.struct(e["key"].alias("name"), e["kind"].alias("kind")))
-    return x.select(*FILE, "record_no", *target, _as_json(F.filter("_e", lambda e, i: ~F.get("_t", i))).alias("rescued"), taken.alias("delivered"))
+    x = _places(_entries(records(raw), classes), of)
+    x = x.withColumns({name: _cast(_first(name), kind) for name, kind in target.items()})
+    x = x.withColumn("_k", _taken({name: F.col(name).isNotNull() for name in target}))
+    stays = lambda e, i: (e["kind"] != "null") & ~F.array_contains("_k", i + 1)
+    taken = F.transform(F.filter("_e", lambda e, i: ~stays(e, i)), lambda e: F.struct(e["key"].alias("name"), e["kind"].alias("kind")))
+    return x.select(*FILE, "record_no", *target, _as_json(F.filter("_e", stays)).alias("rescued"), taken.alias("delivered"))
 
 
 def promote(table: DataFrame, aliases: DataFrame, approved: dict[str, str]) -> DataFrame:
@@ -167,9 +181,10 @@ def promote(table: DataFrame, aliases: DataFrame, approved: dict[str, str]) -> D
 def replay(table: DataFrame, aliases: DataFrame, target: dict[str, str]) -> DataFrame:
     """Rescued values of target columns once more: an object counts as its value, an array of one element as that element."""
 
-    def loose(value: Column, kind: str) -> Column:
+    def loose(entry: Column, kind: str) -> Column:
+        value = entry["value"]
         one = F.when(F.size(F.try_variant_get(value, "$", "array<variant>")) == 1, F.try_variant_get(value, "$[0]", kind))
-        return F.coalesce(_cast(value, kind), F.try_variant_get(value, "$.value", kind), one)
+        return F.coalesce(_cast(entry, kind), F.try_variant_get(value, "$.value", kind), one)
 
     return _move(table, aliases, target, loose)
 
@@ -177,16 +192,17 @@ def replay(table: DataFrame, aliases: DataFrame, target: dict[str, str]) -> Data
 def _move(table: DataFrame, aliases: DataFrame, columns: dict[str, str], cast) -> DataFrame:
     classes = alias_classes(aliases)
     of = {name: classes.get(k, k) for name in columns for k in ["".join(c for c in name.lower() if c.isalnum())]}
-    x = _entries(table.withColumn("v", F.try_parse_json("rescued")), classes).withColumn("_e", F.coalesce("_e", F.expr("cast(array() as array<struct<key: string, class: string, kind: string, value: variant>>)")))
-    x = x.withColumn("_c", F.col("_e.class"))
+    x = _entries(table.withColumn("v", F.try_parse_json("rescued")), classes).withColumn("_e", F.coalesce("_e", F.expr("cast(array() as array<struct<key: string, kind: string, value: variant>>)")))
+    x = x.withColumn("_c", F.coalesce("_c", F.expr("cast(array() as array<string>)")))
+    x = _places(x, of)
     new = {}
     for name, kind in columns.items():
-        fresh = cast(_first(of[name])["value"], kind)
+        fresh = cast(_first(name), kind)
         new[name] = F.coalesce(F.col(name), fresh) if name in table.columns else fresh
         new[f"_took_{name}"] = fresh.isNotNull() & (F.col(name).isNull() if name in table.columns else F.lit(True))
     x = x.withColumns({k: v for k, v in new.items() if k.startswith("_took_")} | {f"_new_{k}": v for k, v in new.items() if not k.startswith("_took_")})
-    took = F.create_map(*[y for name in columns for y in (F.lit(of[name]), F.col(f"_took_{name}"))])
-    rest = F.filter("_e", lambda e, i: ~(F.coalesce(took[e["class"]], F.lit(False)) & _is_first(e, i)))
+    x = x.withColumn("_k", _taken({name: F.col(f"_took_{name}") for name in columns}))
+    rest = F.filter("_e", lambda e, i: ~F.array_contains("_k", i + 1))
     keep = [c for c in table.columns if c not in columns and c != "rescued"]
     return x.select(*keep, *[F.col(f"_new_{c}").alias(c) for c in columns], _as_json(rest).alias("rescued"))
 

@@ -66,6 +66,6 @@ def test_ingest_promote_replay(spark):
     assert report["temp"] == 2 and report["odd"] == 1
     assert drift.ingest(raw(spark, []), al, TARGET).count() == 0
     kept = {r.record_no: {(f.name, f.kind) for f in r.delivered} for r in strict.collect()}
-    assert kept[0] == {("RUN_ID", "text"), ("roi_total", "text")} and kept[2] == {("run_id", None)}
+    assert kept[0] == {("RUN_ID", "text"), ("roi_total", "text")} and kept[2] == {("run_id", "null")}
     inventory = {(r.name, r.kind): r.n for r in drift.fields(strict).collect()}  # of the ingested table: typed, null and rescued fields
     assert inventory["run_id", None] == 1 and inventory["shot_id", "array"] == 1 and inventory["roi_total", "text"] == 1 and sum(inventory.values()) == 13
