@@ -17,6 +17,12 @@ def halves(shots: DataFrame) -> DataFrame:
     return x.select("run_id", "shot_id", F.when(F.col("at") <= F.floor(F.col("n") / 2), "early").otherwise("late").alias("half"))
 
 
+def shot_blocks(shots: DataFrame, size: int = 20) -> DataFrame:
+    """(run_id, shot_id, shot_block): stretches of ``size`` shots of a run in order."""
+    w = Window.partitionBy("run_id").orderBy("shot_order", "shot_id")
+    return shots.select("run_id", "shot_id", F.floor((F.row_number().over(w) - 1) / size).cast("int").alias("shot_block"))
+
+
 def endpoint_variants(rows: DataFrame, by: list[str], sweep: str) -> DataFrame:
     """Rows once for each variant they belong to: all, without the least point of the sweep, without the greatest, without both."""
     ends = rows.where(F.col(sweep).isNotNull() & ~F.isnan(sweep)).groupBy(*by).agg(F.min(sweep).alias("_lo"), F.max(sweep).alias("_hi"))

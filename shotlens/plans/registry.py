@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shotlens.plans import core, more, problems
+from shotlens.plans import core, fits, more, problems
 
-PARTS = [core, more, problems]
+PARTS = [core, more, fits, problems]
 
 
 def queries() -> dict:
