@@ -23,6 +23,13 @@ def shot_blocks(shots: DataFrame, size: int = 20) -> DataFrame:
     return shots.select("run_id", "shot_id", F.floor((F.row_number().over(w) - 1) / size).cast("int").alias("shot_block"))
 
 
+def site_quarters(sites: DataFrame) -> DataFrame:
+    """(run_id, site_id, quarter): the sites of a run in four parts by their number, 0 to 3."""
+    w = Window.partitionBy("run_id")
+    x = sites.select("run_id", "site_id").dropna().distinct().withColumns({"at": F.row_number().over(w.orderBy("site_id")) - 1, "n": F.count("*").over(w)})
+    return x.select("run_id", "site_id", F.floor(F.col("at") * 4 / F.col("n")).cast("int").alias("quarter"))
+
+
 def endpoint_variants(rows: DataFrame, by: list[str], sweep: str) -> DataFrame:
     """Rows once for each variant they belong to: all, without the least point of the sweep, without the greatest, without both."""
     ends = rows.where(F.col(sweep).isNotNull() & ~F.isnan(sweep)).groupBy(*by).agg(F.min(sweep).alias("_lo"), F.max(sweep).alias("_hi"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shotlens.plans import core, fits, more, problems
+from shotlens.plans import core, fits, levels, more, problems
 
-PARTS = [core, more, fits, problems]
+PARTS = [core, more, fits, levels, problems]
 
 
 def queries() -> dict:
