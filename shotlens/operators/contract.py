@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotlens.operators.profile import FLAGS
+from shotlens.session import cut
 
 #: Older names of six columns and their present names.
 RENAMED = {
@@ -81,27 +82,88 @@ def number_is_missing(c: str) -> Column:
 
 
 def violations(df: DataFrame) -> DataFrame:
-    """(check, n): how many rows, keys, shots or sites break each rule of the contract."""
+    """(check, n): how many rows, keys, shots or sites break each rule of the contract. The table is read once, into one row per key."""
     flags = F.split("quality_flag", r"\|")
     count = F.col("count_corrected_global")
-    row = df.agg(
-        *[F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in ("run_id", "shot_id", "frame_id", "site_id", "quality_flag", "split")],
-        F.count_if((count.isNull() | F.isnan(count)) & ~F.contains("quality_flag", F.lit("nonfinite_count"))).alias("missing count without flag"),
-        F.count_if((F.col("quality_flag") != "ok") & ~F.forall(flags, lambda x: x.isin(FLAGS))).alias("unknown flag"),
-        F.count_if(F.col("raw_image_path").rlike(r"[/\\]")).alias("path in file name"),
-        F.count_if(~F.col("split").isin("train", "validation", "test", "unassigned")).alias("unknown split"),
-    )
-    one = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(f"`{c}`").alias("n")) for c in row.columns])).alias("x")).select("x.*")
-    key = df.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("shot_order").alias("o"))
-    doubled = key.agg(F.count_if(F.col("n") > 1).alias("n")).select(F.lit("key delivered more than once").alias("check"), "n")
-    blocks = key.groupBy("run_id", "shot_id").agg(F.countDistinct("frame_id").alias("f"), F.countDistinct("site_id").alias("s"), F.count("*").alias("k"))
-    torn = blocks.agg(F.count_if(F.col("f") * F.col("s") != F.col("k")).alias("n")).select(F.lit("incomplete block of a shot").alias("check"), "n")
-    shot = df.groupBy("run_id", "shot_id").agg(F.countDistinct("split").alias("a"), F.countDistinct("condition_id").alias("b"), F.countDistinct("shot_order").alias("c"))
-    mixed = shot.agg(F.count_if(F.col("a") > 1).alias("a"), F.count_if(F.col("b") > 1).alias("b"), F.count_if(F.col("c") > 1).alias("c"))
-    mixed = mixed.select(F.explode(F.array(*[F.struct(F.lit(t).alias("check"), F.col(c).alias("n")) for t, c in (("several splits in a shot", "a"), ("several conditions in a shot", "b"), ("several orders of a shot", "c"))])).alias("x")).select("x.*")
-    site = df.groupBy("run_id", "site_id").agg(F.min("site_x").alias("x0"), F.max("site_x").alias("x1"), F.min("site_y").alias("y0"), F.max("site_y").alias("y1"))
-    moved = site.agg(F.count_if((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1"))).alias("n")).select(F.lit("site that moves").alias("check"), "n")
-    return one.unionByName(doubled).unionByName(torn).unionByName(mixed).unionByName(moved)
+    by_row = {f"null {c}": F.col(c).isNull() for c in ("run_id", "shot_id", "frame_id", "site_id", "quality_flag", "split")} | {
+        "missing count without flag": (count.isNull() | F.isnan(count)) & ~F.contains("quality_flag", F.lit("nonfinite_count")),
+        "unknown flag": (F.col("quality_flag") != "ok") & ~F.forall(flags, lambda x: x.isin(FLAGS)),
+        "path in file name": F.col("raw_image_path").rlike(r"[/\\]"),
+        "unknown split": ~F.col("split").isin("train", "validation", "test", "unassigned"),
+    }
+    spread = {"split": "several splits in a shot", "condition_id": "several conditions in a shot", "shot_order": "several orders of a shot"}
+    ends = [f(c).alias(f"{c}_{k}") for c in (*spread, "site_x", "site_y") for k, f in (("lo", F.min), ("hi", F.max))]
+    names = list(by_row)
+    key = cut(df.groupBy(*KEY).agg(F.count("*").alias("n"), *[F.count_if(v).alias(f"_{i}") for i, v in enumerate(by_row.values())], *ends))
+    widest = lambda c: F.max(f"{c}_hi") > F.min(f"{c}_lo")
+
+    def counts(df: DataFrame, of: dict[str, Column]) -> DataFrame:
+        row = df.agg(*[v.alias(f"_{i}") for i, v in enumerate(of.values())])
+        return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(f"_{i}").cast("bigint").alias("n")) for i, c in enumerate(of)])).alias("x")).select("x.*")
+
+    rows = counts(key, {c: F.coalesce(F.sum(f"_{i}"), F.lit(0)) for i, c in enumerate(names)} | {"key delivered more than once": F.count_if(F.col("n") > 1)})
+    shot = key.groupBy("run_id", "shot_id").agg((F.countDistinct("frame_id") * F.countDistinct("site_id") != F.count("*")).alias("torn"), *[widest(c).alias(c) for c in spread])
+    shots = counts(shot, {"incomplete block of a shot": F.count_if("torn")} | {t: F.count_if(c) for c, t in spread.items()})
+    site = key.groupBy("run_id", "site_id").agg((widest("site_x") | widest("site_y")).alias("moves"))
+    return rows.unionByName(shots).unionByName(counts(site, {"site that moves": F.count_if("moves")}))
+
+
+def timing_violations(df: DataFrame, runs: DataFrame, gap_s: float = 0.01, exposure_tolerance_ms: float = 1e-3, gap_tolerance_s: float = 1e-6) -> DataFrame:
+    """(run_id, check, n) of the rules of time: exposures as commanded, frames in strict order with the declared gap, as many frames as the run has."""
+    x = df.join(runs.select("run_id", F.col("exposure_ms").alias("commanded"), "n_frames"), "run_id")
+    e = F.col("exposure_ms")
+    off = e.isNotNull() & (F.isnan(e) | (F.abs(e - F.col("commanded")) > exposure_tolerance_ms))
+    frame = x.groupBy("run_id", "shot_id", "frame_id").agg(F.count_if(off).alias("off"), F.count_if(e.isNull()).alias("none"), F.min("frame_elapsed_s").alias("start"), F.max("frame_elapsed_s").alias("start_hi"), F.max("commanded").alias("commanded"), F.max("n_frames").alias("n_frames"))
+    w = Window.partitionBy("run_id", "shot_id").orderBy("frame_id")  # as many rows as a shot has frames
+    gap = F.col("start") - (F.lag("start").over(w) + F.col("commanded") / 1000)
+    frame = frame.withColumns({"back": F.col("start") <= F.lag("start").over(w), "gap": F.abs(gap - gap_s) > gap_tolerance_s, "next": F.col("frame_id") != F.row_number().over(w) - 1})
+    shot = frame.groupBy("run_id", "shot_id").agg(F.sum("off").alias("off"), F.sum("none").alias("none"), F.count_if("back").alias("back"), F.count_if("gap").alias("gap"), F.count_if(F.col("start") != F.col("start_hi")).alias("several"), (F.count_if("next") > 0).alias("skips"), (F.count("*") != F.max("n_frames")).alias("short"))
+    of = {"exposure not as commanded": F.sum("off"), "exposure missing": F.sum("none"), "frame not after the one before": F.sum("back"), "gap not as declared": F.sum("gap"), "several starts of a frame": F.sum("several"), "frames not numbered from 0": F.count_if("skips"), "shot without all frames": F.count_if("short")}
+    row = shot.groupBy("run_id").agg(*[v.alias(f"_{i}") for i, v in enumerate(of.values())])
+    return row.select("run_id", F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(f"_{i}").cast("bigint").alias("n")) for i, c in enumerate(of)])).alias("x")).select("run_id", "x.*")
+
+
+#: The background and count columns of each way to correct a reading.
+METHODS = {
+    "raw": (None, "roi_sum_raw"),
+    "global": ("background_global", "count_corrected_global"),
+    "template": ("background_template_offset", "count_corrected_template"),
+    "spatial": ("background_spatial", "count_corrected_spatial"),
+    "fixed_offset": ("background_fixed_offset", "count_corrected_fixed_offset"),
+    "annulus_contaminated": ("background_annulus_contaminated", "count_corrected_annulus_contaminated"),
+}
+
+
+def count_column(df: DataFrame, wanted: str) -> str:
+    """The column that a method, a column's name or its older name stands for; an error names what there is."""
+    for c in (wanted, METHODS.get(wanted, (None, wanted))[1], RENAMED.get(wanted, wanted), *[a for a, b in RENAMED.items() if b == METHODS.get(wanted, (None, wanted))[1]]):
+        if c in df.columns:
+            return c
+    raise ValueError(f"no column for {wanted!r}; the counts there are: {', '.join(c for _, c in METHODS.values() if c in df.columns) or 'none'}")
+
+
+def binary(df: DataFrame, c: str) -> DataFrame:
+    """df, unless c has anything but 0 and 1."""
+    n = df.where(F.col(c).isNull() | ~F.col(c).cast("double").isin(0.0, 1.0)).limit(1).count()
+    if n:
+        raise ValueError(f"{c!r} must be 0 or 1 in every row")
+    return df
+
+
+def valid_counts(df: DataFrame, successes: str = "successes", trials: str = "trials") -> DataFrame:
+    """df, unless a row has no trials or more successes than trials."""
+    s, n = F.col(successes), F.col(trials)
+    if df.where(s.isNull() | n.isNull() | (s < 0) | (n <= 0) | (s > n)).limit(1).count():
+        raise ValueError(f"{successes!r} must lie between 0 and {trials!r}, which must be positive")
+    return df
+
+
+def valid_times(df: DataFrame, c: str) -> DataFrame:
+    """df, unless a time is missing, not finite or negative."""
+    t = F.col(c).cast("double")
+    if df.where(t.isNull() | F.isnan(t) | (t < 0) | (t == float("inf"))).limit(1).count():
+        raise ValueError(f"{c!r} must be a finite time of zero or more")
+    return df
 
 
 def raise_if_broken(found: DataFrame, allowed: set[str] = frozenset()) -> None:

@@ -45,11 +45,18 @@ def islands(df: DataFrame, keys: list[str], order: list[str], state: str) -> Dat
     return x.groupBy(*keys, "_island").agg(F.min(state).alias(state), F.min("_at").alias("first_at"), F.max("_at").alias("last_at"), F.count("*").alias("n")).drop("_island")
 
 
-def overlapping(a: DataFrame, b: DataFrame, keys: list[str], slack: float = 0.0) -> DataFrame:
-    """Segments of a and b (start_s, end_s) of one key that share more than slack; hashed by key, then compared within the key."""
-    x, y = a.alias("a"), b.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    return x.join(y, [*same, F.col("a.end_s") > F.col("b.start_s") + slack, F.col("a.start_s") < F.col("b.end_s") - slack])
+def overlapping(a: DataFrame, b: DataFrame, keys: list[str], width: float, slack: float = 0.0) -> DataFrame:
+    """Segments of a and b (start_s, end_s; as a. and b.) of one key that share more than slack (zero or more).
+
+    Time is cut into stretches of ``width``, about the length of most segments: a segment meets those of the stretches that it
+    touches, not all of its key, and each pair is kept in the stretch in which the later one starts.
+    """
+    at = lambda c: F.floor(F.col(c) / width)
+    x = a.withColumn("_at", F.explode(F.sequence(at("start_s"), F.greatest(at("start_s"), at("end_s"))))).alias("a")
+    y = b.withColumn("_at", F.explode(F.sequence(at("start_s"), F.greatest(at("start_s"), at("end_s"))))).alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_at"]]
+    first = F.col("a._at") == F.greatest(at("a.start_s"), at("b.start_s"))
+    return x.join(y, [*same, first, F.col("a.end_s") > F.col("b.start_s") + slack, F.col("a.start_s") < F.col("b.end_s") - slack])
 
 
 def state_at(times: DataFrame, states: DataFrame, keys: list[str], at: str, since: str, value: str) -> DataFrame:

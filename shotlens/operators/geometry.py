@@ -33,13 +33,28 @@ def nearest_neighbours(sites: DataFrame, radius: float = 150.0) -> DataFrame:
     return p.groupBy("run_id", F.col("a_id").alias("site_id")).agg(F.min(F.struct(rounded("distance", 6).alias("d"), "b_id")).alias("x"), F.count("*").alias("n_near")).select("run_id", "site_id", F.col("x.b_id").alias("nearest_id"), F.col("x.d").alias("distance"), "n_near")
 
 
-def match_runs(sites: DataFrame, runs: DataFrame, radius: float = 20.0) -> DataFrame:
-    """Sites of each run against the run of the same dataset before it: pairs that are each other's nearest within the radius, and their shift."""
+def _against_before(sites: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs that have one of the same dataset before them, their sites, and the sites of the run before under the later run's id."""
     from pyspark.sql import Window
 
     order = runs.select("dataset_id", "run_id").distinct().withColumn("before", F.lag("run_id").over(Window.partitionBy("dataset_id").orderBy("run_id"))).where("before is not null")
     a = sites.join(order.select("run_id"), "run_id", "left_semi")
     b = sites.join(order.select(F.col("before").alias("run_id"), F.col("run_id").alias("later")), "run_id").select(F.col("later").alias("run_id"), "site_id", "site_x", "site_y")
+    return order.select("run_id"), a, b
+
+
+def unmatched(sites: DataFrame, runs: DataFrame, radius: float = 60.0) -> DataFrame:
+    """(run_id, n_new, n_gone): sites without one of the run before within the radius, and sites of the run before without one of this run."""
+    order, a, b = _against_before(sites, runs)
+    p = near_pairs(a, b, "run_id", radius)
+    new = a.join(p.select("run_id", F.col("a_id").alias("site_id")), ["run_id", "site_id"], "left_anti").groupBy("run_id").agg(F.count("*").alias("n_new"))
+    gone = b.join(p.select("run_id", F.col("b_id").alias("site_id")), ["run_id", "site_id"], "left_anti").groupBy("run_id").agg(F.count("*").alias("n_gone"))
+    return order.join(new, "run_id", "left").join(gone, "run_id", "left").fillna(0, ["n_new", "n_gone"])
+
+
+def match_runs(sites: DataFrame, runs: DataFrame, radius: float = 60.0) -> DataFrame:
+    """Sites of each run against the run of the same dataset before it: pairs that are each other's nearest within the radius, and their shift."""
+    _, a, b = _against_before(sites, runs)
     p = near_pairs(a, b, "run_id", radius).withColumn("distance", rounded("distance", 6))
     to = p.groupBy("run_id", "a_id").agg(F.min(F.struct("distance", "b_id")).alias("x")).select("run_id", "a_id", F.col("x.b_id").alias("b_id"), F.col("x.distance").alias("distance"))
     fro = p.groupBy("run_id", "b_id").agg(F.min(F.struct("distance", "a_id")).alias("x")).select("run_id", "b_id", F.col("x.a_id").alias("a_id"))

@@ -303,7 +303,7 @@ def event_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
     w = Window.partitionBy("user_id").orderBy("start_s", "event_id")
     s = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("start_s"), "event_type").withColumn("end_s", F.coalesce(F.lead("start_s").over(w), F.col("start_s") + 60_000_000))
-    return events.overlapping(s, s, ["user_id"]).where("a.event_type = b.event_type").groupBy(F.col("a.event_type").alias("event_type")).agg(F.count("*").alias("n_overlaps"))
+    return events.overlapping(s, s, ["user_id"], 86_400_000_000).where("a.event_type = b.event_type").groupBy(F.col("a.event_type").alias("event_type")).agg(F.count("*").alias("n_overlaps"))
 
 
 @query("""select o.o_orderkey, l.station from (select o_orderkey, ts from (select o_orderkey, cast('2031-02-03' as timestamp) + (o_orderdate - cast('1992-01-01' as timestamp)) / 1000 as ts from orders)) o asof left join loads l on o.ts >= l.loaded_at""")
@@ -330,7 +330,7 @@ def nearest_sites(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with o as (select dataset_id, run_id, lag(run_id) over (partition by dataset_id order by run_id) as before from (select distinct dataset_id, run_id from runs)),
-p as (select o.run_id, a.site_id as a_id, b.site_id as b_id, round(sqrt((a.site_x - b.site_x) ** 2 + (a.site_y - b.site_y) ** 2), 6) as d from o join sites a on a.run_id = o.run_id join sites b on b.run_id = o.before where o.before is not null and sqrt((a.site_x - b.site_x) ** 2 + (a.site_y - b.site_y) ** 2) <= 20),
+p as (select o.run_id, a.site_id as a_id, b.site_id as b_id, round(sqrt((a.site_x - b.site_x) ** 2 + (a.site_y - b.site_y) ** 2), 6) as d from o join sites a on a.run_id = o.run_id join sites b on b.run_id = o.before where o.before is not null and sqrt((a.site_x - b.site_x) ** 2 + (a.site_y - b.site_y) ** 2) <= 60),
 m as (select * from (select * from p qualify row_number() over (partition by run_id, a_id order by d, b_id) = 1) join (select run_id, b_id, a_id from p qualify row_number() over (partition by run_id, b_id order by d, a_id) = 1) using (run_id, a_id, b_id))
 select run_id, count(*) as n_matched, round(quantile_cont(d, 0.5), 6) as median_distance, max(d) as most_distance from m group by all""")
 def matched_sites(spark: SparkSession, d: str) -> DataFrame:
@@ -487,10 +487,10 @@ def chain_occupancy(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select run_id, shot_id, count(*) as n_rows, max(frame_id)::int as last_frame, min(load_id) as first_load, max(load_id) as last_load from frame_sites group by all""")
 def streamed_shots(spark: SparkSession, d: str) -> DataFrame:
-    return streams.run_available(streams.shot_progress(streams.stream_of(spark, f"{d}/frame_sites.parquet")))
+    return streams.run_partials(streams.stream_of(spark, f"{d}/frame_sites.parquet"), streams.shot_progress, streams.merged_progress)
 
 
 @query("""select time_bucket(interval '1 hour', ts)::timestamp as window_start, event_type, count(*) as n_events, sum(floor(value * 100 + 0.5)::bigint)::bigint as cents from events group by all""")
 def streamed_event_windows(spark: SparkSession, d: str) -> DataFrame:
-    x = streams.run_available(streams.event_windows(streams.stream_of(spark, f"{d}/events.parquet")))
+    x = streams.run_updates(streams.event_windows(streams.stream_of(spark, f"{d}/events.parquet")), ["window_start", "event_type"])
     return x.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from shotlens.operators.contract import coerce, columns_for, raise_if_broken, violations
 from shotlens.operators.provenance import digests
+from shotlens.session import cut
 
 
-def write_checked(df: DataFrame, folder: str, version: str, allowed: frozenset[str] = frozenset(), by: str = "run_id") -> None:
+def write_checked(df: DataFrame, folder: str, version: str, allowed: frozenset[str] = frozenset(), by: str = "run_id", shots_per_file: int = 4096) -> None:
     """Parquet by run, with a manifest of rows and digests per run beside it; raises before anything is written if a check fails that isn't allowed."""
-    table = coerce(df, version)
+    table = cut(coerce(df, version))
     raise_if_broken(violations(table), set(allowed))
-    table.repartition(by).sortWithinPartitions(by, "shot_id", "frame_id", "site_id").write.mode("error").partitionBy(by).parquet(f"{folder}/frame_sites")
+    # a run of many shots is several tasks and files
+    table.repartition(by, F.floor(F.col("shot_id") / shots_per_file)).sortWithinPartitions(by, "shot_id", "frame_id", "site_id").write.mode("error").partitionBy(by).parquet(f"{folder}/frame_sites")
     names = [c for c in columns_for(version).names if c in table.columns]
     digests(table, [by], names).write.mode("error").json(f"{folder}/manifest")
 

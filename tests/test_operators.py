@@ -82,7 +82,7 @@ def test_events(spark):
     times = spark.createDataFrame([("k", 0.5), ("k", 1.0), ("k", 2.9), ("k", 9.0), ("i", 1.0)], "k string, at double")
     assert {(r.k, r["at"], r.s) for r in events.state_at(times, states, ["k"], "at", "since", "s").collect()} == {("k", 0.5, None), ("k", 1.0, "a"), ("k", 2.9, "a"), ("k", 9.0, "b"), ("i", 1.0, None)}
     seg = spark.createDataFrame([("k", 0.0, 1.0), ("k", 1.0, 2.0), ("j", 0.0, 5.0)], "k string, start_s double, end_s double")
-    assert events.overlapping(seg, seg, ["k"]).count() == 3
+    assert events.overlapping(seg, seg, ["k"], 2.0).count() == 3 == events.overlapping(seg, seg, ["k"], 0.3).count()
 
 
 def test_manifests(spark):
@@ -136,3 +136,75 @@ def test_export_gate(spark, tmp_path):
     assert table.count() == 4 and changed.count() == 0
     spark.createDataFrame([("r", 5, 1)], "run_id string, n_rows bigint, digest bigint").coalesce(1).write.mode("overwrite").json(str(tmp_path / "y" / "manifest"))
     assert [r.run_id for r in read_checked(spark, str(tmp_path / "y"), "3.0")[1].collect()] == ["r"]
+
+
+def test_one_delivery_is_one_copy(spark):
+    from shotlens.operators.shots import one_delivery
+
+    df = spark.createDataFrame([("r", 1, 0, 0, 2, 5.0, "b"), ("r", 1, 0, 0, 1, float("nan"), "a"), ("r", 1, 0, 0, None, 9.0, "c"), ("r", 2, 0, 0, None, 1.0, None)], "run_id string, shot_id int, frame_id int, site_id int, load_id int, v double, t string")
+    got = {r.shot_id: r for r in one_delivery(df, ["v", "t"]).collect()}
+    assert got[1].t == "a" and got[1].v != got[1].v and (got[2].v, got[2].t) == (1.0, None)  # no row made up of two
+
+
+def test_late_events_are_dropped_and_partials_merge(spark, tmp_path):
+    import datetime
+
+    from shotlens.streaming import loads
+
+    day = lambda d, h=0: datetime.datetime(2031, 1, d, h, 30)
+    folder = str(tmp_path / "events")
+    # a row is late by the watermark of the batch before
+    for i, rows in enumerate([[(day(10), "a", 1.0), (day(10, 1), "a", 2.0)], [(day(14), "b", 4.0)], [(day(14, 2), "b", 5.0)], [(day(1), "late", 9.0), (day(10), "a", 7.0), (day(14), "b", 1.0)]]):
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(folder)
+        import os
+
+        for f in os.listdir(folder):
+            if f.endswith(".parquet") and not f.startswith("n"):
+                os.rename(f"{folder}/{f}", f"{folder}/n{i}.parquet")
+                os.utime(f"{folder}/n{i}.parquet", (1_000_000 + i, 1_000_000 + i))
+    s = loads.event_windows(loads.stream_of(spark, folder, 1))
+    got = {(r.window_start.day, r.window_start.hour, r.event_type): (r.n_events, r.cents) for r in loads.run_updates(s, ["window_start", "event_type"]).collect()}
+    assert got == {(10, 0, "a"): (1, 100), (10, 1, "a"): (1, 200), (14, 0, "b"): (2, 500), (14, 2, "b"): (1, 500)}  # neither the late row nor the one after the window's end
+
+    rows = str(tmp_path / "rows")
+    for load in (1, 2):
+        spark.createDataFrame([("r", 1, f, load) for f in range(load + 1)], "run_id string, shot_id int, frame_id int, load_id int").coalesce(1).write.mode("append").parquet(rows)
+    r = loads.run_partials(loads.stream_of(spark, rows, 1), loads.shot_progress, loads.merged_progress).collect()
+    assert [tuple(x) for x in r] == [("r", 1, 5, 2, 1, 2)]
+
+
+def test_overlaps_against_all_pairs(spark):
+    import random
+
+    g = random.Random(3)
+    seg = [("k", i, s, s + g.choice([0.0, 0.5, 3.0, 40.0])) for i in range(120) for s in [g.uniform(-50, 50)]]
+    df = spark.createDataFrame(seg, "k string, i int, start_s double, end_s double")
+    want = {(a[1], b[1]) for a in seg for b in seg if a[3] > b[2] + 0.1 and a[2] < b[3] - 0.1}
+    for width in (1.0, 30.0):
+        got = [(r.a, r.b) for r in events.overlapping(df, df, ["k"], width, 0.1).select(F.col("a.i").alias("a"), F.col("b.i").alias("b")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_count_columns_and_guards(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 1, 2, 0.5)], "roi_sum double, count_corrected_template double, successes int, trials int, t double")
+    assert contract.count_column(df, "template") == "count_corrected_template" and contract.count_column(df, "raw") == "roi_sum" and contract.count_column(df, "roi_sum_raw") == "roi_sum"
+    with pytest.raises(ValueError, match="the counts there are: count_corrected_template"):
+        contract.count_column(df, "spatial")
+    assert contract.valid_counts(df).count() == contract.valid_times(df, "t").count() == contract.binary(df, "successes").count() == 1
+    with pytest.raises(ValueError, match="0 or 1"):
+        contract.binary(df, "trials")
+    with pytest.raises(ValueError, match="between 0 and"):
+        contract.valid_counts(df, "trials", "successes")
+    with pytest.raises(ValueError, match="finite time"):
+        contract.valid_times(df.withColumn("t", F.lit(float("nan"))), "t")
+
+
+def test_plans_side_by_side(spark):
+    from shotlens.operators import manifests
+
+    a = spark.createDataFrame([("r", 1, "train"), ("r", 2, "test")], "run_id string, shot_id int, split string")
+    b = spark.createDataFrame([("r", 1, "validation")], "run_id string, shot_id int, sensitivity_split string")
+    assert {tuple(r) for r in manifests.beside(a, b).collect()} == {("r", 1, "train", "validation"), ("r", 2, "test", None)}
+    assert {(r.shot_id, r.split) for r in manifests.replaced(a, b).collect()} == {(1, "validation"), (2, "unassigned")}
+    with pytest.raises(ValueError, match="more than once"):
+        manifests.beside(a.unionByName(a), b)
