@@ -38,3 +38,17 @@ def split_coverage(shots: DataFrame, manifest: DataFrame) -> DataFrame:
     """Shots by run, condition and split: a condition that a split lacks shows a zero."""
     x = shots.select("run_id", "shot_id", "condition_id", "cycle_index").join(manifest, ["run_id", "cycle_index"])
     return x.groupBy("run_id", "condition_id").pivot("split", ["train", "validation", "test"]).agg(F.count(F.lit(1))).fillna(0)
+
+
+def beside(primary: DataFrame, other: DataFrame) -> DataFrame:
+    """primary with the columns of other, shot by shot; an error if either has a shot twice."""
+    for name, df in (("primary", primary), ("other", other)):
+        twice = df.groupBy("run_id", "shot_id").count().where("count > 1").limit(3).collect()
+        if twice:
+            raise ValueError(f"shots more than once in the {name} table: {[tuple(r)[:2] for r in twice]}")
+    return primary.join(other, ["run_id", "shot_id"], "left")
+
+
+def replaced(rows: DataFrame, other: DataFrame, column: str = "sensitivity_split") -> DataFrame:
+    """rows with the split of another plan; a shot that it lacks is unassigned."""
+    return rows.drop("split").join(other.select("run_id", "shot_id", F.col(column).alias("split")), ["run_id", "shot_id"], "left").fillna("unassigned", ["split"])

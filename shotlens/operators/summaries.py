@@ -158,3 +158,37 @@ def site_correlations(clean: DataFrame, value: str, frame: int = 0) -> DataFrame
     x = x.withColumns({"right_id": F.lead("site_id").over(w), "right_col": F.lead("site_col").over(w), "u": F.lead("v").over(w)}).where("right_col = site_col + 1 and v is not null and u is not null")
     g = x.groupBy("run_id", "site_id", "right_id").agg(F.count("*").alias("n"), F.regr_sxx("v", "u").alias("sxx"), F.regr_sxy("v", "u").alias("sxy"), F.regr_syy("v", "u").alias("syy"))
     return g.select("run_id", "site_id", "right_id", "n", r6(guarded_corr(F.col("n"), F.col("sxy"), F.col("sxx"), F.col("syy"))).alias("r"))
+
+
+def grid_correlations(rows: DataFrame, by: list[str], value: str, shots_per_task: int = 4096) -> DataFrame:
+    """(by..., n_pairs, median, p95) of Pearson's r between all sites of a group over its shots, without a row for any pair of readings.
+
+    Each block of shots becomes a matrix of shots by sites, and gives the sums of its products; the sums, as large as the number
+    of sites of a group squared, are added up. Pairs of sites with fewer than three shots in common or a constant side have no r.
+    """
+    import numpy as np
+    import pandas as pd
+
+    x = rows.select(*by, "shot_id", "site_id", F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    x = x.withColumn("block", F.floor(F.col("shot_id") / shots_per_task))
+    kinds = ", ".join(f"{b} {rows.schema[b].dataType.simpleString()}" for b in by)
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        sites, j = np.unique(pdf["site_id"].to_numpy(), return_inverse=True)
+        shots, i = np.unique(pdf["shot_id"].to_numpy(), return_inverse=True)
+        v, ok = np.zeros((len(shots), len(sites))), np.zeros((len(shots), len(sites)))
+        v[i, j], ok[i, j] = pdf["v"].to_numpy(), 1.0
+        a, b = np.triu_indices(len(sites), 1)
+        m = {"n": ok.T @ ok, "sx": v.T @ ok, "sxx": (v * v).T @ ok, "sxy": v.T @ v}
+        out = {k: [pdf[k].iloc[0]] * len(a) for k in by} | {"a": sites[a], "b": sites[b]}
+        out |= {"n": m["n"][a, b], "sx": m["sx"][a, b], "sy": m["sx"][b, a], "sxx": m["sxx"][a, b], "syy": m["sxx"][b, a], "sxy": m["sxy"][a, b]}
+        return pd.DataFrame(out)
+
+    parts = x.groupBy(*by, "block").applyInPandas(products, f"{kinds}, a int, b int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    p = parts.groupBy(*by, "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).where("n >= 3")
+    n = F.col("n")
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    some = lambda v, s: v > 1e-12 * F.greatest(s, F.lit(1e-300))
+    r = p.where(some(vx, F.col("sxx")) & some(vy, F.col("syy"))).select(*by, ((F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy)).alias("r"))
+    q = r.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.percentile("r", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
+    return q.select(*by, "n_pairs", rounded(F.col("q")[0], 4).alias("median"), rounded(F.col("q")[1], 4).alias("p95"))

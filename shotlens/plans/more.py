@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotlens.functions.numbers import milliseconds, rounded
-from shotlens.operators import contract, events, resample, sensitivity
+from shotlens.operators import contract, events, geometry, resample, sensitivity
+from shotlens.operators import summaries as S
 from shotlens.operators.shots import finite, occupancy_calls, one_delivery, site_thresholds
 from shotlens.plans.core import _CALLS, _CLEAN, _FIN, _MIX, _PAIRS, _THR, _TIMING, VALUE, _calls, _clean, _rows, half_up
 from shotlens.session import cut
@@ -133,3 +134,64 @@ def design_summary(spark: SparkSession, d: str) -> DataFrame:
     r = o.groupBy("run_id").agg(F.count("*").alias("n_cycles"), F.countDistinct("seq").alias("n_orders"), F.count_if(F.col("n") != F.col("k")).alias("n_repeating"), F.max("k").alias("n_conditions"))
     t = site_thresholds(one_delivery(_rows(spark, d)), VALUE).groupBy("run_id").agg(F.count("*").alias("n_series"))
     return r.join(t, "run_id", "left").fillna(0, ["n_series"])
+
+
+_TIME_CHECKS = {
+    "exposure not as commanded": "sum(n_off)", "exposure missing": "sum(n_none)", "frame not after the one before": "sum(back)", "gap not as declared": "sum(gap)",
+    "several starts of a frame": "sum(several)", "frames not numbered from 0": "count(*) filter (skips > 0)", "shot without all frames": "count(*) filter (n <> n_frames)",
+}
+
+
+@query(f"""with x as (select f.run_id, shot_id, frame_id, frame_elapsed_s, f.exposure_ms as e, r.exposure_ms as commanded, n_frames from frame_sites f join runs r using (run_id)),
+fr as (select run_id, shot_id, frame_id, count(*) filter (e is not null and (isnan(e) or abs(e - commanded) > 1e-3)) as n_off, count(*) filter (e is null) as n_none, min(frame_elapsed_s) as s0, max(frame_elapsed_s) as s1, max(commanded) as commanded, max(n_frames) as n_frames from x group by all),
+g as (select *, lag(s0) over w as prior_s, row_number() over w - 1 as place from fr window w as (partition by run_id, shot_id order by frame_id)),
+sh as (select run_id, shot_id, sum(n_off) as n_off, sum(n_none) as n_none, count(*) filter (s0 <= prior_s) as back, count(*) filter (abs(s0 - (prior_s + lc / 1000) - 0.01) > 1e-6) as gap, count(*) filter (s0 <> s1) as several, count(*) filter (frame_id <> place) as skips, count(*) as n, max(n_frames) as n_frames
+  from (select *, commanded as lc from g) group by all)
+{" union all ".join(f"""select run_id, '{c}' as "check", ({v})::bigint as n from sh group by run_id""" for c, v in _TIME_CHECKS.items())}""")
+def timing_violations(spark: SparkSession, d: str) -> DataFrame:
+    return contract.timing_violations(_rows(spark, d), table(spark, d, "runs"))
+
+
+@query(f"""with {_CLEAN}, g as (select c.run_id, grid_id, shot_id, c.site_id, {_FIN(VALUE)} / 1000 as v from clean c join (select run_id, site_id, grid_id from sites) using (run_id, site_id) where frame_id = 0),
+p as (select a.run_id, a.grid_id, a.site_id, b.site_id as other, count(*) as n, corr(a.v, b.v) as r, var_pop(a.v) as va, var_pop(b.v) as vb from g a join g b on a.run_id = b.run_id and a.grid_id is not distinct from b.grid_id and a.shot_id = b.shot_id and a.site_id < b.site_id where a.v is not null and b.v is not null group by all having count(*) >= 3)
+select run_id, grid_id, count(*) as n_pairs, round(quantile_cont(r, 0.5), 4) as median, round(quantile_cont(r, 0.95), 4) as p95 from p where va > 0 and vb > 0 group by all""")
+def grid_correlations(spark: SparkSession, d: str) -> DataFrame:
+    """How the counts of all sites of a grid go together over the shots of a run: median and 95th percentile over the pairs."""
+    x = _clean(spark, d).where("frame_id = 0").join(table(spark, d, "sites").select("run_id", "site_id", "grid_id"), ["run_id", "site_id"])
+    return S.grid_correlations(x.withColumn("y", finite(VALUE) / 1000), ["run_id", "grid_id"], "y")
+
+
+@query("""with o as (select run_id, lag(run_id) over (partition by dataset_id order by run_id) as before from (select distinct dataset_id, run_id from runs)),
+near as (select o.run_id, a.site_id as a_id, b.site_id as b_id from o join sites a on a.run_id = o.run_id join sites b on b.run_id = o.before where sqrt((a.site_x - b.site_x) ** 2 + (a.site_y - b.site_y) ** 2) <= 60)
+select o.run_id, (select count(*) from sites s where s.run_id = o.run_id and not exists (select 1 from near n where n.run_id = o.run_id and n.a_id = s.site_id)) as n_new,
+  (select count(*) from sites s where s.run_id = o.before and not exists (select 1 from near n where n.run_id = o.run_id and n.b_id = s.site_id)) as n_gone from o where before is not null""")
+def unmatched_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Sites of a run without any of the run before near by, and the other way round."""
+    return geometry.unmatched(table(spark, d, "sites"), table(spark, d, "runs"))
+
+
+@query(f"""with {_CALLS}, f as (select c.run_id, c.shot_id, c.site_id, -avg(posterior * ln(greatest(posterior, 1e-15)) + (1 - posterior) * ln(greatest(1 - posterior, 1e-15))) as e from calls c group by all),
+m as (select run_id, quantile_cont(round(e, 6), 0.5) as m from f group by all)
+select run_id, shot_id, site_id, round(e, 6) as entropy from f join m using (run_id) qualify row_number() over (partition by run_id order by round(abs(round(e, 6) - m), 6), shot_id, site_id) = 1""")
+def typical_trajectory(spark: SparkSession, d: str) -> DataFrame:
+    """The trajectory of each run whose mean entropy is nearest to the median of all."""
+    p = F.col("posterior")
+    low = lambda c: F.ln(F.greatest(c, F.lit(1e-15)))
+    e = _calls(spark, d).groupBy("run_id", "shot_id", "site_id").agg(rounded(-F.avg(p * low(p) + (1 - p) * low(1 - p)), 6).alias("entropy"))
+    e = cut(e)
+    m = e.groupBy("run_id").agg(F.percentile("entropy", 0.5).alias("m"))
+    best = e.join(m, "run_id").groupBy("run_id").agg(F.min(F.struct(rounded(F.abs(F.col("entropy") - F.col("m")), 6).alias("off"), "shot_id", "site_id", "entropy")).alias("x"))
+    return best.select("run_id", "x.shot_id", "x.site_id", "x.entropy")
+
+
+@query("""with p as (select run_id, shot_id, split from shots), m as (select run_id, cycle_index, case when k < floor(n * 0.6) then 'train' when k < floor(n * 0.6) + floor(n * 0.2) then 'validation' else 'test' end as other
+  from (select run_id, cycle_index, row_number() over (partition by run_id order by cycle_index) - 1 as k, count(*) over (partition by run_id) as n from (select distinct run_id, cycle_index from shots where cycle_index is not null))),
+x as (select s.run_id, s.shot_id, s.split, m.other from shots s left join m using (run_id, cycle_index))
+select run_id, split, coalesce(other, 'none') as sensitivity_split, count(*) as n_shots from x group by all""")
+def sensitivity_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Each shot's planned split beside that of an alternate plan by cycles: one row per shot on either side."""
+    from shotlens.operators import manifests
+
+    shots = table(spark, d, "shots")
+    x = manifests.beside(shots.select("run_id", "shot_id", "split"), shots.join(manifests.cycle_manifest(shots).withColumnRenamed("split", "sensitivity_split"), ["run_id", "cycle_index"]).select("run_id", "shot_id", "sensitivity_split"))
+    return x.groupBy("run_id", "split", F.coalesce("sensitivity_split", F.lit("none")).alias("sensitivity_split")).agg(F.count("*").alias("n_shots"))
