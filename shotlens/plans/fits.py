@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotlens.functions.numbers import rounded
-from shotlens.operators import events, retention, survival
+from shotlens.operators import chains, events, holds, retention, survival
 from shotlens.operators import summaries as S
 from shotlens.operators.sensitivity import shot_blocks
-from shotlens.plans.core import _CALLS, _PAIRS, BRIGHT_RATE, DARK_RATE, _calls, half_up
+from shotlens.plans.core import _CALLS, _PAIRS, BRIGHT_RATE, DARK_RATE, VALUE, _calls, _clean, half_up
 from shotlens.session import cut
 from shotlens.sources.tables import table
 
@@ -211,3 +211,12 @@ def matched_contrasts(spark: SparkSession, d: str) -> DataFrame:
     """Survival of the exposures of a data set at equal light, against the one with the fewest pulses."""
     runs = table(spark, d, "runs").where("exposure_ms > 0 and n_frames >= 1").select("dataset_id", (F.col("exposure_ms") / 1000.0).alias("exposure_s"), "n_frames")
     return retention.matched_contrasts(runs, ["dataset_id"], BRIGHT_RATE, DARK_RATE, GAP_S)
+
+
+@query()
+def hold_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Hidden chains of the runs with dark holds: the switch-off rate with its profile interval, a level per interval, levels of the counts per frame."""
+    runs = table(spark, d, "runs").where("sweep_axis = 'dark_hold_s'").select("run_id")
+    shots = table(spark, d, "shots").select("run_id", "shot_id", F.col("sweep_value_s").alias("t"))
+    traj = chains.trajectories(_clean(spark, d).where("quality_flag = 'ok'").join(runs, "run_id", "left_semi"), VALUE)
+    return holds.fit_holds(traj.join(shots, ["run_id", "shot_id"]).select("run_id", "y", "t"))
