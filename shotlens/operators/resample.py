@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,11 +63,38 @@ def draws(units: DataFrame, strata: list[str], unit: str, replicates: int) -> Da
     return times.join(placed.select(*strata, "place", unit), [*strata, "place"]).select("replicate", *strata, unit, "times")
 
 
-def bootstrap_mean(stats: DataFrame, strata: list[str], unit: str, by: list[str], value: str, replicates: int = 100, confidence: float = 0.95) -> DataFrame:
-    """Mean over units of a unit-level value, per by, with its percentile interval over replicates; by is part of strata or a column of stats."""
-    d = draws(stats, strata, unit, replicates)
-    x = stats.join(d, [*strata, unit])
-    per = x.groupBy("replicate", *by).agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("m"))
+def replicate_means(stats: DataFrame, strata: list[str], unit: str, by: list[str], value: str, replicates: int, blocks: int = 4) -> DataFrame:
+    """(replicate, by..., m): the mean over the units that draws() would draw; by is a part of strata.
+
+    Each stratum is a row with its units' values in order, one number for each unit; a replicate adds up the values that its slots
+    pick. Units times replicates are never rows, and nothing but one sum for each stratum and replicate moves.
+    """
+    per = stats.dropna(subset=strata).groupBy(*strata, unit).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("v"), F.count("*").cast("double").alias("c"))
+    rows = per.groupBy(*strata).agg(F.array_sort(F.collect_list(F.struct(unit, "v", "c"))).alias("u"))
+    # the replicates of a stratum are dealt out in blocks, so that its values are copied a few times only
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(*by, F.concat_ws("|", *strata).alias("_name"), F.col("u.v").alias("_v"), F.col("u.c").alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).repartition(parts, "_name", "_block")
+
+    def add(batches):
+        for b in batches:
+            for r in b.to_dict("records"):
+                v, c, own = np.asarray(r["_v"]), np.asarray(r["_c"]), np.arange(1 + r["_block"], replicates + 1, blocks)
+                s, n = np.zeros(len(own)), np.zeros(len(own))
+                step = max(1, 4_000_000 // len(own))
+                for at in range(0, len(v), step):
+                    slots = np.arange(at, min(at + step, len(v)))
+                    pick = spread_numbers(own[:, None], slots, salt_of(r["_name"])) % len(v)
+                    s, n = s + v[pick].sum(1), n + c[pick].sum(1)
+                yield pd.DataFrame({**{k: [r[k]] * len(own) for k in by}, "replicate": own, "s": s, "n": n})
+
+    kinds = ", ".join(f"{k} {stats.schema[k].dataType.simpleString()}" for k in by)
+    x = rows.mapInPandas(add, f"{kinds}, replicate int, s double, n double")
+    return x.groupBy("replicate", *by).agg((F.sum("s") / F.sum("n")).alias("m"))
+
+
+def bootstrap_mean(stats: DataFrame, strata: list[str], unit: str, by: list[str], value: str, replicates: int = 1000, confidence: float = 0.95) -> DataFrame:
+    """Mean over units of a unit-level value, per by (a part of strata), with its percentile interval over replicates."""
+    per = replicate_means(stats, strata, unit, by, value, replicates)
     a = (1 - confidence) / 2
     ends = per.groupBy(*by).agg(F.percentile("m", F.array(F.lit(a), F.lit(1 - a))).alias("q"), F.count("*").alias("n_replicates"))
     point = stats.groupBy(*by).agg(F.avg(value).alias("estimate"), F.count("*").alias("n_units"))

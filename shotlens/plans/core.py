@@ -360,7 +360,7 @@ _MIX = "(xor({x}, {x} >> 15) * 1103515245 + 12345) % 2147483648"
 
 @query(f"""with {_PAIRS}, st as (select run_id, shot_id, condition_id, avg(next_call) as m from pairs where occupied = 1 group by all),
 pl as (select *, row_number() over (partition by run_id, condition_id order by shot_id) - 1 as place, count(*) over (partition by run_id, condition_id) as size from st),
-x0 as (select run_id, condition_id, size, b, (b * 1000003 + place * 7919 + ('0x' || substr(md5(run_id || '|' || condition_id), 1, 7))::bigint) % 2147483648 as x from pl, (select unnest(generate_series(1::bigint, 100::bigint)) as b)),
+x0 as (select run_id, condition_id, size, b, (b * 1000003 + place * 7919 + ('0x' || substr(md5(run_id || '|' || condition_id), 1, 7))::bigint) % 2147483648 as x from pl, (select unnest(generate_series(1::bigint, 1000::bigint)) as b)),
 x1 as (select * replace ({_MIX.format(x="x")} as x) from x0), x2 as (select * replace ({_MIX.format(x="x")} as x) from x1), x3 as (select * replace ({_MIX.format(x="x")} as x) from x2),
 dr as (select run_id, condition_id, b, (x >> 8) % size as pick from x3),
 rep as (select d.run_id, d.b, avg(p.m) as m from dr d join pl p on d.run_id = p.run_id and d.condition_id = p.condition_id and d.pick = p.place group by all)
@@ -368,7 +368,7 @@ select run_id, n_units, n_replicates, round(estimate, 6) as estimate, lower, upp
 join (select run_id, count(*) as n_replicates, round(quantile_cont(m, 0.025), 6) as lower, round(quantile_cont(m, 0.975), 6) as upper from rep group by all) using (run_id)""")
 def bootstrap_retention(spark: SparkSession, d: str) -> DataFrame:
     shots = cut(events.retention_events(_calls(spark, d)).groupBy("run_id", "shot_id", "condition_id").agg(F.avg("retained").alias("m")))
-    return resample.bootstrap_mean(shots, ["run_id", "condition_id"], "shot_id", ["run_id"], "m", 100)
+    return resample.bootstrap_mean(shots, ["run_id", "condition_id"], "shot_id", ["run_id"], "m", 1000)
 
 
 @query(f"""with {_CALLS}, sh as (select run_id, shot_id, avg(-ln(greatest(case when occupied = 1 then p else 1 - p end, 1e-9))) as flat, avg(-ln(greatest(case when occupied = 1 then pf else 1 - pf end, 1e-9))) as framed

@@ -96,7 +96,7 @@ def matched_prefixes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {_PAIRS}, st as (select run_id, cycle_index, avg(next_call) as m from pairs where occupied = 1 and cycle_index is not null group by all),
 pl as (select *, row_number() over (partition by run_id order by cycle_index) - 1 as place, count(*) over (partition by run_id) as size from st),
-x0 as (select run_id, size, b, (b * 1000003 + place * 7919 + ('0x' || substr(md5(run_id), 1, 7))::bigint) % 2147483648 as x from pl, (select unnest(generate_series(1::bigint, 100::bigint)) as b)),
+x0 as (select run_id, size, b, (b * 1000003 + place * 7919 + ('0x' || substr(md5(run_id), 1, 7))::bigint) % 2147483648 as x from pl, (select unnest(generate_series(1::bigint, 1000::bigint)) as b)),
 x1 as (select * replace ({_MIX.format(x="x")} as x) from x0), x2 as (select * replace ({_MIX.format(x="x")} as x) from x1), x3 as (select * replace ({_MIX.format(x="x")} as x) from x2),
 rep as (select d.run_id, d.b, avg(p.m) as m from (select run_id, b, (x >> 8) % size as pick from x3) d join pl p on d.run_id = p.run_id and d.pick = p.place group by all)
 select run_id, n_units, n_replicates, round(estimate, 6) as estimate, lower, upper from (select run_id, count(*) as n_units, avg(m) as estimate from st group by all)
@@ -104,7 +104,7 @@ join (select run_id, count(*) as n_replicates, round(quantile_cont(m, 0.025), 6)
 def bootstrap_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Whole cycles are drawn instead of shots."""
     c = cut(events.retention_events(_calls(spark, d)).where("cycle_index is not null").groupBy("run_id", "cycle_index").agg(F.avg("retained").alias("m")))
-    return resample.bootstrap_mean(c, ["run_id"], "cycle_index", ["run_id"], "m", 100)
+    return resample.bootstrap_mean(c, ["run_id"], "cycle_index", ["run_id"], "m", 1000)
 
 
 @query("""select run_id, count(distinct shot_id) as n_shots, count(distinct case when not isnan(f.exposure_ms) then floor(f.exposure_ms + 0.5) end) as n_exposures, min(timestamp) as first_timestamp, max(timestamp) as last_timestamp, (rint_ms::int)::varchar || 'ms' as exposure_name, count(distinct load_id) as n_loads

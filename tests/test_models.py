@@ -117,6 +117,9 @@ def test_draws(spark):
     mean = d.where("c = 'a'").agg((F.sum(F.col("times") * F.col("shot_id")) / F.sum("times")).alias("m")).first().m
     assert mean == pytest.approx(14.5, abs=0.8)
     stats = units.withColumn("v", F.col("shot_id").cast("double"))
+    by_rows = stats.join(d, ["c", "shot_id"]).groupBy("replicate", "c").agg((F.sum(F.col("times") * F.col("v")) / F.sum("times")).alias("m"))
+    by_array = {(r.replicate, r.c): r.m for r in resample.replicate_means(stats.repartition(3), ["c"], "shot_id", ["c"], "v", 50).collect()}
+    assert by_array == pytest.approx({(r.replicate, r.c): r.m for r in by_rows.collect()})
     b = {r.c: r for r in resample.bootstrap_mean(stats, ["c"], "shot_id", ["c"], "v", 200).collect()}
     assert b["a"].lower < 14.5 < b["a"].upper and b["a"].upper - b["a"].lower == pytest.approx(4 * 8.66 / 30**0.5, rel=0.25)
 
