@@ -69,11 +69,11 @@ def replicate_means(stats: DataFrame, strata: list[str], unit: str, by: list[str
     Each stratum is a row with its units' values in order, one number for each unit; a replicate adds up the values that its slots
     pick. Units times replicates are never rows, and nothing but one sum for each stratum and replicate moves.
     """
-    per = stats.dropna(subset=strata).groupBy(*strata, unit).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("v"), F.count("*").cast("double").alias("c"))
-    rows = per.groupBy(*strata).agg(F.array_sort(F.collect_list(F.struct(unit, "v", "c"))).alias("u"))
+    per = stats.dropna(subset=strata).groupBy(*strata, unit).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_v"), F.count("*").cast("double").alias("_c"))
+    rows = per.groupBy(*strata).agg(F.array_sort(F.collect_list(F.struct(unit, "_v", "_c"))).alias("_u"))
     # the replicates of a stratum are dealt out in blocks, so that its values are copied a few times only
     parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select(*by, F.concat_ws("|", *strata).alias("_name"), F.col("u.v").alias("_v"), F.col("u.c").alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).repartition(parts, "_name", "_block")
+    rows = rows.select(*by, F.concat_ws("|", *strata).alias("_name"), F.col("_u._v").alias("_v"), F.col("_u._c").alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).repartition(parts, "_name", "_block")
 
     def add(batches):
         for b in batches:
