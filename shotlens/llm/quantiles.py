@@ -283,16 +283,16 @@ def select_ranks(chunks: DataFrame, keys: list[str], points: list[float], rest:
     # a row for each open range: its ends (null where it is open to that side), its pivot, its number of rows, and the ranks in it, counted within it
     state = c.groups.select(*names, "n", "salts", F.lit(0).alias("r"), none.alias("lo"), none.alias("hi"), none.alias("pivot"), F.col("n").alias("left"), wanted.alias("ps"), none.alias("value"), F.lit(-1).alias("round"))
     cols, done, turn = state.columns, [], 0
-    ranges = state.count()
+    settles = (F.col("round") > 0) & (F.col("left") <= rest)
+    ranges, n_rest = state.count(), 0
 
     def next_to(small: bool, s: DataFrame) -> DataFrame:
         return F.broadcast(s) if small else s
 
     while ranges:
         few = c.small(ranges)
-        rests = state.where(f"round > 0 and left <= {rest}")
-        n_rest = rests.count() if turn > 1 else 0
         if n_rest:
+            rests = state.where(settles)
             left = c.with_open(rests, n_rest).mapInArrow(_read_rest(names, c.weighted), f"{c.kinds}, r int, vs array<double>, ws array<bigint>")
             lists = left.groupBy(*names, "r").agg(F.flatten(F.collect_list("vs")).alias("vs"), *([F.flatten(F.collect_list("ws")).alias("ws")] if c.weighted else []))  # at most rest values
             if c.weighted:
@@ -308,7 +308,7 @@ def select_ranks(chunks: DataFrame, keys: list[str], points: list[float], rest:
                 value = F.element_at("vs", F.col("q.k").cast("int"))
             got = lists.join(next_to(c.small(n_rest), rests), [*names, "r"]).withColumn("q", F.explode("ps"))
             done.append(cut(got.select(*names, F.col("q.i").alias("i"), value.alias("value"), "n", "round")))
-            state = state.where(f"round <= 0 or left > {rest}")
+            state = state.where(~settles)
             if not (ranges := ranges - n_rest):
                 break
         if turn and turn % trim_every == 0:
@@ -337,7 +337,7 @@ def select_ranks(chunks: DataFrame, keys: list[str], points: list[float], rest:
         new = cut(new.select(*names, "n", "salts", F.col("x.ps")[0]["i"].alias("r"), *[f"x.{k}" for k in ("lo", "hi", "pivot", "left", "ps", "value")], "round").select(*cols))
         done.append(new.where("value is not null").select(*names, F.explode("ps").alias("q"), "value", "n", "round").select(*names, "q.i", "value", "n", "round"))
         state = new.where("value is null")
-        ranges = state.count()
+        ranges, n_rest = state.agg(F.count("*"), F.count_if(settles)).first()
     c.drop()
     out = done[0] if done else state.select(*names, F.lit(0).alias("i"), "value", "n", "round")
     for x in done[1:]:
