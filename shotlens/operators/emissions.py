@@ -16,7 +16,7 @@ model, so their rows have none; ties in the ranking go by name; empty tables giv
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -96,34 +96,66 @@ def mean_of_levels(v: Column) -> Column:
 
 
 class Structures:
-    """All structures of each run, from training rows (run_id, site_id, frame_id, value, raw)."""
+    """All structures of each run, from training rows (run_id, site_id, frame_id, value, raw). A structure is fitted when it is asked for first."""
 
     def __init__(self, train: DataFrame, value: str, raw: str | None = None, strengths: tuple[int, ...] = STRENGTHS, least_rows: int = 20):
-        x = cut(train.select("run_id", "site_id", "frame_id", finite(value).alias("v"), (finite(raw) if raw else F.lit(None).cast("double")).alias("raw")))
-        plain = x.select("run_id", F.lit("global").alias("structure"), "v").unionByName(x.select("run_id", F.lit("raw").alias("structure"), F.col("raw").alias("v")))
-        levels = lambda df, by: fit_mixtures(df, by, "v").select(*by, "n", *LEVELS)
-        whole = cut(levels(plain, ["run_id", "structure"]))
-        self.frames = cut(levels(x, ["run_id", "frame_id"]))
-        sites = cut(levels(x, ["run_id", "site_id"]).where(f"n >= {least_rows}"))
+        self.rows = cut(train.select("run_id", "site_id", "frame_id", finite(value).alias("v"), (finite(raw) if raw else F.lit(None).cast("double")).alias("raw")))
+        self.strengths, self.least_rows = strengths, least_rows
+
+    def levels(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        return fit_mixtures(rows, by, "v").select(*by, "n", *LEVELS)
+
+    @cached_property
+    def whole(self) -> DataFrame:
+        plain = self.rows.select("run_id", F.lit("global").alias("structure"), "v").unionByName(self.rows.select("run_id", F.lit("raw").alias("structure"), F.col("raw").alias("v")))
+        return cut(self.levels(plain, ["run_id", "structure"]))
+
+    @cached_property
+    def frames(self) -> DataFrame:
+        return cut(self.levels(self.rows, ["run_id", "frame_id"]))
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        return cut(self.levels(self.rows, ["run_id", "site_id"]).where(f"n >= {self.least_rows}"))
+
+    @cached_property
+    def frame_shifts(self) -> DataFrame:
         middle = (F.col("mean0") + F.col("mean1")) / 2
         run = Window.partitionBy("run_id")  # as many rows as a run has frames
         reference = F.sum(middle * F.col("n")).over(run) / F.sum("n").over(run)
-        self.frame_shifts = cut(self.frames.select("run_id", "frame_id", (middle - reference).alias("frame_shift")))
-        y = x.join(self.frame_shifts, ["run_id", "frame_id"]).select("run_id", "site_id", "frame_id", (F.col("v") - F.col("frame_shift")).alias("v")).where("v is not null")
-        shared = cut(levels(y, ["run_id"]))
-        left = y.join(shared.drop("n"), "run_id").groupBy("run_id", "site_id").agg(F.count("*").alias("n"), F.avg(F.col("v") - mean_of_levels(F.col("v"))).alias("residual"))
-        k = F.explode(F.array(*[F.lit(int(s)) for s in strengths])).alias("strength")
-        self.site_shifts = cut(left.select("run_id", "site_id", "n", "residual", k).select("run_id", "site_id", "strength", (F.col("n") / (F.col("n") + F.col("strength")) * F.col("residual")).alias("site_shift")))
-        z = y.join(self.site_shifts, ["run_id", "site_id"]).select("run_id", "strength", (F.col("v") - F.col("site_shift")).alias("v"))
-        shrunk = cut(levels(z, ["run_id", "strength"]))
-        self.whole, self.shared, self.sites, self.shrunk, self.strengths = whole, shared, sites, shrunk, strengths
-
-    def adjusted(self, rows: DataFrame, value: str, raw: str | None = None) -> DataFrame:
-        """rows once for each structure that has a model for them: structure, v on the model's scale, and the model's levels."""
+        return cut(self.frames.select("run_id", "frame_id", (middle - reference).alias("frame_shift")))
+
+    @property
+    def unshifted(self) -> DataFrame:
+        return self.rows.join(self.frame_shifts, ["run_id", "frame_id"]).select("run_id", "site_id", "frame_id", (F.col("v") - F.col("frame_shift")).alias("v")).where("v is not null")
+
+    @cached_property
+    def shared(self) -> DataFrame:
+        return cut(self.levels(self.unshifted, ["run_id"]))
+
+    @cached_property
+    def site_shifts(self) -> DataFrame:
+        left = self.unshifted.join(self.shared.drop("n"), "run_id").groupBy("run_id", "site_id").agg(F.count("*").alias("n"), F.avg(F.col("v") - mean_of_levels(F.col("v"))).alias("residual"))
+        k = F.explode(F.array(*[F.lit(int(s)) for s in self.strengths])).alias("strength")
+        return cut(left.select("run_id", "site_id", "n", "residual", k).select("run_id", "site_id", "strength", (F.col("n") / (F.col("n") + F.col("strength")) * F.col("residual")).alias("site_shift")))
+
+    @cached_property
+    def shrunk(self) -> DataFrame:
+        z = self.unshifted.join(self.site_shifts, ["run_id", "site_id"]).select("run_id", "strength", (F.col("v") - F.col("site_shift")).alias("v"))
+        return cut(self.levels(z, ["run_id", "strength"]))
+
+    def adjusted(self, rows: DataFrame, value: str, raw: str | None = None, only_shrunk: bool = False) -> DataFrame:
+        """rows once for each structure (or each strength of shrinkage only) that has a model for them: structure, v on the model's scale, and the model's levels."""
         keep = [c for c in rows.columns if c not in ("v", "structure", "n", "strength", "shifts", "frame_shift", *LEVELS)]  # columns of these names are given up
         base = rows.select(*keep, finite(value).alias("_v"), (finite(raw) if raw else F.lit(None).cast("double")).alias("_raw"))
         w = lambda name: self.whole.where(F.col("structure") == name).drop("structure", "n")
         shifted = base.join(self.frame_shifts, ["run_id", "frame_id"])
+        cols = [*keep, "structure", "v", *LEVELS]
+        per = self.site_shifts.groupBy("run_id", "site_id").agg(F.map_from_entries(F.collect_list(F.struct("strength", "site_shift"))).alias("shifts"))  # a few strengths
+        s = shifted.join(per, ["run_id", "site_id"], "left").join(self.shrunk.drop("n"), "run_id")
+        s = s.withColumns({"structure": F.concat(F.lit("shrunk_"), F.col("strength").cast("string")), "v": F.col("_v") - F.col("frame_shift") - F.coalesce(F.col("shifts")[F.col("strength")], F.lit(0.0))})
+        if only_shrunk:
+            return s.select(*cols).where("v is not null")
         out = [
             base.join(w("global"), "run_id").withColumns({"structure": F.lit("global"), "v": F.col("_v")}),
             base.join(self.frames.drop("n"), ["run_id", "frame_id"]).withColumns({"structure": F.lit("frame"), "v": F.col("_v")}),
@@ -133,11 +165,7 @@ class Structures:
         out.append(base.alias("b").join(w("global").alias("g"), "run_id").join(self.sites.drop("n").alias("s"), ["run_id", "site_id"], "left").select(*[F.col(f"b.{c}") for c in keep if c not in ("run_id", "site_id")], "run_id", "site_id", F.lit("site").alias("structure"), F.col("b._v").alias("v"), *own))
         if raw:
             out.append(base.join(w("raw"), "run_id").withColumns({"structure": F.lit("raw"), "v": F.col("_raw")}))
-        per = self.site_shifts.groupBy("run_id", "site_id").agg(F.map_from_entries(F.collect_list(F.struct("strength", "site_shift"))).alias("shifts"))  # a few strengths
-        s = shifted.join(per, ["run_id", "site_id"], "left").join(self.shrunk.drop("n"), "run_id")
-        out.append(s.withColumns({"structure": F.concat(F.lit("shrunk_"), F.col("strength").cast("string")), "v": F.col("_v") - F.col("frame_shift") - F.coalesce(F.col("shifts")[F.col("strength")], F.lit(0.0))}))
-        cols = [*keep, "structure", "v", *LEVELS]
-        return reduce(DataFrame.unionByName, [o.select(*cols) for o in out]).where("v is not null")
+        return reduce(DataFrame.unionByName, [o.select(*cols) for o in [*out, s]]).where("v is not null")
 
 
 def densities(adjusted: DataFrame) -> DataFrame:
@@ -188,18 +216,21 @@ def distribution_audit(scored: DataFrame, by: list[str], bins: int = 60) -> Data
     inside = F.sum("c").over(Window.partitionBy(*by))
     mid = F.col("lo") + (F.col("bin") + 0.5) * F.col("width")
     d = grid.withColumns({"mid": mid, "p": F.col("c") / F.greatest(inside, F.lit(1))})
-    part = lambda w, m, s: w * F.exp(log_normal(F.col("mid"), F.col(m), F.col(s)))
-    d = d.withColumn("f", (part(1 - F.col("weight"), "mean0", "sd0") + part(F.col("weight"), "mean1", "sd1")) * F.col("width"))
-    total = F.sum("f").over(Window.partitionBy(*by))
-    d = d.withColumn("q", F.col("f") / total)
-    m = (F.col("p") + F.col("q")) / 2
-    kl = lambda a: F.when(F.col(a) > 0, F.col(a) * F.ln(F.col(a) / m)).otherwise(0.0)
+    part = lambda w, m, s: F.ln(w) + log_normal(F.col("mid"), F.col(m), F.col(s))
+    d = d.withColumns({"f0": part(1 - F.col("weight"), "mean0", "sd0"), "f1": part(F.col("weight"), "mean1", "sd1")})
+    d = d.withColumn("log_f", F.coalesce(log_sum(F.col("f0"), F.col("f1")), "f0", "f1"))
+    # densities far from both levels are too small for a double, their logarithms aren't
+    w = Window.partitionBy(*by)
+    d = d.withColumns({"f": F.exp("log_f") * F.col("width"), "e": F.exp(F.col("log_f") - F.max("log_f").over(w))})
+    d = d.withColumn("q", F.col("e") / F.sum("e").over(w))
+    # the mean of both shares isn't formed: half of the least double is zero
+    kl = lambda a: F.when(F.col(a) > 0, F.col(a) * F.ln(2 * F.col(a) / (F.col("p") + F.col("q")))).otherwise(0.0)
     third = (F.col("mean1") - F.col("mean0")) / 3
     valley = (F.col("mid") >= F.col("mean0") + third) & (F.col("mid") <= F.col("mean1") - third)
     top = lambda c, where=None: F.max(F.struct(c if where is None else F.when(where, F.col(c)), (-F.col("mid")).alias("m")))["m"]
     a = d.groupBy(*by).agg(
         F.sum("f").alias("model_mass"), F.sum(F.abs(F.col("p") - F.col("f"))).alias("absolute_error"), (F.sum(kl("p") + kl("q")) / 2).alias("divergence"),
-        (-top("c")).alias("mode"), (-top("f")).alias("model_mode"), F.sum(F.when(valley, F.col("p")).otherwise(0)).alias("valley"), F.sum(F.when(valley, F.col("f")).otherwise(0)).alias("model_valley"),
+        (-top("c")).alias("mode"), (-top("log_f")).alias("model_mode"), F.sum(F.when(valley, F.col("p")).otherwise(0)).alias("valley"), F.sum(F.when(valley, F.col("f")).otherwise(0)).alias("model_valley"),
     )
     out = a.join(tails, by).join(g.select(*by, "n_rows", "sd0", "sd1"), by)
     r = [rounded(c, 6).alias(c) for c in ("model_mass", "absolute_error", "divergence", "mode", "model_mode", "valley", "model_valley", "tail_mass")]

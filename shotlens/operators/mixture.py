@@ -32,27 +32,30 @@ def log_sum(a: Column, b: Column) -> Column:
 
 def expectation_maximisation(v: np.ndarray, c: np.ndarray, starts: list[tuple[float, float]], floor: float, within: np.ndarray | float = 0.0, least_weight: float = 0.02, rounds: int = 500, tolerance: float = 1e-8) -> tuple[float, ...]:
     """The best of several starts on values v with counts c and variances within each value's bin: (weight, mean0, mean1, sd0, sd1, log-likelihood), the second component the brighter."""
-    n, best = c.sum(), None
+    n = c.sum()
     mean = (c * v).sum() / n
     spread = max(float(np.sqrt((c * ((v - mean) ** 2 + within)).sum() / n)), floor)
-    for m0, m1 in starts:
-        w, s0, s1, last = 0.5, spread / 2, spread / 2, -np.inf
-        for _ in range(rounds):
-            l0 = np.log(1 - w) - 0.5 * ((v - m0) ** 2 + within) / s0**2 - np.log(s0 * ROOT_2PI)
-            l1 = np.log(w) - 0.5 * ((v - m1) ** 2 + within) / s1**2 - np.log(s1 * ROOT_2PI)
-            both = np.logaddexp(l0, l1)
-            ll = float((c * both).sum())
-            if ll - last <= tolerance * abs(ll):
-                break
-            last, r = ll, c * np.exp(l1 - both)
-            w1, w0 = max(r.sum(), 1e-9), max((c - r).sum(), 1e-9)
-            m1, m0 = (r * v).sum() / w1, ((c - r) * v).sum() / w0
-            s1 = max(np.sqrt((r * ((v - m1) ** 2 + within)).sum() / w1), floor)
-            s0 = max(np.sqrt(((c - r) * ((v - m0) ** 2 + within)).sum() / w0), floor)
-            w = min(max(w1 / n, least_weight), 1 - least_weight)
-        got = (w, m0, m1, s0, s1, ll) if m0 <= m1 else (1 - w, m1, m0, s1, s0, ll)
-        if best is None or ll > best[-1]:
-            best = got
+    m = np.array(starts, float)  # all starts in one array; those that have settled stay as they are
+    w, s, last, ll = np.full(len(m), 0.5), np.full(m.shape, spread / 2), np.full(len(m), -np.inf), np.full(len(m), -np.inf)
+    going = np.arange(len(m))
+    for _ in range(rounds):
+        square = [(v - m[going, k, None]) ** 2 + within for k in (0, 1)]
+        l0, l1 = (np.log(x)[:, None] - 0.5 * q / s[going, k, None] ** 2 - np.log(s[going, k, None] * ROOT_2PI) for k, x, q in zip((0, 1), (1 - w[going], w[going]), square))
+        apart = l1 - l0
+        e = np.exp(-np.abs(apart))
+        ll[going] = (c * (np.maximum(l0, l1) + np.log1p(e))).sum(1)
+        more = ll[going] - last[going] > tolerance * np.abs(ll[going])
+        going = going[more]
+        if not len(going):
+            break
+        last[going], r = ll[going], c * (np.where(apart >= 0, 1.0, e) / (1 + e))[more]
+        for k, part in ((1, r), (0, c - r)):
+            total = np.maximum(part.sum(1), 1e-9)
+            m[going, k] = (part * v).sum(1) / total
+            s[going, k] = np.maximum(np.sqrt((part * ((v - m[going, k, None]) ** 2 + within)).sum(1) / total), floor)
+        w[going] = np.clip(np.maximum(r.sum(1), 1e-9) / n, least_weight, 1 - least_weight)
+    k = int(ll.argmax())
+    best = (w[k], m[k, 0], m[k, 1], s[k, 0], s[k, 1], ll[k]) if m[k, 0] <= m[k, 1] else (1 - w[k], m[k, 1], m[k, 0], s[k, 1], s[k, 0], ll[k])
     return tuple(float(x) for x in best)
 
 

@@ -31,8 +31,8 @@ def _split_rows(spark: SparkSession, d: str) -> DataFrame:
     return cut(_clean(spark, d).where("quality_flag = 'ok'").select("run_id", "shot_id", "site_id", "frame_id", VALUE, "roi_sum_raw").join(shots, ["run_id", "shot_id"]))
 
 
-def _structures(rows: DataFrame) -> emissions.Structures:
-    return emissions.Structures(retention.training_only(rows.where("part = 'train'"), "part"), VALUE, "roi_sum_raw")
+def _structures(rows: DataFrame, strengths: tuple[int, ...] = emissions.STRENGTHS) -> emissions.Structures:
+    return emissions.Structures(retention.training_only(rows.where("part = 'train'"), "part"), VALUE, "roi_sum_raw", strengths)
 
 
 @query()
@@ -81,7 +81,7 @@ def emission_residuals(spark: SparkSession, d: str) -> DataFrame:
 def emission_audit(spark: SparkSession, d: str) -> DataFrame:
     """The distribution of test shots against their model, in all, by half of the run and by quarter of its sites."""
     rows = _split_rows(spark, d)
-    scored = emissions.densities(_structures(rows).adjusted(rows.where("part = 'test'"), VALUE)).where("structure = 'shrunk_20'")
+    scored = emissions.densities(_structures(rows, (20,)).adjusted(rows.where("part = 'test'"), VALUE, only_shrunk=True))  # nothing else is fitted
     sites = table(spark, d, "sites").select("run_id", "site_id")
     quarter = sensitivity.site_quarters(sites)
     half = sensitivity.halves(table(spark, d, "shots"))

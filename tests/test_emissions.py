@@ -93,3 +93,20 @@ def test_bands(spark):
     assert len(b) == 12 and all(r.lower <= r.density + 1e-9 and r.density <= r.upper + 1e-9 for r in b)
     again = E.density_bands(rows.repartition(2), ["run_id"], "y", bins=12, replicates=100, units_per_task=30).orderBy("bin").collect()
     assert [r.upper for r in again] == pytest.approx([r.upper for r in b], abs=2e-9)
+
+
+def test_audit_where_the_densities_underflow(spark):
+    """All rows lie so far from both levels that no density is above zero: the shares of the model still add up to one."""
+    schema = "k string, v double, occupied int, weight double, mean0 double, mean1 double, sd0 double, sd1 double"
+    rows = [("far", 1000.0 + i, 1, 0.4, 0.0, 10.0, 1.0, 1.5) for i in range(400)]
+    near = [("near", float(i % 20), int(i % 20 > 5), 0.4, 0.0, 10.0, 1.0, 1.5) for i in range(400)]
+    # bin 58 has no rows, and its share of the model is the least number above zero
+    least = [("least", v, 0, 0.5, 0.5, 0.5, 58 / 38.595, 58 / 38.595) for v in [0.0] * 200 + [60.0] * 200]
+    a = {r.k: r for r in E.distribution_audit(spark.createDataFrame(rows + near + least, schema), ["k"]).collect()}
+    far = a["far"]
+    assert set(a) == {"far", "near", "least"} and 0 < a["least"].divergence < math.log(2) and (far.n_rows, far.model_mass, far.tail_mass) == (400, 0, 1) and far.model_mode < 1010
+    # nearly all of the model's share is in the first bin, which has a sixtieth of the rows
+    p, q = np.full(60, 1 / 60), np.eye(60)[0]
+    m = (p + q) / 2
+    want = (sum(p * np.log(p / m)) + math.log(1 / m[0])) / 2
+    assert far.divergence == pytest.approx(want, abs=0.005)
