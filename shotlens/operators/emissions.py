@@ -237,32 +237,59 @@ def distribution_audit(scored: DataFrame, by: list[str], bins: int = 60) -> Data
     return out.select(*by, "n_rows", *r, rounded(F.try_divide("sd_0", "sd0"), 6).alias("sd0_ratio"), rounded(F.try_divide("sd_1", "sd1"), 6).alias("sd1_ratio"))
 
 
-def density_bands(rows: DataFrame, by: list[str], value: str, bins: int = 60, replicates: int = 400, seed: int = 20260731, units_per_task: int = 20_000, confidence: float = 0.95) -> DataFrame:
-    """(by..., bin, density, lower, upper): the histogram's density with the band of a Poisson bootstrap over whole shots."""
-    from shotlens.operators.retention import _blocks, unit_weights
-
-    x = rows.select(*by, "run_id", "shot_id", finite(value).alias("v")).where("v is not null") if "run_id" not in by else rows.select(*by, "shot_id", finite(value).alias("v")).where("v is not null")
-    e = x.groupBy(*by).agg(F.percentile_approx("v", F.array(F.lit(0.0025), F.lit(0.9975)), F.lit(10_000)).alias("q"))
-    e = cut(e.select(*by, F.col("q")[0].alias("lo"), ((F.col("q")[1] - F.col("q")[0]) / bins).alias("width")).where("width > 0"))
-    unit = F.concat_ws("|", "run_id", "shot_id")
-    x = x.join(e, by).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("lo") + bins * F.col("width")))
-    b = F.least(F.floor((F.col("v") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
-    c = cut(x.withColumn("_u", unit).groupBy(*by, "_u", b.alias("bin")).agg(F.count("*").alias("n")))
+def density_bands(rows: DataFrame, by: list[str], value: str, bins: int = 60, replicates: int = 400, seed: int = 20260731, units_per_task: int = 20_000, confidence: float = 0.95, values_per_task: int = 4_000_000) -> DataFrame:
+    """(by..., bin, density, lower, upper): the histogram's density with the band of a Poisson bootstrap over whole shots.
 
-    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        units, u = np.unique(pdf["_u"].to_numpy(str), return_inverse=True)
-        h = np.zeros((len(units), bins))
-        np.add.at(h, (u, pdf["bin"].to_numpy()), pdf["n"].to_numpy(float))
-        w = unit_weights(units, replicates, seed) @ h
-        return pd.DataFrame({**{k: [v] * replicates for k, v in zip(by, key)}, "replicate": np.arange(replicates), "h": w.tolist()})
+    A shot's values are one array. A group that fits in a task is counted, resampled and summed up there; of a larger one each
+    task counts a block of shots, and only its sums by replicate and bin move.
+    """
+    from shotlens.operators.retention import quantiles, unit_weights
 
+    unit = F.concat_ws("|", "run_id", "shot_id").alias("_u")
+    x = rows.select(*by, unit, finite(value).alias("v")).where("v is not null")
+    shots = cut(x.groupBy(*by, "_u").agg(F.collect_list("v").alias("v")))
+    tasks = F.greatest(F.ceil(F.count("*") / units_per_task), F.ceil(F.sum(F.size("v")) / values_per_task)).cast("int")
+    large = cut(shots.groupBy(*by).agg(tasks.alias("_blocks")).where("_blocks > 1"))
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)
-    parts = _blocks(c, F.col("_u"), units_per_task).groupBy(*by, "_block").applyInPandas(sums, f"{kinds}, replicate int, h array<double>")
-    h = parts.select(*by, "replicate", F.posexplode("h").alias("bin", "n")).groupBy(*by, "replicate", "bin").agg(F.sum("n").alias("n"))
-    share = F.try_divide("n", F.sum("n").over(Window.partitionBy(*by, "replicate")))
+    out = f"{kinds}, width double, bin int, s double, lower double, upper double"
     a = (1 - confidence) / 2
-    q = h.withColumn("s", share).groupBy(*by, "bin").agg(F.percentile("s", F.array(F.lit(a), F.lit(1 - a))).alias("q"))
-    whole = c.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
-    whole = whole.withColumn("s", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
-    out = q.join(whole, [*by, "bin"], "left").join(e, by)
-    return out.select(*by, "bin", *[rounded(F.coalesce(v, F.lit(0.0)) / F.col("width"), 9).alias(n) for n, v in (("density", F.col("s")), ("lower", F.col("q")[0]), ("upper", F.col("q")[1]))])
+
+    def counted(pdf: pd.DataFrame, lo: float, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """Counts by bin, and by replicate and bin."""
+        v = np.concatenate(pdf["v"].to_list())
+        u = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["v"]])
+        ok = (v >= lo) & ~(v > lo + bins * width)
+        at = np.minimum(np.nan_to_num(np.floor((v[ok] - lo) / width)), bins - 1).astype(int)
+        h = np.bincount(u[ok] * bins + at, minlength=len(pdf) * bins).reshape(len(pdf), bins).astype(float)
+        return h.sum(0), unit_weights(pdf["_u"].to_numpy(str), replicates, seed) @ h
+
+    def bands(key: tuple, width: float, whole: np.ndarray, h: np.ndarray) -> pd.DataFrame:
+        total = h.sum(1)
+        some = total > 0
+        q = quantiles(h[some] / total[some, None], (a, 1 - a)) if some.any() else np.zeros((2, bins))
+        return pd.DataFrame({**{k: [v] * bins for k, v in zip(by, key)}, "width": width, "bin": np.arange(bins), "s": whole / max(whole.sum(), 1), "lower": q[0], "upper": q[1]})
+
+    def in_task(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.sort(np.concatenate(pdf["v"].to_list()))
+        # as percentile_approx has them: the values of these ranks
+        lo, hi = (float(v[max(int(np.ceil(p * len(v))), 1) - 1]) for p in (0.0025, 0.9975))
+        width = (hi - lo) / bins
+        return bands(key, width, *counted(pdf, lo, width)) if width > 0 else pd.DataFrame(columns=[*by, "width", "bin", "s", "lower", "upper"])
+
+    small = shots.join(large, by, "left_anti").groupBy(*by).applyInPandas(in_task, out)
+    some = shots.join(large, by)
+    e = some.select(*by, F.explode("v").alias("v")).groupBy(*by).agg(F.percentile_approx("v", F.array(F.lit(0.0025), F.lit(0.9975)), F.lit(10_000)).alias("q"))
+    e = e.select(*by, F.col("q")[0].alias("lo"), ((F.col("q")[1] - F.col("q")[0]) / bins).alias("width")).where("width > 0")
+
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        whole, h = counted(pdf, pdf["lo"].iloc[0], pdf["width"].iloc[0])
+        return pd.DataFrame([[*key[:-1], pdf["width"].iloc[0], whole.tobytes(), h.tobytes()]], columns=[*by, "width", "whole", "h"])
+
+    def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        whole, h = (sum(np.frombuffer(x) for x in pdf[c]) for c in ("whole", "h"))
+        return bands(key, pdf["width"].iloc[0], whole, h.reshape(replicates, bins))
+
+    some = some.join(e, by).withColumn("_block", F.pmod(F.xxhash64("_u"), F.col("_blocks")).cast("int")).repartition(*by, "_block")
+    parts = some.groupBy(*by, "_block").applyInPandas(sums, f"{kinds}, width double, whole binary, h binary")
+    x = small.unionByName(parts.groupBy(*by).applyInPandas(merged, out))
+    return x.select(*by, "bin", *[rounded(F.col(v) / F.col("width"), 9).alias(n) for n, v in (("density", "s"), ("lower", "lower"), ("upper", "upper"))])

@@ -258,6 +258,15 @@ def unit_weights(units: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     return np.stack([np.random.default_rng(int.from_bytes(hashlib.blake2b(f"{seed}|{u}".encode(), digest_size=8).digest(), "big")).poisson(1.0, replicates) for u in units], 1).astype(float) if len(units) else np.zeros((replicates, 0))
 
 
+def quantiles(v: np.ndarray, shares: tuple[float, ...]) -> np.ndarray:
+    """Each share's quantile of every column of v (rows are replicates), interpolated as Spark's percentile does."""
+    v = np.sort(v, 0)
+    at = np.array(shares) * (len(v) - 1)
+    lo, hi = np.floor(at).astype(int), np.ceil(at).astype(int)
+    near = (hi - at)[:, None] * v[lo] + (at - lo)[:, None] * v[hi]
+    return np.where(((lo == hi)[:, None]) | (v[lo] == v[hi]), v[lo], near)
+
+
 def _blocks(df: DataFrame, unit: Column, units_per_task: int) -> DataFrame:
     """A block number, so that a block has about so many units."""
     n = df.select(unit.alias("u")).distinct().count()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shotlens.functions.numbers import rounded
 from shotlens.operators import emissions, retention, sensitivity
+from shotlens.operators.shots import one_delivery
 from shotlens.plans.core import _CLEAN, _FIN, VALUE, _clean, half_up
 from shotlens.session import cut
 from shotlens.sources.tables import table
@@ -93,4 +94,5 @@ def emission_audit(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def emission_bands(spark: SparkSession, d: str) -> DataFrame:
     """Density of the counts per run with the band of 400 replicates of whole shots."""
-    return emissions.density_bands(_clean(spark, d), ["run_id"], VALUE)
+    rows = table(spark, d, "frame_sites").repartition("run_id", "shot_id")  # rows of a shot meet once: to choose a delivery and to list its values
+    return emissions.density_bands(one_delivery(rows), ["run_id"], VALUE)

@@ -110,3 +110,13 @@ def test_audit_where_the_densities_underflow(spark):
     m = (p + q) / 2
     want = (sum(p * np.log(p / m)) + math.log(1 / m[0])) / 2
     assert far.divergence == pytest.approx(want, abs=0.005)
+
+
+def test_bands_make_no_rows_of_replicates(spark):
+    """Replicates stay in arrays, and large groups, in blocks of shots, have the same bands as those that fit in a task."""
+    rows = table(spark, 5, sites=(0.0, 0.0), frames=(0.0,)).unionByName(table(spark, 6, sites=(0.0,), frames=(0.0,), shots=20, run="small")).cache()
+    whole, blocks = (E.density_bands(rows, ["run_id"], "y", bins=12, replicates=50, units_per_task=n) for n in (20_000, 30))
+    for df in (whole, blocks):
+        assert "replicate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    a, b = ({(r.run_id, r.bin): (r.density, r.lower, r.upper) for r in df.collect()} for df in (whole, blocks))
+    assert len(a) == 24 and a == b
