@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from shotlens.functions.numbers import rounded
 from shotlens.operators.survival import TINY, levels, log_likelihood
+from shotlens.session import cut
 
 POINT = ["run_id", "interval", "t", "exposure_s", "pulses", "known"]
 #: Candidates of each family, the plainest first.
@@ -56,61 +57,140 @@ def disjoint_shots(train: DataFrame, held_out: DataFrame) -> DataFrame:
     return held_out
 
 
-def fit_log_linear(s: np.ndarray, n: np.ndarray, x: np.ndarray, known: np.ndarray | float = 0.0, low: np.ndarray | None = None, rounds: int = 200, tolerance: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
-    """(b, nll) for each row of s and n (replicates by cells); x is cells by parameters."""
+def fit_log_linear(s: np.ndarray, n: np.ndarray, x: np.ndarray, known: np.ndarray | float = 0.0, low: np.ndarray | None = None, rounds: int = 200, tolerance: float = 1e-12, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(b, nll) for each row of s and n (replicates by cells); x is cells by parameters.
+
+    Where each cell has one of the first columns, a level, the curvature between levels is diagonal: what is solved has as many
+    unknowns as there are other columns, so a step takes time in proportion to the cells, however many levels there are.
+    """
     scale = np.maximum(x.max(0), 1e-12)
     x = x / scale
-    low = np.full(x.shape[1], np.log(TINY)) if low is None else low * scale
-    b = np.maximum(np.full((len(s), x.shape[1]), -0.05), low)
+    k = x.shape[1]
+    low = np.full(k, np.log(TINY)) if low is None else low * scale
+    b = np.maximum(np.full((len(s), k), -0.05) if start is None else np.tile(np.minimum(start * scale, -0.01), (len(s), 1)), low)
     top = np.log1p(-TINY)
-
-    def value(b, rows=slice(None)):
-        e = np.minimum(known + b @ x.T, top)
-        return (s[rows] * e + (n[rows] - s[rows]) * np.log1p(-np.exp(e))).sum(1)
-
-    ll = value(b)
+    one_hot = np.isin(x, (0.0, 1.0)).all(0)
+    m = k if one_hot.all() else int(np.argmin(one_hot))  # columns of levels come first
+    m = m if m and (x[:, :m].sum(1) == 1).all() else 0
+    order = np.argsort(x[:, :m].argmax(1), kind="stable") if m else np.arange(len(x))
+    x, s, n, known = x[order], s[:, order], n[:, order], known[order] if isinstance(known, np.ndarray) else known
+    of = x[:, :m].argmax(1) if m else None
+    z = x[:, m:]
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if m else None
+    lost = n - s
+
+    def at_point(b, rows):
+        e = b[:, m:] @ z.T + known
+        if m:
+            e += b[:, of]
+        np.minimum(e, top, out=e)
+        p = np.exp(e)
+        e *= s[rows]
+        e += lost[rows] * np.log1p(-p)
+        return e.sum(1), p
+
+    by_level = lambda v: np.add.reduceat(v, first, 1)
+    ll, p = at_point(b, slice(None))
     going = np.arange(len(s))
     for _ in range(rounds):
         if not len(going):
             break
-        c, ss, nn = b[going], s[going], n[going]
-        p = np.exp(np.minimum(known + c @ x.T, top))
-        odds = p / (1 - p)
-        g = (ss - (nn - ss) * odds) @ x
-        h = np.einsum("rc,ck,cl->rkl", (nn - ss) * odds / (1 - p), x, x)
-        stop = ((c >= 0) & (g > 0)) | ((c <= low) & (g < 0))
+        c, pp = b[going], p[going]
+        odds = lost[going] * (pp / (1 - pp))
+        slope, bend = s[going] - odds, odds / (1 - pp)
+        g = np.concatenate([by_level(slope), slope @ z], 1) if m else slope @ z
+        stop = ((c >= -1e-10) & (g > 0)) | ((c <= low) & (g < 0))
         g = np.where(stop, 0.0, g)
-        h = np.where(stop[:, :, None] | stop[:, None, :], 0.0, h)
-        size = np.maximum(np.einsum("rkk->r", h), 1e-9)
-        h = h + np.eye(x.shape[1]) * np.where(stop, 1.0, 1e-10 * size[:, None])[:, :, None]
-        d = np.linalg.solve(h, g[:, :, None])[:, :, 0]
-        # a slope that no curvature stands against leads to the bound
-        step, best, new = np.ones(len(going)), ll[going], c.copy()
-        todo = np.ones(len(going), bool)
-        for _ in range(40):
-            at = np.flatnonzero(todo)
-            if not len(at):
+        sl, sz = stop[:, :m], stop[:, m:]
+        own = np.where(sl, 0.0, by_level(bend)) if m else np.zeros((len(c), 0))
+        h = np.einsum("rc,ck,cl->rkl", bend, z, z) if z.shape[1] > 1 else (bend @ (z * z))[:, :, None] if z.shape[1] else np.zeros((len(c), 0, 0))
+        h = np.where(sz[:, :, None] | sz[:, None, :], 0.0, h)
+        damp = 1e-10 * np.maximum(own.sum(1) + np.einsum("rkk->r", h), 1e-9)
+        own = own + np.where(sl, 1.0, damp[:, None])
+        h = h + np.eye(z.shape[1]) * np.where(sz, 1.0, damp[:, None])[:, :, None]
+        each = np.concatenate([own, np.einsum("rkk->rk", h)], 1)
+        cross = np.stack([by_level(bend * w) for w in z.T], 2) if m and z.shape[1] else np.zeros((len(c), m, z.shape[1]))
+        cross = np.where(sl[:, :, None] | sz[:, None, :], 0.0, cross)
+        left = h - np.einsum("rlk,rlj->rkj", cross / own[:, :, None], cross)
+        right = g[:, m:] - np.einsum("rlk,rl->rk", cross, g[:, :m] / own)
+        dz = (right / left[:, :, 0] if z.shape[1] == 1 else np.linalg.solve(left, right[:, :, None])[:, :, 0]) if z.shape[1] else right
+        d = np.concatenate([(g[:, :m] - np.einsum("rlk,rk->rl", cross, dz)) / own, dz], 1)
+        # a slope that no curvature stands against leads to the bound; where bounds turn a step away from the top, each parameter goes its own way
+        step, best, new, after = np.ones(len(going)), ll[going], c.copy(), ll[going].copy()
+        todo = np.flatnonzero((g * d).sum(1) > tolerance * np.maximum(1.0, np.abs(best)))  # others have nothing to gain
+        for i in range(52):
+            if not len(todo):
                 break
-            try_ = np.clip(c[at] + step[at, None] * d[at], low, 0.0)
-            got = value(try_, going[at])
-            ok = got >= best[at] + 1e-4 * (g[at] * (try_ - c[at])).sum(1)
-            new[at[ok]], todo[at[ok]] = try_[ok], False
-            step[at] *= 0.5
+            if i == 12:
+                d[todo], step[todo] = g[todo] / each[todo], 1.0
+            try_ = np.clip(c[todo] + step[todo, None] * d[todo], low, 0.0)
+            got, there = at_point(try_, going[todo])
+            ok = got >= best[todo] + 1e-4 * (g[todo] * (try_ - c[todo])).sum(1)
+            new[todo[ok]], after[todo[ok]], p[going[todo[ok]]] = try_[ok], got[ok], there[ok]
+            todo = todo[~ok]
+            step[todo] *= 0.5
         b[going] = new
-        after = value(new, going)
         settled = after - ll[going] <= tolerance * np.maximum(1.0, np.abs(after))
         ll[going] = np.maximum(after, ll[going])
         going = going[~settled]
     return b / scale, -ll
 
 
+def _in_order(intervals: pd.Series) -> list[str]:
+    return sorted(intervals.unique(), key=lambda i: [int(x) if x.isdigit() else 0 for x in i.split("->")])
+
+
+def _rates(candidate: str, names: pd.Series, order: list[str]) -> dict[str, np.ndarray]:
+    """The rates of a candidate, and the points at which each acts."""
+    first = (names == order[0]).to_numpy(bool)
+    if candidate in ("flat", *FAMILIES["repeated"]):
+        return {}
+    if candidate == "first_separate":
+        return {"rate__first": first, "rate__later": ~first}
+    if candidate == "by_interval":
+        return {f"rate__{i}": (names == i).to_numpy(bool) for i in order}
+    return {"rate": np.ones(len(names), bool)}
+
+
+def carried(candidate: str, d: pd.DataFrame, x: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """For each row of used (replicates by points) whether design() has a result for it; x is the design of all points."""
+    names, t = d["interval"].astype(str), d["t"].to_numpy(float)
+    ok = (used.astype(float) @ (x > 0) > 0).all(1)
+    for here in _rates(candidate, names, _in_order(names)).values():
+        ok &= np.where(used & here, t, -np.inf).max(1) > np.where(used & here, t, np.inf).min(1)
+    return ok
+
+
+def fit_many(candidate: str, d: pd.DataFrame, s: np.ndarray, n: np.ndarray, cells: int = 200_000) -> tuple[list[str], np.ndarray]:
+    """(names, parameters by replicate): the candidate fitted to every row of s and n; NaN where it can't be. Replicates start from the fit to their sum."""
+    if candidate == "floor":
+        got = [f and f["parameters"] for f in (fit_candidate(candidate, d, a, b) for a, b in zip(s, n))]
+        names = next((list(f) for f in got if f), [])
+        return names, np.array([[f[k] for k in names] if f else [np.nan] * len(names) for f in got], float).reshape(len(s), len(names))
+    full = design(candidate, d, np.ones(len(d), bool))
+    if full is None:
+        return [], np.zeros((len(s), 0))
+    names, x, low = full
+    known = d["known"].to_numpy(float)
+    out = np.full((len(s), len(names)), np.nan)
+    can = np.flatnonzero(carried(candidate, d, x, n > 0))
+    if len(can):
+        start = fit_log_linear(s[can].sum(0)[None], n[can].sum(0)[None], x, known, low)[0][0]
+        rate = np.array([k.startswith("rate") for k in names])
+        for at in np.array_split(can, -(-len(can) * len(d) // cells)):
+            b, _ = fit_log_linear(s[at], n[at], x, known, low, start=start)
+            out[at] = np.where(rate, -b, np.exp(b))
+    return names, out
+
+
 def design(candidate: str, d: pd.DataFrame, used: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray] | None:
     """Names, x and lower bounds of a candidate over the points d; ``used`` marks those with training cells. None if they can't carry it."""
     t, cols = d["t"].to_numpy(float), {}
     if candidate in FAMILIES["repeated"]:
         level, pulses = d["run_id"].astype(str), d["pulses"].to_numpy(float)
-        for r in sorted(level.unique()):
-            cols[f"level__{r}"] = (level == r).to_numpy(float)
+        runs, of = np.unique(level.to_numpy(str), return_inverse=True)
+        for r, column in zip(runs, np.eye(len(runs))[:, of]):
+            cols[f"level__{r}"] = column
         if candidate == "common_factor":
             cols["factor__common"] = pulses - 1
         elif candidate == "factor_by_exposure":
@@ -119,25 +199,15 @@ def design(candidate: str, d: pd.DataFrame, used: np.ndarray) -> tuple[list[str]
         elif candidate == "factor_by_boundary":
             for k in range(1, int(pulses.max())):
                 cols[f"factor__boundary_{k}"] = (pulses > k).astype(float)
-        rates = {}
     else:
         names = d["interval"].astype(str)
-        order = sorted(names.unique(), key=lambda i: [int(x) if x.isdigit() else 0 for x in i.split("->")])
+        order = _in_order(names)
         for i in order:
             cols[f"level__{i}"] = (names == i).to_numpy(float)
-        first = (names == order[0]).to_numpy(float)
         if candidate in ("first_separate", "by_interval") and len(order) < 2:
             return None
-        if candidate == "flat":
-            rates = {}
-        elif candidate == "first_separate":
-            rates = {"rate__first": first, "rate__later": 1 - first}
-        elif candidate == "by_interval":
-            rates = {f"rate__{i}": (names == i).to_numpy(float) for i in order}
-        else:
-            rates = {"rate": np.ones(len(d))}
-        for name, here in rates.items():
-            if len(np.unique(t[used & (here > 0)])) < 2:
+        for name, here in _rates(candidate, names, order).items():
+            if len(np.unique(t[used & here])) < 2:
                 return None
             cols[name] = here * t
     x = np.stack([np.asarray(c, float) for c in cols.values()], 1)
@@ -206,8 +276,8 @@ def _of_training(c: str) -> Column:
     return F.sum(F.when(F.col("split") == "train", F.col(c)).otherwise(0)).cast("double")
 
 
-def fit_candidates(cells: DataFrame, by: list[str], family: str) -> DataFrame:
-    """(by..., FIT): every candidate of the family, fitted to the train cells of each group, with its probability at all points of the design."""
+def fit_candidates(cells: DataFrame, by: list[str], family: str, only: str | None = None) -> DataFrame:
+    """(by..., FIT): every candidate of the family, or only one, fitted to the train cells of each group, with its probability at all points of the design."""
     rest = [c for c in POINT if c not in by]
     d = _pointed(cells).groupBy(*by, "point", *rest).agg(_of_training("successes").alias("s"), _of_training("trials").alias("n"))
 
@@ -215,6 +285,8 @@ def fit_candidates(cells: DataFrame, by: list[str], family: str) -> DataFrame:
         x = x.sort_values("point").reset_index(drop=True)
         rows = []
         for i, c in enumerate(FAMILIES[family]):
+            if only not in (None, c):
+                continue
             got = fit_candidate(c, x, x["s"].to_numpy(float), x["n"].to_numpy(float))
             if got:
                 points = {k: float(v) for k, v in zip(x["point"], got["p"]) if np.isfinite(v)}
@@ -327,57 +399,115 @@ def compare(cells: DataFrame, fits: DataFrame, by: list[str], family: str, toler
     return t.select(*by, "candidate", "n_parameters", "on_boundary", "n_validation", "n_unseen", "n_shots", *r, "passes", "selected")
 
 
-def resampled_parameters(cells: DataFrame, by: list[str], candidate: str, unit: list[str], replicates: int = 1000, seed: int = 20260731, units_per_task: int = 20_000, tasks: int = 8) -> DataFrame:
-    """(by..., replicate, parameters): the candidate fitted to Poisson-weighted units (whole shots, cycles or blocks) of the train cells.
+def resampled(cells: DataFrame, by: list[str], candidate: str, unit: list[str], finish, kinds: dict[str, str], replicates: int = 1000, seed: int = 20260731, units_per_task: int = 20_000) -> DataFrame:
+    """(by..., kinds): ``finish`` of each group's replicates: of the candidate's names and its parameters (replicates by names, NaN where they can't be fitted).
 
-    Every unit gets an array of weights, one for each replicate, and each task sums its units' cells under all of them; only the
-    sums by replicate and point move on. A replicate that can't be fitted has null parameters.
+    Units are whole shots, cycles or blocks of the train cells with Poisson weights. A group that fits in a task is weighted, fitted
+    and finished there, so that replicates are never rows; of a larger one each task weights a block of units, and only its sums by
+    replicate and point move.
     """
-    c = _pointed(cells.where("split = 'train'"))
-    for u in unit:
-        c = c.where(F.col(u).isNotNull())
     rest = [p for p in POINT if p not in by]
-    key = F.concat_ws("|", *by, *unit)
-    c = _blocks(c.withColumn("_u", key), key, units_per_task).groupBy(*by, "_block", "_u", "point").agg(F.sum("successes").cast("double").alias("s"), F.sum("trials").cast("double").alias("n"))
-    points = cells.where("split = 'train'").transform(_pointed).groupBy(*by, "point", *rest).agg(F.count("*").alias("_"))
-    points = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("point", *rest))).alias("points"))  # as many as the design has
+    key = F.when(F.forall(F.array(*[F.col(u).isNotNull() for u in unit]), lambda x: x), F.concat_ws("|", *by, *unit))
+    c = _pointed(cells.where("split = 'train'")).withColumn("_u", key)
+    tasks = F.ceil(F.count_distinct("_u") / units_per_task).cast("int")
+    large = c.groupBy(*by).agg(tasks.alias("_blocks")).where("_blocks > 1")
+    hot = large.select(*by).limit(1).count() > 0
+    large = cut(large) if hot else None
+    c = c.groupBy(*by, "_u", "point", *rest).agg(F.sum("successes").cast("double").alias("s"), F.sum("trials").cast("double").alias("n"))
+    out = _kinds(cells, by, kinds)
+
+    def weighted(x: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        """Points in order, and the sums by replicate and point; rows without a unit have points, but no weight."""
+        x = x.sort_values("point", kind="stable")
+        _, first, p = np.unique(x["point"].to_numpy(str), return_index=True, return_inverse=True)
+        d = x.iloc[first][["point", *rest]].reset_index(drop=True)
+        has = x["_u"].notna().to_numpy()
+        units, u = np.unique(x["_u"].to_numpy()[has].astype(str), return_inverse=True)
+        s, n = np.zeros((len(d), replicates)), np.zeros((len(d), replicates))
+        if len(units):
+            w = np.ascontiguousarray(unit_weights(units, replicates, seed).T)
+            a, b, p = x["s"].to_numpy()[has], x["n"].to_numpy()[has], p[has]
+            ends = np.searchsorted(p, np.arange(len(d) + 1))
+            for i in range(len(d)):  # a point has cells of few of the units
+                of = slice(ends[i], ends[i + 1])
+                s[i], n[i] = np.stack([a[of], b[of]]) @ w[u[of]]
+        return d, s.T, n.T
+
+    def done(group: tuple, d: pd.DataFrame, s: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        got = finish(*fit_many(candidate, d, np.ascontiguousarray(s), np.ascontiguousarray(n)))
+        return pd.DataFrame({**{k: [v] * len(got) for k, v in zip(by, group)}, **{k: got[k] for k in kinds}})
+
+    def in_task(group: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        return done(group, *weighted(x)) if x["_u"].notna().any() else done(group, x.iloc[:0], np.zeros((0, 0)), np.zeros((0, 0))).iloc[:0]
+
+    small = (c.join(large, by, "left_anti") if hot else c).groupBy(*by).applyInPandas(in_task, out)
+    if not hot:
+        return small
 
     def sums(group: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        units, u = np.unique(x["_u"].to_numpy(str), return_inverse=True)
-        names, p = np.unique(x["point"].to_numpy(str), return_inverse=True)
-        s, n = np.zeros((len(units), len(names))), np.zeros((len(units), len(names)))
-        np.add.at(s, (u, p), x["s"].to_numpy(float))
-        np.add.at(n, (u, p), x["n"].to_numpy(float))
-        w = unit_weights(units, replicates, seed)
-        return pd.DataFrame({**{b: [k] * replicates for b, k in zip(by, group)}, "replicate": np.arange(replicates), "names": [names.tolist()] * replicates, "s": (w @ s).tolist(), "n": (w @ n).tolist()})
-
-    parts = c.groupBy(*by, "_block").applyInPandas(sums, _kinds(c, by, {"replicate": "int", "names": "array<string>", "s": "array<double>", "n": "array<double>"}))
-    parts = parts.withColumn("_task", F.col("replicate") % tasks).join(points, by)
-
-    def fit(group: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        d = pd.DataFrame([tuple(p) if not isinstance(p, dict) else tuple(p.values()) for p in x["points"].iloc[0]], columns=["point", *rest])
-        at = {k: i for i, k in enumerate(d["point"])}
-        own, r = np.unique(x["replicate"].to_numpy(), return_inverse=True)
-        s, n = np.zeros((len(own), len(d))), np.zeros((len(own), len(d)))
-        for i, names, a, b in zip(r, x["names"], x["s"], x["n"]):
-            j = [at[k] for k in names]
-            s[i, j] += a
-            n[i, j] += b
-        out: list = [None] * len(own)
-        if candidate == "floor":
-            for i in range(len(own)):
-                got = fit_candidate(candidate, d, s[i], n[i])
-                out[i] = got and got["parameters"]
-        else:
-            can = np.array([design(candidate, d, row > 0) is not None for row in n])
-            if can.any():
-                names, x_, low = design(candidate, d, np.ones(len(d), bool))
-                b, _ = fit_log_linear(s[can], n[can], x_, d["known"].to_numpy(float), low)
-                for i, row in zip(np.flatnonzero(can), b):
-                    out[i] = {k: float(-v if k.startswith("rate") else np.exp(v)) for k, v in zip(names, row)}
-        return pd.DataFrame({**{b: [k] * len(own) for b, k in zip(by, group[:-1])}, "replicate": own, "parameters": out})
-
-    return parts.groupBy(*by, "_task").applyInPandas(fit, _kinds(c, by, {"replicate": "int", "parameters": "map<string, double>"}))
+        d, s, n = weighted(x)
+        return pd.DataFrame({**{k: [v] * len(d) for k, v in zip(by, group)}, **{k: d[k] for k in ("point", *rest)}, "s": [v.tobytes() for v in s.T], "n": [v.tobytes() for v in n.T]})
+
+    def merged(group: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("point", kind="stable")
+        _, first, p = np.unique(x["point"].to_numpy(str), return_index=True, return_inverse=True)
+        s, n = np.zeros((len(first), replicates)), np.zeros((len(first), replicates))
+        for i, a, b in zip(p, x["s"], x["n"]):
+            s[i] += np.frombuffer(a)
+            n[i] += np.frombuffer(b)
+        return done(group, x.iloc[first][["point", *rest]].reset_index(drop=True), s.T, n.T)
+
+    some = c.join(large, by).withColumn("_block", F.pmod(F.xxhash64("_u"), F.col("_blocks")).cast("int")).repartition(*by, "_block")
+    parts = some.groupBy(*by, "_block").applyInPandas(sums, _kinds(c, by, {k: c.schema[k].dataType.simpleString() for k in ("point", *rest)} | {"s": "binary", "n": "binary"}))
+    return small.unionByName(parts.groupBy(*by).applyInPandas(merged, out))
+
+
+def resampled_parameters(cells: DataFrame, by: list[str], candidate: str, unit: list[str], replicates: int = 1000, seed: int = 20260731, units_per_task: int = 20_000) -> DataFrame:
+    """(by..., replicate, parameters): the parameters of every replicate of ``resampled``, null where it can't be fitted."""
+
+    def rows(names: list[str], v: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"replicate": np.arange(len(v)), "parameters": [dict(zip(names, r)) if names and r[0] == r[0] else None for r in v.tolist()]})
+
+    return resampled(cells, by, candidate, unit, rows, {"replicate": "int", "parameters": "map<string, double>"}, replicates, seed, units_per_task)
+
+
+def resampled_values(cells: DataFrame, by: list[str], candidate: str, unit: list[str], parameter: str, **how) -> DataFrame:
+    """(by..., v): one parameter of every replicate as an array, NaN where it can't be fitted."""
+
+    def values(names: list[str], v: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"v": [v[:, names.index(parameter)].tolist()] if parameter in names else []})
+
+    return resampled(cells, by, candidate, unit, values, {"v": "array<double>"}, **how)
+
+
+def resampled_intervals(cells: DataFrame, fits: DataFrame, by: list[str], candidate: str, unit: list[str], confidence: float = 0.95, most_failed: float = 0.1, **how) -> DataFrame:
+    """What parameter_intervals gives for resampled_parameters; the quantiles are taken where the replicates are."""
+    a = (1 - confidence) / 2
+
+    def ends(names: list[str], v: np.ndarray) -> pd.DataFrame:
+        ok = ~np.isnan(v).any(1) if names else np.zeros(len(v), bool)
+        q = quantiles(v[ok], (a, 1 - a)) if ok.any() else np.zeros((2, 0))
+        return pd.DataFrame({"parameter": names if ok.any() else [], "lower": q[0], "upper": q[1], "n_replicates": len(v), "n_failed": int((~ok).sum())})
+
+    q = resampled(cells, by, candidate, unit, ends, {"parameter": "string", "lower": "double", "upper": "double", "n_replicates": "bigint", "n_failed": "bigint"}, **how)
+    point = fits.where((F.col("candidate") == candidate) & F.col("parameters").isNotNull()).select(*by, F.explode("parameters").alias("parameter", "estimate"))
+    ok = F.col("n_failed") <= most_failed * F.col("n_replicates")
+    x = point.join(q, [*by, "parameter"])
+    return x.select(*by, "parameter", rounded("estimate", 6).alias("estimate"), rounded(F.when(ok, F.col("lower")), 6).alias("lower"), rounded(F.when(ok, F.col("upper")), 6).alias("upper"), "n_replicates", "n_failed")
+
+
+def resampled_bands(cells: DataFrame, by: list[str], candidate: str, unit: list[str], level: str, rate: str, times: list[float], confidence: float = 0.95, **how) -> DataFrame:
+    """What bands gives for resampled_parameters; replicates times times are never rows."""
+    a, t = (1 - confidence) / 2, np.array(times, float)
+
+    def ends(names: list[str], v: np.ndarray) -> pd.DataFrame:
+        q, r = (v[:, names.index(k)] if k in names else np.full(len(v), np.nan) for k in (level, rate))
+        ok = ~np.isnan(q) & ~np.isnan(r)
+        got = quantiles(q[ok, None] * np.exp(-r[ok, None] * t), (a, 0.5, 1 - a)) if ok.any() else np.zeros((3, 0))
+        return pd.DataFrame({"t": t if ok.any() else [], "lower": got[0], "median": got[1], "upper": got[2]})
+
+    x = resampled(cells, by, candidate, unit, ends, dict.fromkeys(("t", "lower", "median", "upper"), "double"), **how)
+    return x.select(*by, "t", *[rounded(k, 6).alias(k) for k in ("lower", "median", "upper")])
 
 
 def parameter_intervals(draws: DataFrame, fits: DataFrame, by: list[str], candidate: str, confidence: float = 0.95, most_failed: float = 0.1) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shotlens.functions.numbers import rounded
@@ -28,21 +28,31 @@ def query(sql: str | None = None):
     return keep
 
 
-def _cells(spark: SparkSession, d: str, family: str, calls: DataFrame | None = None) -> DataFrame:
+def _cells(spark: SparkSession, d: str, family: str, calls: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(dataset_id, run_id, shot_id, split, cycle_index, interval, t, exposure_s, pulses, known, successes, trials) of a family of models."""
-    calls = _calls(spark, d) if calls is None else calls
+    calls = _calls(spark, d) if calls is None and counts is None else calls
+    total = lambda x, by, s, n: x.groupBy("run_id", "shot_id", *by).agg(F.sum(s).alias("successes"), F.sum(n).alias("trials"))
     runs = table(spark, d, "runs").select("run_id", "dataset_id", "sweep_axis", "sequence_type", (F.col("exposure_ms") / 1000.0).alias("exposure_s"))
     shots = table(spark, d, "shots").select("run_id", "shot_id", "split", "cycle_index", F.col("sweep_value_s").alias("t"))
     if family == "repeated":
         runs, shots = runs.where("sequence_type = 'repeated_imaging' and exposure_s > 0"), shots.withColumn("t", F.lit(0.0))
-        c = S.binomial_cells(calls.withColumn("interval", F.lit("all")), "occupied", ["interval", "frame_id"]).withColumn("pulses", F.col("frame_id") + 1)
+        if counts is None:
+            c = S.binomial_cells(calls.withColumn("interval", F.lit("all")), "occupied", ["interval", "frame_id"])
+        else:
+            c = total(counts.withColumn("interval", F.lit("all")), ["interval", "frame_id"], "occupied", "called")
+        c = c.withColumn("pulses", F.col("frame_id") + 1)
         known = -(BRIGHT_RATE * F.col("exposure_s") * F.col("pulses") + DARK_RATE * GAP_S * (F.col("pulses") - 1))
     else:
         runs, known = runs.where(F.col("sweep_axis") == ("dark_hold_s" if family == "dark" else "bright_wait_s")), F.lit(0.0)
-        if family == "bright":
+        if family == "bright" and counts is not None:
+            c = total(counts.where("frame_id = 0").withColumn("interval", F.lit("first")), ["interval"], "occupied", "called")
+        elif family == "bright":
             c = S.binomial_cells(calls.where("frame_id = 0").withColumn("interval", F.lit("first")), "occupied", ["interval"])
         else:
-            c = S.binomial_cells(events.retention_events(calls), "retained", ["interval"])
+            if counts is None:
+                c = S.binomial_cells(events.retention_events(calls), "retained", ["interval"])
+            else:
+                c = total(counts.where("at_risk > 0").withColumn("interval", events.interval_name("frame_id", "next_frame")), ["interval"], "retained", "at_risk")
             c = c.where("interval = '0->1'") if family == "control" else c
         c = c.withColumn("pulses", F.lit(1))
     x = c.join(runs, "run_id").join(shots, ["run_id", "shot_id"])
@@ -129,11 +139,17 @@ def control_levels(spark: SparkSession, d: str) -> DataFrame:
     return flat.join(v, "run_id", "left")
 
 
-def _draws(spark: SparkSession, d: str, family: str, candidate: str, unit: list[str], calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    cells, by = cut(_cells(spark, d, family, calls)), _group(family)
-    if unit[-1] == "shot_block":
-        cells = cut(cells.join(shot_blocks(table(spark, d, "shots")), ["run_id", "shot_id"]))
-    return cut(retention.resampled_parameters(cells, by, candidate, unit)), retention.fit_candidates(cells, by, family)
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    """(run_id, shot_id, frame_id, next_frame, occupied, called, retained, at_risk): all that the cells of the families need, from one pass over the calls."""
+    w = Window.partitionBy("run_id", "shot_id", "site_id").orderBy("frame_id")
+    x = _calls(spark, d).select("run_id", "shot_id", "site_id", "frame_id", "occupied").withColumns({"next_frame": F.lead("frame_id").over(w), "next_call": F.lead("occupied").over(w)})
+    held = F.when(F.col("occupied") == 1, F.col("next_call"))
+    return cut(x.groupBy("run_id", "shot_id", "frame_id", "next_frame").agg(F.sum("occupied").alias("occupied"), F.count("occupied").alias("called"), F.sum(held).alias("retained"), F.count(held).alias("at_risk")))
+
+
+def _training(spark: SparkSession, d: str, family: str, counts: DataFrame) -> DataFrame:
+    cells = _cells(spark, d, family, counts=counts).where("split = 'train'")
+    return cut(cells.join(shot_blocks(table(spark, d, "shots")), ["run_id", "shot_id"])) if family == "repeated" else cut(cells)
 
 
 RESAMPLED = [("dark", "shared", ["run_id", "shot_id"]), ("dark", "shared", ["run_id", "cycle_index"]), ("bright", "no_floor", ["run_id", "shot_id"]), ("bright", "no_floor", ["run_id", "cycle_index"]), ("control", "flat", ["run_id", "shot_id"]), ("repeated", "common_factor", ["run_id", "shot_id"]), ("repeated", "common_factor", ["run_id", "shot_block"])]
@@ -142,11 +158,14 @@ RESAMPLED = [("dark", "shared", ["run_id", "shot_id"]), ("dark", "shared", ["run
 @query()
 def model_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Intervals of the plain models' parameters from 1,000 replicates of whole shots, whole cycles, or blocks of 20 shots."""
-    calls, out = cut(_calls(spark, d)), None
+    counts, out, known = _counts(spark, d), None, {}
     for family, candidate, unit in RESAMPLED:
-        draws, fits = _draws(spark, d, family, candidate, unit, calls)
         by = _group(family)
-        x = retention.parameter_intervals(draws, fits, by, candidate)
+        if family not in known:
+            cells = _training(spark, d, family, counts)
+            known[family] = cells, cut(retention.fit_candidates(cells, by, family, candidate))
+        cells, fits = known[family]
+        x = retention.resampled_intervals(cells, fits, by, candidate, unit)
         x = x.select(F.lit(family).alias("family"), F.lit(unit[-1]).alias("unit"), F.col(by[0]).alias("group_id"), *[c for c in x.columns if c not in by])
         out = x if out is None else out.unionByName(x)
     return out
@@ -155,46 +174,42 @@ def model_intervals(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def draw_correlations(spark: SparkSession, d: str) -> DataFrame:
     """How the parameters of the dark model go together over its replicates."""
-    draws, _ = _draws(spark, d, "dark", "shared", ["run_id", "shot_id"], _calls(spark, d))
+    draws = cut(retention.resampled_parameters(_training(spark, d, "dark", _counts(spark, d)), ["run_id"], "shared", ["run_id", "shot_id"]))
     return retention.parameter_correlations(draws, ["run_id"])
 
 
 @query()
 def retention_bands(spark: SparkSession, d: str) -> DataFrame:
     """Bands of the dark model over 60 and of the bright model over 80 times."""
-    calls = cut(_calls(spark, d))
-    dark, _ = _draws(spark, d, "dark", "shared", ["run_id", "shot_id"], calls)
-    bright, _ = _draws(spark, d, "bright", "no_floor", ["run_id", "shot_id"], calls)
-    a = retention.bands(dark, ["run_id"], "level__0->1", "rate", [2.5 * i / 59 for i in range(60)]).withColumn("family", F.lit("dark"))
-    b = retention.bands(bright, ["run_id"], "level__first", "rate", [2.0 * i / 79 for i in range(80)]).withColumn("family", F.lit("bright"))
+    counts, unit = _counts(spark, d), ["run_id", "shot_id"]
+    a = retention.resampled_bands(_training(spark, d, "dark", counts), ["run_id"], "shared", unit, "level__0->1", "rate", [2.5 * i / 59 for i in range(60)]).withColumn("family", F.lit("dark"))
+    b = retention.resampled_bands(_training(spark, d, "bright", counts), ["run_id"], "no_floor", unit, "level__first", "rate", [2.0 * i / 79 for i in range(80)]).withColumn("family", F.lit("bright"))
     return a.unionByName(b).select("family", "run_id", rounded("t", 6).alias("t"), "lower", "median", "upper")
 
 
-def _by_dataset(draws: DataFrame, runs: DataFrame, parameter: str, name: str) -> DataFrame:
+def _by_dataset(spark: SparkSession, d: str, family: str, candidate: str, parameter: str, name: str, counts: DataFrame) -> DataFrame:
     """(dataset_id, replicate, name): the mean over a data set's runs, and over those of all data sets ("all"), in each replicate."""
-    own = draws.where("parameters is not null").select(*[c for c in draws.columns if c != "parameters"], F.col("parameters")[parameter].alias("v"))
-    own = own if "dataset_id" in own.columns else own.join(runs.select("run_id", "dataset_id"), "run_id")
+    runs = table(spark, d, "runs").select("run_id", "dataset_id")
+    own = cut(retention.resampled_values(_training(spark, d, family, counts), _group(family), candidate, ["run_id", "shot_id"], parameter))
+    own = own.select(own.columns[0], F.posexplode("v").alias("replicate", "v")).where(~F.isnan("v"))
+    own = own if "dataset_id" in own.columns else own.join(runs, "run_id")
+    own = own.select("dataset_id", "replicate", "v")
     return own.unionByName(own.withColumn("dataset_id", F.lit("all"))).groupBy("dataset_id", "replicate").agg(F.avg("v").alias(name))
 
 
 @query()
 def rate_ratio_intervals(spark: SparkSession, d: str) -> DataFrame:
     """The rate in light against the rate in the dark in each data set that has runs of both, resampled apart."""
-    calls, runs = cut(_calls(spark, d)), table(spark, d, "runs")
-    dark, _ = _draws(spark, d, "dark", "shared", ["run_id", "shot_id"], calls)
-    bright, _ = _draws(spark, d, "bright", "no_floor", ["run_id", "shot_id"], calls)
-    return retention.rate_ratios(_by_dataset(bright, runs, "rate", "rate"), _by_dataset(dark, runs, "rate", "rate"), ["dataset_id"])
+    counts = _counts(spark, d)
+    return retention.rate_ratios(_by_dataset(spark, d, "bright", "no_floor", "rate", "rate", counts), _by_dataset(spark, d, "dark", "shared", "rate", "rate", counts), ["dataset_id"])
 
 
 @query()
 def loss_budget_intervals(spark: SparkSession, d: str) -> DataFrame:
     """What light, gaps and further readouts cost over five frames, with intervals from independent draws of the two rates and the factor."""
-    calls, runs = cut(_calls(spark, d)), table(spark, d, "runs")
-    dark, _ = _draws(spark, d, "dark", "shared", ["run_id", "shot_id"], calls)
-    bright, _ = _draws(spark, d, "bright", "no_floor", ["run_id", "shot_id"], calls)
-    again, _ = _draws(spark, d, "repeated", "common_factor", ["run_id", "shot_id"], calls)
-    parts = [(bright, "rate", "bright"), (dark, "rate", "dark"), (again, "factor__common", "factor")]
-    lists = [_by_dataset(x, runs, p, n).groupBy("dataset_id").agg(F.array_sort(F.collect_list(n)).alias(n)) for x, p, n in parts]  # as many as replicates
+    counts, runs = _counts(spark, d), table(spark, d, "runs")
+    parts = [("bright", "no_floor", "rate", "bright"), ("dark", "shared", "rate", "dark"), ("repeated", "common_factor", "factor__common", "factor")]
+    lists = [_by_dataset(spark, d, *x, counts).groupBy("dataset_id").agg(F.array_sort(F.collect_list(x[-1])).alias(x[-1])) for x in parts]  # as many as replicates
     e = runs.where("sequence_type = 'repeated_imaging' and exposure_ms > 0").select("dataset_id", (F.col("exposure_ms") / 1000.0).alias("exposure_s"))
     x = e.unionByName(e.withColumn("dataset_id", F.lit("all"))).distinct()
     for y in lists:
