@@ -435,10 +435,11 @@ def resampled(cells: DataFrame, by: list[str], candidate: str, unit: list[str],
 
     def done(group: tuple, d: pd.DataFrame, s: np.ndarray, n: np.ndarray) -> pd.DataFrame:
         got = finish(*fit_many(candidate, d, np.ascontiguousarray(s), np.ascontiguousarray(n)))
-        return pd.DataFrame({**{k: [v] * len(got) for k, v in zip(by, group)}, **{k: got[k] for k in kinds}})
+        rows = pd.DataFrame({**{k: [v] * len(got) for k, v in zip(by, group)}, **{k: got[k] for k in kinds}})
+        return rows if len(rows) else rows.astype(object)  # a column without rows is one of floats, of which Arrow makes no array of strings
 
     def in_task(group: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        return done(group, *weighted(x)) if x["_u"].notna().any() else done(group, x.iloc[:0], np.zeros((0, 0)), np.zeros((0, 0))).iloc[:0]
+        return done(group, *weighted(x)) if x["_u"].notna().any() else pd.DataFrame(columns=[*by, *kinds], dtype=object)
 
     small = (c.join(large, by, "left_anti") if hot else c).groupBy(*by).applyInPandas(in_task, out)
     if not hot:
