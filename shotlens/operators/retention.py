@@ -90,6 +90,22 @@ def fit_log_linear(s: np.ndarray, n: np.ndarray, x: np.ndarray, known: np.ndarra
         return e.sum(1), p
 
     by_level = lambda v: np.add.reduceat(v, first, 1)
+
+    def solved(g, stop, own, h, cross):
+        """(Newton step, diagonal of the curvature) for the parameters that are not stopped."""
+        sl, sz = stop[:, :m], stop[:, m:]
+        own = np.where(sl, 0.0, own)
+        h = np.where(sz[:, :, None] | sz[:, None, :], 0.0, h)
+        damp = 1e-10 * np.maximum(own.sum(1) + np.einsum("rkk->r", h), 1e-9)
+        own = own + np.where(sl, 1.0, damp[:, None])
+        h = h + np.eye(z.shape[1]) * np.where(sz, 1.0, damp[:, None])[:, :, None]
+        each = np.concatenate([own, np.einsum("rkk->rk", h)], 1)
+        cross = np.where(sl[:, :, None] | sz[:, None, :], 0.0, cross)
+        left = h - np.einsum("rlk,rlj->rkj", cross / own[:, :, None], cross)
+        right = g[:, m:] - np.einsum("rlk,rl->rk", cross, g[:, :m] / own)
+        dz = (right / left[:, :, 0] if z.shape[1] == 1 else np.linalg.solve(left, right[:, :, None])[:, :, 0]) if z.shape[1] else right
+        return np.concatenate([(g[:, :m] - np.einsum("rlk,rk->rl", cross, dz)) / own, dz], 1), each
+
     ll, p = at_point(b, slice(None))
     going = np.arange(len(s))
     for _ in range(rounds):
@@ -101,20 +117,24 @@ def fit_log_linear(s: np.ndarray, n: np.ndarray, x: np.ndarray, known: np.ndarra
         g = np.concatenate([by_level(slope), slope @ z], 1) if m else slope @ z
         stop = ((c >= -1e-10) & (g > 0)) | ((c <= low) & (g < 0))
         g = np.where(stop, 0.0, g)
-        sl, sz = stop[:, :m], stop[:, m:]
-        own = np.where(sl, 0.0, by_level(bend)) if m else np.zeros((len(c), 0))
+        own = by_level(bend) if m else np.zeros((len(c), 0))
         h = np.einsum("rc,ck,cl->rkl", bend, z, z) if z.shape[1] > 1 else (bend @ (z * z))[:, :, None] if z.shape[1] else np.zeros((len(c), 0, 0))
-        h = np.where(sz[:, :, None] | sz[:, None, :], 0.0, h)
-        damp = 1e-10 * np.maximum(own.sum(1) + np.einsum("rkk->r", h), 1e-9)
-        own = own + np.where(sl, 1.0, damp[:, None])
-        h = h + np.eye(z.shape[1]) * np.where(sz, 1.0, damp[:, None])[:, :, None]
-        each = np.concatenate([own, np.einsum("rkk->rk", h)], 1)
         cross = np.stack([by_level(bend * w) for w in z.T], 2) if m and z.shape[1] else np.zeros((len(c), m, z.shape[1]))
-        cross = np.where(sl[:, :, None] | sz[:, None, :], 0.0, cross)
-        left = h - np.einsum("rlk,rlj->rkj", cross / own[:, :, None], cross)
-        right = g[:, m:] - np.einsum("rlk,rl->rk", cross, g[:, :m] / own)
-        dz = (right / left[:, :, 0] if z.shape[1] == 1 else np.linalg.solve(left, right[:, :, None])[:, :, 0]) if z.shape[1] else right
-        d = np.concatenate([(g[:, :m] - np.einsum("rlk,rk->rl", cross, dz)) / own, dz], 1)
+        d, each = solved(g, stop, own, h, cross)
+        # of the parameters that would pass their bounds the first goes to its bound, and the step of the others is solved again with that
+        held, straight = stop.copy(), (g * d).sum(1)
+        for i in range(k):
+            beyond = ~held & ((c + d > 0) | (c + d < low))
+            r = np.flatnonzero(beyond.any(1))
+            if not len(r):
+                break
+            room = np.divide(np.where(d > 0, -c, low - c)[r], d[r], out=np.full((len(r), k), np.inf), where=beyond[r])
+            held[r] |= beyond[r] if i > 4 else room <= np.minimum(room.min(1, keepdims=True), 1)
+            to = np.where(held[r], np.clip(c[r] + d[r], low, 0.0) - c[r], 0.0)
+            pull = np.concatenate([own[r] * to[:, :m] + np.einsum("rlk,rk->rl", cross[r], to[:, m:]), np.einsum("rlk,rl->rk", cross[r], to[:, :m]) + np.einsum("rkj,rj->rk", h[r], to[:, m:])], 1)
+            free = np.where(held[r], to, solved(np.where(held[r], 0.0, g[r] - pull), held[r], own[r], h[r], cross[r])[0])
+            up = ((g[r] * free).sum(1) > 0) | (straight[r] <= 0)
+            d[r[up]], held[r[~up]] = free[up], True
         # a slope that no curvature stands against leads to the bound; where bounds turn a step away from the top, each parameter goes its own way
         step, best, new, after = np.ones(len(going)), ll[going], c.copy(), ll[going].copy()
         todo = np.flatnonzero((g * d).sum(1) > tolerance * np.maximum(1.0, np.abs(best)))  # others have nothing to gain
@@ -276,6 +296,11 @@ def _of_training(c: str) -> Column:
     return F.sum(F.when(F.col("split") == "train", F.col(c)).otherwise(0)).cast("double")
 
 
+def _spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """df with its groups over all partitions of a shuffle: they are few bytes and much work, and would be put together in a task by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def fit_candidates(cells: DataFrame, by: list[str], family: str, only: str | None = None) -> DataFrame:
     """(by..., FIT): every candidate of the family, or only one, fitted to the train cells of each group, with its probability at all points of the design."""
     rest = [c for c in POINT if c not in by]
@@ -295,7 +320,7 @@ def fit_candidates(cells: DataFrame, by: list[str], family: str, only: str | Non
                 rows.append([*key, c, i, *[None] * 5])
         return pd.DataFrame(rows, columns=[*by, *FIT])
 
-    return d.groupBy(*by).applyInPandas(fit, _kinds(d, by, FIT))
+    return _spread(d, by).groupBy(*by).applyInPandas(fit, _kinds(d, by, FIT))
 
 
 def scored(cells: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame:
@@ -441,7 +466,7 @@ def resampled(cells: DataFrame, by: list[str], candidate: str, unit: list[str],
     def in_task(group: tuple, x: pd.DataFrame) -> pd.DataFrame:
         return done(group, *weighted(x)) if x["_u"].notna().any() else pd.DataFrame(columns=[*by, *kinds], dtype=object)
 
-    small = (c.join(large, by, "left_anti") if hot else c).groupBy(*by).applyInPandas(in_task, out)
+    small = _spread(c.join(large, by, "left_anti") if hot else c, by).groupBy(*by).applyInPandas(in_task, out)
     if not hot:
         return small
 
@@ -460,7 +485,7 @@ def resampled(cells: DataFrame, by: list[str], candidate: str, unit: list[str],
 
     some = c.join(large, by).withColumn("_block", F.pmod(F.xxhash64("_u"), F.col("_blocks")).cast("int")).repartition(*by, "_block")
     parts = some.groupBy(*by, "_block").applyInPandas(sums, _kinds(c, by, {k: c.schema[k].dataType.simpleString() for k in ("point", *rest)} | {"s": "binary", "n": "binary"}))
-    return small.unionByName(parts.groupBy(*by).applyInPandas(merged, out))
+    return small.unionByName(_spread(parts, by).groupBy(*by).applyInPandas(merged, out))
 
 
 def resampled_parameters(cells: DataFrame, by: list[str], candidate: str, unit: list[str], replicates: int = 1000, seed: int = 20260731, units_per_task: int = 20_000) -> DataFrame:
